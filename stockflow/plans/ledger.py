@@ -191,6 +191,11 @@ def _fold_partition(batches):
     State is the branch -> stock map of the *current* variant only, so memory
     is O(branches) whatever the size of a variant; rows stream through in
     Arrow batches and are never gathered per group.
+
+    Reasons in the order the write path meets them: a reason found before the
+    line reached the ledger (``_pre``), stock at origin, quantity, then the
+    constraint errors found after that (``_late``: price, unknown key), then a
+    NULL receiving branch.
     """
     cur_v = None
     stock: dict = {}
@@ -204,43 +209,42 @@ def _fold_partition(batches):
         qty = pdf["cantidad"].to_numpy()
         tipo = pdf["tipo_movimiento"].to_numpy()
         pre = pdf["_pre"].to_numpy()
+        late = pdf["_late"].to_numpy()
         ids = pdf["id_detalle"].to_numpy()
         init = pdf["_init"].to_numpy()
         for i in range(len(pdf)):
             v = var[i]
             if v != cur_v:
                 cur_v, stock = v, {}
-            if kind[i] == 0:             # initial stock of a cell
+            if kind[i] == 0:             # starting stock of a cell
                 stock[int(br[i])] = int(init[i])
                 continue
-            o = br[i]
-            o_key = None if pd.isna(o) else int(o)
-            d = de[i]
-            d_key = None if pd.isna(d) else int(d)
+            o = None if pd.isna(br[i]) else int(br[i])
+            d = None if pd.isna(de[i]) else int(de[i])
             q = int(qty[i])
             t = tipo[i]
-            avail = stock.get(o_key, 0) if o_key is not None else 0
+            avail = stock.get(o, 0) if o is not None else 0
             reason = pre[i] if isinstance(pre[i], str) else None
             if reason is None and t in CONSUMING_TYPES and avail < q:
                 reason = REASON_STOCK
             if reason is None and q <= 0:
                 reason = REASON_QUANTITY
-            if reason is None and ((t == "Entrada" and o_key is None) or (t == "Traslado" and d_key is None)):
+            if reason is None and isinstance(late[i], str):
+                reason = late[i]
+            if reason is None and ((t == "Entrada" and o is None) or (t == "Traslado" and d is None)):
                 reason = REASON_NO_BRANCH
             ok = reason is None
             if ok:
                 if t == "Entrada":
-                    stock[o_key] = stock.get(o_key, 0) + q
-                elif t == "Salida":
-                    if o_key in stock:
-                        stock[o_key] -= q
-                elif t == "Traslado":
-                    if o_key in stock:
-                        stock[o_key] -= q
-                    stock[d_key] = stock.get(d_key, 0) + q
-            so = stock.get(o_key) if o_key is not None else None
-            sd = stock.get(d_key) if d_key is not None else None
-            rows.append((int(ids[i]), int(v), t, o_key, d_key, q, int(avail), ok, reason, so, sd))
+                    stock[o] = stock.get(o, 0) + q
+                elif t in CONSUMING_TYPES:
+                    if o in stock:
+                        stock[o] -= q
+                    if t == "Traslado":
+                        stock[d] = stock.get(d, 0) + q
+            so = stock.get(o) if o is not None else None
+            sd = stock.get(d) if d is not None else None
+            rows.append((int(ids[i]), int(v), t, o, d, q, int(avail), ok, reason, so, sd))
         if rows:
             yield pd.DataFrame.from_records(rows, columns=out_cols).astype(
                 {"id_sucursal_origen": "Int64", "id_sucursal_destino": "Int64",
@@ -264,25 +268,25 @@ def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFra
     """
     spark = lines.sparkSession
     pre = F.col("motivo_previo") if "motivo_previo" in lines.columns else F.lit(None).cast("string")
+    late = F.when(F.col("precio_unitario") < 0, F.lit(REASON_PRICE))
     l = lines.withColumn("_pre", pre)
-    l = l.withColumn("_pre", F.when(F.col("_pre").isNull() & (F.col("precio_unitario") < 0), F.lit(REASON_PRICE))
-                     .otherwise(F.col("_pre")))
     if pv is not None:
         known = pv.select("id_variante", F.lit(True).alias("_known"))
-        l = l.join(known, "id_variante", "left").withColumn(
-            "_pre", F.when(F.col("_pre").isNull() & F.col("_known").isNull(), F.lit(REASON_UNKNOWN))
-            .otherwise(F.col("_pre"))).drop("_known")
+        l = l.join(known, "id_variante", "left")
+        late = late.when(F.col("_known").isNull(), F.lit(REASON_UNKNOWN))
+    l = l.withColumn("_late", late)
     events = l.select(F.lit(1).alias("_kind"), "id_detalle", "id_variante", "tipo_movimiento",
                       "id_sucursal_origen", "id_sucursal_destino", F.col("cantidad").cast("int").alias("cantidad"),
-                      "_pre", F.lit(None).cast("bigint").alias("_init"))
+                      "_pre", "_late", F.lit(None).cast("bigint").alias("_init"))
     if stock is not None:
         # Only cells of variants that have lines matter.
-        s = stock.join(l.select("id_variante").distinct(), "id_variante", "left_semi")
+        s = stock.join(lines.select("id_variante").distinct(), "id_variante", "left_semi")
         events = events.unionByName(s.select(
             F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("id_detalle"), "id_variante",
             F.lit(None).cast("string").alias("tipo_movimiento"),
             F.col("id_sucursal").alias("id_sucursal_origen"), F.lit(None).cast("bigint").alias("id_sucursal_destino"),
             F.lit(None).cast("int").alias("cantidad"), F.lit(None).cast("string").alias("_pre"),
+            F.lit(None).cast("string").alias("_late"),
             F.col("cantidad_disponible").cast("bigint").alias("_init")))
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (events.repartition(n, "id_variante")

@@ -20,7 +20,7 @@ _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
 
 
-def register(key: str, sql: str | None = None, raw_sql: bool = False):
+def register(key: str, sql: str | None = None, raw_sql: bool = False, recursive: bool = False):
     """Decorator: register ``fn(t) -> DataFrame`` (t = model tables) under ``key``.
 
     ``sql`` is the oracle text over the model tables (prefixed with the
@@ -33,7 +33,7 @@ def register(key: str, sql: str | None = None, raw_sql: bool = False):
         run.__doc__ = fn.__doc__
         _QUERIES[key] = run
         if sql is not None:
-            _SQL[key] = sql.strip() if raw_sql else with_mapping(sql)
+            _SQL[key] = sql.strip() if raw_sql else with_mapping(sql, recursive=recursive)
         return fn
     return deco
 

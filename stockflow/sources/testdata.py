@@ -59,9 +59,17 @@ class Tables(Mapping):
     never collected data.
     """
 
-    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]],
+                 raw: Callable[[str], DataFrame] | None = None):
         self._builders = builders
         self._cache: dict[str, DataFrame] = {}
+        self._raw = raw
+
+    def raw(self, name: str) -> DataFrame:
+        """A source table as given (only for tables built from the test data)."""
+        if self._raw is None:
+            raise KeyError(name)
+        return self._raw(name)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
@@ -87,7 +95,7 @@ def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     t: dict[str, Callable[[], DataFrame]] = {}
-    tables = Tables(t)
+    tables = Tables(t, raw)
 
     brand_id = F.regexp_extract("p_brand", r"(\d+)", 1).cast("bigint")
     cat_id = _case("p_type", CATEGORY_IDS).cast("bigint")
@@ -309,12 +317,16 @@ inventario AS (
 """
 
 
-def with_mapping(sql_body: str) -> str:
+def with_mapping(sql_body: str, recursive: bool = False) -> str:
     """Prefix a query over the 12 model tables with the mapping ``WITH`` clause.
 
     ``sql_body`` may itself start with ``WITH``; its CTEs are appended.
+    ``recursive`` turns the clause into ``WITH RECURSIVE``.
     """
     body = sql_body.strip()
+    prefix = MAPPING_SQL.strip()
+    if recursive:
+        prefix = "WITH RECURSIVE" + prefix[4:]
     if body[:4].upper() == "WITH":
-        return MAPPING_SQL.rstrip() + ",\n" + body[4:].lstrip()
-    return MAPPING_SQL + body
+        return prefix + ",\n" + body[4:].lstrip()
+    return prefix + "\n" + body
