@@ -117,9 +117,13 @@ def final_stock(mov: DataFrame, det: DataFrame, buffer: int | Column = 2) -> Dat
 
 def opening_movements(mov: DataFrame, det: DataFrame, prod: DataFrame, pv: DataFrame, opening_time,
                       buffer: int | Column = 2, observation: str = "Apertura de inventario",
-                      cost_ratio: str = "0.60") -> tuple[DataFrame, DataFrame]:
+                      cost_ratio: str = "0.60", line_ids_after: DataFrame | None = None
+                      ) -> tuple[DataFrame, DataFrame]:
     """Opening header (one Entrada per branch, dated before all history) and one
-    line per cell, valued at cost; ids continue after the existing ones."""
+    line per cell with the opening quantity, valued at cost.
+
+    Header ids continue after the existing movements; line ids continue after
+    ``line_ids_after`` (a table with ``id_detalle``) when it is given."""
     op = opening_stock(mov, det, buffer)
     branches = op.select("id_sucursal").distinct()
     headers = id_continue(branches, mov, "id_movimiento", ["id_sucursal"]).select(
@@ -133,11 +137,14 @@ def opening_movements(mov: DataFrame, det: DataFrame, prod: DataFrame, pv: DataF
     lines = (op.join(headers.select("id_movimiento", F.col("id_sucursal_origen").alias("id_sucursal")),
                      "id_sucursal", "inner")
              .join(price, "id_variante", "left"))
-    lines = id_continue(lines, det, "id_detalle", ["id_sucursal", "id_variante"], bucket=["id_sucursal"]).select(
-        "id_detalle", F.col("cantidad_apertura").alias("cantidad"),
-        F.coalesce(X.cost_price("precio_venta_actual", cost_ratio), F.lit(0).cast(MONEY)).alias("precio_unitario"),
-        "id_movimiento", "id_variante")
-    return headers, lines
+    cols = [F.col("cantidad_apertura").alias("cantidad"),
+            F.coalesce(X.cost_price("precio_venta_actual", cost_ratio), F.lit(0).cast(MONEY)).alias("precio_unitario"),
+            "id_movimiento", "id_variante"]
+    if line_ids_after is not None:
+        lines = id_continue(lines, line_ids_after, "id_detalle", ["id_sucursal", "id_variante"],
+                            bucket=["id_sucursal"])
+        cols = ["id_detalle"] + cols
+    return headers, lines.select(*cols)
 
 
 # ---------------------------------------------------------------------------

@@ -1,5 +1,296 @@
-"""Registered queries."""
+"""Registered integrity and data-quality checks with their SQL oracles.
+
+The SQL side is generated from the same constraint lists of
+``stockflow.schema`` (the lists are data; each engine checks them its own way).
+"""
 
 from __future__ import annotations
 
-from stockflow.registry import register  # noqa: F401
+import datetime as _dt
+
+from pyspark.sql import functions as F
+
+from stockflow import schema as S
+from stockflow.plans import ledger as L
+from stockflow.plans import quality as Q
+from stockflow.registry import register
+from stockflow.sources.testdata import OPENING_BUFFER
+
+PURGE_BEFORE = "1996-01-01"
+RETIRED_BRAND = 13
+
+
+def _tbl(tab):
+    return "detalle_lineas" if tab == "detalle_movimientos" else tab
+
+
+def _union(parts):
+    return "\nUNION ALL\n".join(parts)
+
+
+_NN = {}
+for _t, _c in S.NOT_NULL:
+    _NN.setdefault(_t, []).append(_c)
+
+_NOT_NULL_SQL = _union(
+    f"SELECT '{tab}' AS tabla, '{c}' AS columna, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS filas_nulas "
+    f"FROM {tab}" for tab, cols in _NN.items() for c in cols)
+
+
+@register("chk_not_null", _NOT_NULL_SQL)
+def chk_not_null(t):
+    """NULLs in NOT NULL columns, per column."""
+    return Q.not_null(t)
+
+
+@register("chk_max_length", _union(
+    f"SELECT '{tab}' AS tabla, '{c}' AS columna, {n} AS limite, "
+    f"CAST(count(*) FILTER (WHERE length({c}) > {n}) AS BIGINT) AS filas_largas FROM {tab}"
+    for tab, c, n in S.MAX_LENGTHS))
+def chk_max_length(t):
+    """Values longer than the declared VARCHAR(n)."""
+    return Q.max_length(t)
+
+
+def _pk_sql(tab, keys):
+    k = ", ".join(keys)
+    nn = " AND ".join(f"{x} IS NOT NULL" for x in keys)
+    anynull = " OR ".join(f"{x} IS NULL" for x in keys)
+    return (f"SELECT '{tab}' AS tabla, "
+            f"(SELECT CAST(count(*) AS BIGINT) FROM (SELECT {k} FROM {tab} WHERE {nn} GROUP BY {k} HAVING count(*) > 1) d) "
+            f"AS claves_duplicadas, (SELECT CAST(count(*) AS BIGINT) FROM {tab} WHERE {anynull}) AS claves_nulas")
+
+
+@register("chk_primary_key", _union(_pk_sql(tab, keys) for tab, keys in S.PRIMARY_KEYS.items()))
+def chk_primary_key(t):
+    """Duplicate and NULL primary keys per table."""
+    return Q.primary_key(t)
+
+
+@register("chk_unique", _union(
+    f"SELECT '{tab}' AS tabla, '{c}' AS columna, (SELECT CAST(count(*) AS BIGINT) FROM "
+    f"(SELECT {c} FROM {tab} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1) d) AS valores_duplicados"
+    for tab, c in S.UNIQUE_KEYS))
+def chk_unique(t):
+    """Values of UNIQUE columns held by more than one row."""
+    return Q.unique(t)
+
+
+@register("chk_domain_in", _union(
+    f"SELECT '{tab}' AS tabla, '{c}' AS columna, CAST(count(*) FILTER (WHERE {c} IS NOT NULL AND {c} NOT IN ("
+    + ", ".join(f"'{v}'" for v in vals) + f")) AS BIGINT) AS filas_fuera_de_dominio FROM {tab}"
+    for tab, c, vals in S.DOMAINS))
+def chk_domain_in(t):
+    """Profile and movement type outside their lists."""
+    return Q.domain_in(t)
+
+
+@register("chk_numeric", _union(
+    f"SELECT '{name}' AS restriccion, '{tab}' AS tabla, CAST(count(*) FILTER (WHERE NOT ({pred})) AS BIGINT) "
+    f"AS filas_invalidas FROM {_tbl(tab)}" for name, tab, pred in S.NUMERIC_CHECKS))
+def chk_numeric(t):
+    """Rows violating price > 0, stock >= 0, quantity > 0, line price >= 0."""
+    return Q.numeric(t)
+
+
+@register("chk_foreign_key", _union(
+    f"SELECT '{child}' AS tabla, '{cc}' AS columna, '{par}' AS tabla_padre, CAST(count(*) AS BIGINT) AS huerfanas "
+    f"FROM {_tbl(child)} c WHERE c.{cc} IS NOT NULL AND NOT EXISTS "
+    f"(SELECT 1 FROM {par} p WHERE p.{pc} = c.{cc})" for child, cc, par, pc, _ in S.FOREIGN_KEYS))
+def chk_foreign_key(t):
+    """Orphan child rows per foreign key (NULL passes)."""
+    return Q.foreign_key(t)
+
+
+@register("chk_non_empty", _union(
+    f"SELECT '{n}' AS tabla, CAST(count(*) AS BIGINT) AS filas, rpad('{n}', 22, ' ') AS etiqueta, "
+    f"count(*) = 0 AS vacia FROM {_tbl(n)}" for n in S.TABLE_NAMES))
+def chk_non_empty(t):
+    """Row count per table and whether it is empty."""
+    return Q.non_empty(t)
+
+
+@register("row_count_report", _union([
+    "SELECT 'productos' AS tabla, CAST(count(*) AS BIGINT) AS cantidad FROM productos",
+    "SELECT 'variantes', CAST(count(*) AS BIGINT) FROM producto_variante",
+    "SELECT 'movimientos', CAST(count(*) AS BIGINT) FROM movimientos",
+    "SELECT 'detalles', CAST(count(*) AS BIGINT) FROM detalle_lineas",
+    "SELECT 'inventario', CAST(count(*) AS BIGINT) FROM inventario"]))
+def row_count_report(t):
+    """Table name and row count for five tables (stacked counts)."""
+    from stockflow.sources.testdata import lines
+    parts = [("productos", t["productos"]), ("variantes", t["producto_variante"]), ("movimientos", t["movimientos"]),
+             ("detalles", lines(t)), ("inventario", t["inventario"])]
+    return Q._stack([df.agg(F.count(F.lit(1)).cast("bigint").alias("cantidad"))
+                     .select(F.lit(n).alias("tabla"), "cantidad") for n, df in parts])
+
+
+@register("union_all_counts", _union([
+    "SELECT 'productos' AS tabla, CAST(count(*) AS BIGINT) AS cantidad FROM productos",
+    "SELECT 'variantes', CAST(count(*) AS BIGINT) FROM producto_variante",
+    "SELECT 'movimientos', CAST(count(*) AS BIGINT) FROM movimientos",
+    "SELECT 'detalles', CAST(count(*) AS BIGINT) FROM detalle_lineas",
+    "SELECT 'inventario', CAST(count(*) AS BIGINT) FROM inventario"]))
+def union_all_counts(t):
+    """Stacked count rows (UNION ALL of one-row aggregates)."""
+    return row_count_report(t)
+
+
+@register("chk_no_negative_stock", """
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM inventario WHERE cantidad_disponible < 0) AS negativas,
+       (SELECT string_agg(printf('(sucursal %d, variante %d) = %d', id_sucursal, id_variante, cantidad_disponible),
+                          '; ' ORDER BY id_sucursal, id_variante)
+        FROM (SELECT * FROM inventario WHERE cantidad_disponible < 0 ORDER BY id_sucursal, id_variante LIMIT 5) m)
+         AS detalle
+""")
+def chk_no_negative_stock(t):
+    """Negative stock cells: count and first 5."""
+    return Q.no_negative_stock(t)
+
+
+@register("limit_sample", """
+SELECT string_agg(printf('(sucursal %d, variante %d) = %d', id_sucursal, id_variante, cantidad_disponible),
+                  '; ' ORDER BY id_sucursal, id_variante) AS detalle
+FROM (SELECT * FROM inventario WHERE cantidad_disponible < 35 ORDER BY id_sucursal, id_variante LIMIT 5) m
+""")
+def limit_sample(t):
+    """First 5 low-stock cells in key order, formatted into one message."""
+    inv = t["inventario"].where(F.col("cantidad_disponible") < 35)
+    return Q.sample_text(inv, ["id_sucursal", "id_variante"], "(sucursal %d, variante %d) = %d",
+                         ["id_sucursal", "id_variante", "cantidad_disponible"])
+
+
+_NET_SQL = """
+net AS (
+  SELECT id_sucursal, id_variante, sum(delta) AS cantidad FROM (
+    SELECT m.id_sucursal_origen AS id_sucursal, d.id_variante,
+           CASE WHEN m.tipo_movimiento = 'Entrada' THEN d.cantidad ELSE -d.cantidad END AS delta
+    FROM hist_lines d JOIN hist_mov m ON m.id_movimiento = d.id_movimiento
+    UNION ALL
+    SELECT m.id_sucursal_destino, d.id_variante, d.cantidad
+    FROM hist_lines d JOIN hist_mov m ON m.id_movimiento = d.id_movimiento
+    WHERE m.tipo_movimiento = 'Traslado') x
+  GROUP BY id_sucursal, id_variante),
+recon AS (
+  SELECT coalesce(i.id_sucursal, n.id_sucursal) AS id_sucursal, coalesce(i.id_variante, n.id_variante) AS id_variante,
+         CAST(i.cantidad_disponible AS BIGINT) AS en_inventario, CAST(n.cantidad AS BIGINT) AS recalculado
+  FROM inventario i FULL OUTER JOIN net n ON n.id_sucursal = i.id_sucursal AND n.id_variante = i.id_variante
+  WHERE coalesce(i.cantidad_disponible, 0) <> coalesce(n.cantidad, 0))"""
+
+_HIST_PLAIN = """
+hist_mov AS (SELECT * FROM movimientos),
+hist_lines AS (SELECT id_movimiento, id_variante, cantidad FROM detalle_lineas),"""
+
+# History plus the opening movements: one Entrada header per branch (ids after
+# the last movement) and one line per cell with the opening quantity.
+_HIST_WITH_OPENING = f"""
+opening AS (
+  SELECT id_sucursal, id_variante, CAST(-least(min(saldo), 0) + {OPENING_BUFFER} AS INTEGER) AS cantidad
+  FROM mov_cell_bal GROUP BY id_sucursal, id_variante),
+opening_hdr AS (
+  SELECT (SELECT max(id_movimiento) FROM movimientos) + row_number() OVER (ORDER BY id_sucursal) AS id_movimiento,
+         id_sucursal FROM (SELECT DISTINCT id_sucursal FROM opening) b),
+hist_mov AS (
+  SELECT id_movimiento, tipo_movimiento, id_sucursal_origen, id_sucursal_destino FROM movimientos
+  UNION ALL
+  SELECT id_movimiento, 'Entrada', id_sucursal, CAST(NULL AS BIGINT) FROM opening_hdr),
+hist_lines AS (
+  SELECT id_movimiento, id_variante, cantidad FROM detalle_lineas
+  UNION ALL
+  SELECT h.id_movimiento, o.id_variante, o.cantidad FROM opening o JOIN opening_hdr h ON o.id_sucursal = h.id_sucursal),"""
+
+
+@register("full_outer_reconcile", "WITH " + _HIST_PLAIN.strip() + _NET_SQL + "\nSELECT * FROM recon")
+def full_outer_reconcile(t):
+    """Stock vs the net of the history alone, per cell (the opening quantities show up)."""
+    return Q.reconcile(t["inventario"], L.net_stock(t["movimientos"], t["detalle_lineas"]))
+
+
+@register("chk_stock_reconciles", "WITH " + _HIST_WITH_OPENING.strip() + _NET_SQL + """
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM recon) AS discrepancias,
+       (SELECT string_agg(printf('(sucursal %d, variante %d) inventario %d, recalculado %d',
+                                 id_sucursal, id_variante, en_inventario, recalculado), '; '
+                          ORDER BY id_sucursal, id_variante)
+        FROM (SELECT * FROM recon ORDER BY id_sucursal, id_variante LIMIT 5) m) AS detalle
+""")
+def chk_stock_reconciles(t):
+    """Stock equals the net of history + opening movements: discrepancy count and first 5."""
+    mov, det = _history_with_opening(t)
+    return Q.stock_reconciles(t["inventario"], mov, det)
+
+
+def _history_with_opening(t):
+    hdr, lin = L.opening_movements(t["movimientos"], t["detalle_lineas"], t["productos"], t["producto_variante"],
+                                   _dt.datetime(1994, 12, 31, 8, 0, 0), buffer=OPENING_BUFFER)
+    cols = ["id_movimiento", "tipo_movimiento", "id_sucursal_origen", "id_sucursal_destino", "fecha_hora"]
+    mov = t["movimientos"].select(*cols).unionByName(hdr.select(*cols))
+    det = t["detalle_lineas"].select("id_movimiento", "id_variante", "cantidad").unionByName(
+        lin.select("id_movimiento", "id_variante", "cantidad"))
+    return mov, det
+
+
+@register("chk_generated_invariants", """
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM inventario WHERE cantidad_disponible < 0) AS stock_negativo,
+       (SELECT CAST(count(*) AS BIGINT) FROM detalle_movimientos WHERE cantidad <= 0) AS cantidad_no_positiva,
+       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT id_detalle FROM detalle_movimientos GROUP BY id_detalle
+                                              HAVING count(*) > 1) a) AS ids_detalle_repetidos,
+       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT id_movimiento FROM movimientos GROUP BY id_movimiento
+                                              HAVING count(*) > 1) b) AS ids_movimiento_repetidos
+""")
+def chk_generated_invariants(t):
+    """Final stock >= 0, quantities > 0, unique ids."""
+    return Q.generated_invariants(t["inventario"], t["movimientos"], t["detalle_movimientos"])
+
+
+@register("del_cascade", f"""
+WITH doomed AS (SELECT id_movimiento FROM movimientos WHERE fecha_hora < TIMESTAMP '{PURGE_BEFORE} 00:00:00'),
+retired AS (SELECT pv.id_variante FROM producto_variante pv JOIN productos p ON pv.id_producto = p.id_producto
+            WHERE p.id_marca = {RETIRED_BRAND}),
+blocked AS (SELECT DISTINCT r.id_variante FROM retired r JOIN detalle_lineas d ON d.id_variante = r.id_variante),
+gone AS (SELECT id_variante FROM retired WHERE id_variante NOT IN (SELECT id_variante FROM blocked))
+SELECT 'movimientos' AS tabla, 'borradas' AS accion, CAST(count(*) AS BIGINT) AS filas FROM doomed
+UNION ALL SELECT 'detalle_movimientos', 'cascada', CAST(count(*) AS BIGINT) FROM detalle_lineas
+  WHERE id_movimiento IN (SELECT id_movimiento FROM doomed)
+UNION ALL SELECT 'detalle_movimientos', 'quedan', CAST(count(*) AS BIGINT) FROM detalle_lineas
+  WHERE id_movimiento NOT IN (SELECT id_movimiento FROM doomed)
+UNION ALL SELECT 'producto_variante', 'bloqueadas', CAST(count(*) AS BIGINT) FROM blocked
+UNION ALL SELECT 'producto_variante', 'borradas', CAST(count(*) AS BIGINT) FROM gone
+UNION ALL SELECT 'inventario', 'cascada', CAST(count(*) AS BIGINT) FROM inventario
+  WHERE id_variante IN (SELECT id_variante FROM gone)
+""")
+def del_cascade(t):
+    """Purge movements before 1996 (lines cascade) and retire one brand's variants
+    (RESTRICT by lines blocks sold ones, stock cascades)."""
+    from stockflow.sources.testdata import from_frames, lines
+    frames = {k: t[k] for k in ("movimientos", "producto_variante", "inventario", "productos")}
+    frames["detalle_movimientos"] = lines(t)
+    tt = from_frames(frames)
+    doomed = t["movimientos"].where(F.col("fecha_hora") < F.lit(PURGE_BEFORE).cast("timestamp_ntz"))
+    a = Q.delete_cascade(tt, "movimientos", doomed)
+    retired = (t["producto_variante"].join(t["productos"].where(F.col("id_marca") == RETIRED_BRAND)
+                                           .select("id_producto"), "id_producto", "left_semi"))
+    b = Q.delete_cascade(tt, "producto_variante", retired)
+    inv_before = t["inventario"].select("id_variante")
+    rows = [
+        ("movimientos", "borradas", a["_deleted"]),
+        ("detalle_movimientos", "cascada", lines(t).join(a["_deleted"], "id_movimiento", "left_semi")),
+        ("detalle_movimientos", "quedan", a["detalle_movimientos"]),
+        ("producto_variante", "bloqueadas", b["_blocked"]),
+        ("producto_variante", "borradas", b["_deleted"]),
+        ("inventario", "cascada", inv_before.join(b["_deleted"], "id_variante", "left_semi")),
+    ]
+    return Q._stack([df.agg(F.count(F.lit(1)).cast("bigint").alias("filas"))
+                     .select(F.lit(tab).alias("tabla"), F.lit(act).alias("accion"), "filas")
+                     for tab, act, df in rows])
+
+
+@register("rekey_cascade", """
+SELECT m.id_movimiento, m.id_sucursal_origen + 100 AS id_sucursal_origen, m.id_sucursal_destino + 100 AS id_sucursal_destino
+FROM movimientos m
+""")
+def rekey_cascade(t):
+    """Branch ids renumbered (+100): every movement's origin and destination follow."""
+    mapping = t["sucursales"].select(F.col("id_sucursal").alias("old"), (F.col("id_sucursal") + 100).alias("new"))
+    out = Q.rekey_cascade({"sucursales": t["sucursales"], "movimientos": t["movimientos"],
+                           "inventario": t["inventario"]}, "sucursales", mapping)
+    return out["movimientos"].select("id_movimiento", "id_sucursal_origen", "id_sucursal_destino")
