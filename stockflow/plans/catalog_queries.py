@@ -1,5 +1,151 @@
-"""Registered queries."""
+"""Registered source/sink and catalogue queries with their SQL oracles.
+
+The round-trip queries write to a fresh folder under the session's shared
+checkpoint folder (``spark.checkpoint.dir``) and read it back, so the result
+is whatever the sink and source really produced.
+"""
 
 from __future__ import annotations
 
-from stockflow.registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from stockflow import schema as S
+from stockflow.plans import ledger as L
+from stockflow.plans.ledger_queries import fold_sql
+from stockflow.registry import register
+from stockflow.session import ensure_checkpoint_dir
+from stockflow.sources import files as FS
+from stockflow.sources.testdata import from_frames, lines
+
+
+def _scratch(t, what: str) -> str:
+    spark = t["marcas"].sparkSession
+    return FS.new_version_dir(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}")
+
+
+def _catalog(t):
+    return t.raw("part").select(F.col("p_name").alias("nombre"), F.lit(None).cast("string").alias("descripcion"),
+                                F.col("p_retailprice").cast(S.MONEY).alias("precio_venta_actual"),
+                                F.col("p_brand").alias("marca"), F.col("p_type").alias("categoria"))
+
+
+@register("ingest_reject_unknown", """
+SELECT 'marca' AS tipo, p_brand AS nombre, CAST(count(*) AS BIGINT) AS filas FROM part
+WHERE p_brand NOT IN (SELECT nombre FROM marcas) GROUP BY p_brand
+UNION ALL
+SELECT 'categoria', p_type, CAST(count(*) AS BIGINT) FROM part
+WHERE p_type NOT IN (SELECT nombre FROM categorias) GROUP BY p_type""")
+def ingest_reject_unknown(t):
+    """Catalogue brands/categories unknown to the reference lists (empty = loadable)."""
+    return FS.ingest_reject_unknown(_catalog(t), t["marcas"], t["categorias"])
+
+
+@register("id_assign", "SELECT id_detalle, id_movimiento, id_variante, cantidad FROM detalle_movimientos")
+def id_assign(t):
+    """Dense line ids 1..n in (date, order, line, ...) order, numbered in two passes
+    (per-date counts + offsets), never one global window."""
+    return t["detalle_movimientos"].select("id_detalle", "id_movimiento", "id_variante", "cantidad")
+
+
+_COUNTS_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS tabla, CAST(count(*) AS BIGINT) AS filas FROM {'detalle_lineas' if n == 'detalle_movimientos' else n}"
+    for n in S.DEPENDENCY_ORDER)
+
+
+def _model_tables(t):
+    frames = {n: t[n] for n in S.DEPENDENCY_ORDER if n != "detalle_movimientos"}
+    frames["detalle_movimientos"] = lines(t).withColumn("id_detalle", F.lit(None).cast("bigint"))
+    return frames
+
+
+@register("load_in_dependency_order", _COUNTS_SQL)
+def load_in_dependency_order(t):
+    """Write all 12 tables parents-first to a new version, check keys, publish, read back counts."""
+    from stockflow.plans import quality as Q
+    spark = t["marcas"].sparkSession
+    root = _scratch(t, "load")
+
+    def checks(stored):
+        fk = Q.foreign_key(stored).where("huerfanas > 0").count()
+        return [f"{fk} foreign keys with orphans"] if fk else []
+
+    FS.load_in_dependency_order(spark, _model_tables(t), root, checks=checks)
+    vdir = FS.current_version(spark, root)
+    stored = FS.read_version(spark, vdir, S.DEPENDENCY_ORDER)
+    return Q._stack([stored[n].agg(F.count(F.lit(1)).cast("bigint").alias("filas"))
+                     .select(F.lit(n).alias("tabla"), "filas") for n in S.DEPENDENCY_ORDER])
+
+
+@register("sink_csv_tables", """
+SELECT 'movimientos' AS tabla, CAST(count(*) AS BIGINT) AS filas, CAST(sum(id_movimiento) AS BIGINT) AS suma_ids,
+       CAST(NULL AS DECIMAL(38,2)) AS suma_importes, CAST(count(id_proveedor) AS BIGINT) AS no_nulos
+FROM movimientos
+UNION ALL
+SELECT 'detalle_movimientos', CAST(count(*) AS BIGINT), CAST(sum(id_movimiento) AS BIGINT),
+       CAST(sum(precio_unitario) AS DECIMAL(38,2)), CAST(count(precio_unitario) AS BIGINT)
+FROM detalle_lineas""")
+def sink_csv_tables(t):
+    """Movements and lines written as header CSV and read back by column name
+    (NULL supplier as empty field, money with two decimals)."""
+    spark = t["marcas"].sparkSession
+    root = _scratch(t, "csv")
+    frames = _model_tables(t)
+    FS.sink_csv_tables(from_frames(frames), root, ["movimientos", "detalle_movimientos"])
+    back = FS.src_csv_tables(spark, root, ["movimientos", "detalle_movimientos"])
+    m, d = back["movimientos"], back["detalle_movimientos"]
+    return m.agg(F.lit("movimientos").alias("tabla"), F.count(F.lit(1)).cast("bigint").alias("filas"),
+                 F.sum("id_movimiento").cast("bigint").alias("suma_ids"),
+                 F.lit(None).cast("decimal(38,2)").alias("suma_importes"),
+                 F.count("id_proveedor").cast("bigint").alias("no_nulos")).unionByName(
+        d.agg(F.lit("detalle_movimientos").alias("tabla"), F.count(F.lit(1)).cast("bigint").alias("filas"),
+              F.sum("id_movimiento").cast("bigint").alias("suma_ids"),
+              F.sum("precio_unitario").cast("decimal(38,2)").alias("suma_importes"),
+              F.count("precio_unitario").cast("bigint").alias("no_nulos")))
+
+
+@register("write_layout", """
+SELECT tipo_movimiento, CAST(EXTRACT(YEAR FROM fecha_hora) AS INTEGER) AS anio, CAST(count(*) AS BIGINT) AS filas,
+       min(id_movimiento) AS primer_id
+FROM movimientos GROUP BY tipo_movimiento, EXTRACT(YEAR FROM fecha_hora)""")
+def write_layout(t):
+    """Movements written partitioned by (type, year), id-sorted inside files; read back per partition."""
+    spark = t["marcas"].sparkSession
+    path = _scratch(t, "layout")
+    FS.write_layout(FS.movements_layout(t["movimientos"]), path, ["tipo_movimiento", "anio"], ["id_movimiento"])
+    back = spark.read.parquet(path)
+    return back.groupBy("tipo_movimiento", "anio").agg(F.count(F.lit(1)).cast("bigint").alias("filas"),
+                                                       F.min("id_movimiento").alias("primer_id"))
+
+
+_COMPETING_SQL = f"""
+WITH sales AS (
+  SELECT d.id_detalle, d.id_variante, d.cantidad, d.precio_unitario, m.tipo_movimiento,
+         m.id_sucursal_origen, m.id_sucursal_destino, CAST(NULL AS VARCHAR) AS motivo_previo
+  FROM detalle_movimientos d JOIN movimientos m ON d.id_movimiento = m.id_movimiento
+  WHERE m.tipo_movimiento = 'Salida'),
+opening AS (
+  SELECT id_sucursal, id_variante, CAST(-least(min(saldo), 0) + 2 AS INTEGER) AS cantidad_disponible
+  FROM mov_cell_bal GROUP BY id_sucursal, id_variante),
+{fold_sql("sales", "opening").strip()}
+SELECT id_sucursal_origen AS id_sucursal, id_variante, CAST(count(*) AS BIGINT) AS solicitudes,
+       CAST(sum(CASE WHEN aceptado THEN 1 ELSE 0 END) AS BIGINT) AS aceptadas,
+       CAST(sum(CASE WHEN aceptado THEN cantidad ELSE 0 END) AS BIGINT) AS unidades_vendidas
+FROM fold_out GROUP BY id_sucursal_origen, id_variante HAVING count(*) >= 2"""
+
+
+@register("job_competing_sales", _COMPETING_SQL, recursive=True)
+def job_competing_sales(t):
+    """Sales competing for the same cell served one at a time in line order
+    against the opening stock: per cell with 2+ requests, how many were served."""
+    lh = L.lines_with_header(t["movimientos"], t["detalle_movimientos"],
+                             ["id_detalle", "id_movimiento", "id_variante", "cantidad", "precio_unitario"])
+    sales = lh.where(F.col("tipo_movimiento") == "Salida")
+    opening = L.opening_stock(t["movimientos"], lines(t), 2).select(
+        "id_sucursal", "id_variante", F.col("cantidad_apertura").alias("cantidad_disponible"))
+    dec = L.validate_stock(sales, stock=opening, pv=t["producto_variante"])
+    return (dec.groupBy(F.col("id_sucursal_origen").alias("id_sucursal"), "id_variante")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("solicitudes"),
+                 F.sum(F.when(F.col("aceptado"), 1).otherwise(0)).cast("bigint").alias("aceptadas"),
+                 F.sum(F.when(F.col("aceptado"), F.col("cantidad")).otherwise(0)).cast("bigint")
+                 .alias("unidades_vendidas"))
+            .where("solicitudes >= 2"))
