@@ -129,6 +129,21 @@ def line_amount(qty: ColOrName = "cantidad", price: ColOrName = "precio_unitario
     return _c(qty) * _c(price)
 
 
+def line_amount_cents(qty: ColOrName = "cantidad", price: ColOrName = "precio_unitario") -> Column:
+    """Line amount in whole cents as a 64-bit integer (exact for DECIMAL(12,2) prices).
+
+    ``int * decimal(12,2)`` has precision 23, past the 18 digits Spark keeps
+    in a long, so every row would go through BigDecimal; cents stay in
+    primitive longs (ANSI mode raises on overflow instead of wrapping).
+    """
+    return _c(qty).cast("bigint") * (_c(price) * F.lit(100)).cast("bigint")
+
+
+def cents_to_money(cents: ColOrName) -> Column:
+    """Sum of cents back to DECIMAL(38,2), exactly."""
+    return (_c(cents).cast("decimal(38,0)") / F.lit(100)).cast("decimal(38,2)")
+
+
 def signed_delta(tipo: ColOrName = "tipo_movimiento", qty: ColOrName = "cantidad") -> Column:
     """+quantity for Entrada, -quantity for any other type."""
     return F.when(_c(tipo) == "Entrada", _c(qty)).otherwise(-_c(qty))

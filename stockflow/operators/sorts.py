@@ -42,3 +42,14 @@ def sort_stable_cells(deltas: DataFrame, keys: Sequence[str] = ("id_sucursal", "
     keys, order = list(keys), list(order)
     r = deltas.repartition(num_partitions, *keys) if num_partitions else deltas.repartition(*keys)
     return r.sortWithinPartitions(*keys, *order)
+
+
+def sort_small(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Total order for an output whose size is bounded by a dimension (brands,
+    one branch's employees, branch x brand): one partition sorted in place.
+
+    A global ``orderBy`` range-partitions its input and first runs a sampling
+    job to pick the ranges; for a few hundred aggregated rows that is pure
+    overhead. Use ``orderBy`` for outputs that grow with the facts.
+    """
+    return df.coalesce(1).sortWithinPartitions(*order)

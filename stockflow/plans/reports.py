@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions import exprs as X
+from stockflow.operators.sorts import sort_small
+from stockflow.plans.dims import dim_variante
 from stockflow.schema import LOW_STOCK_DEFAULT, MONEY_SUM, UNITS_SUM
 from stockflow.sources.testdata import lines
 
@@ -34,6 +36,10 @@ def _money(c):
     return F.sum(c).cast(MONEY_SUM)
 
 
+def _money_from_cents(c):
+    return X.cents_to_money(F.sum(c))
+
+
 def sales_headers(t: Tables, since=None, year: int | None = None) -> DataFrame:
     """Sale headers (``tipo = 'Salida'``) with optional time filters."""
     m = t["movimientos"].where(F.col("tipo_movimiento") == "Salida")
@@ -50,15 +56,12 @@ def sales_by_variant(t: Tables, headers: DataFrame, extra_keys: tuple[str, ...]
     return (lines(t).select("id_movimiento", "id_variante", "cantidad", "precio_unitario")
             .join(h, "id_movimiento", "inner")
             .groupBy("id_variante", *extra_keys)
-            .agg(F.sum("cantidad").alias("_u"), F.sum(X.line_amount()).alias("_a")))
+            .agg(F.sum("cantidad").alias("_u"), F.sum(X.line_amount_cents()).alias("_c")))
 
 
 def variant_brand(t: Tables) -> DataFrame:
     """id_variante -> id_marca, marca (variant -> product -> brand)."""
-    return (t["producto_variante"].select("id_variante", "id_producto")
-            .join(t["productos"].select("id_producto", "id_marca"), "id_producto", "inner")
-            .join(t["marcas"].select("id_marca", F.col("nombre").alias("marca")), "id_marca", "inner")
-            .select("id_variante", "id_marca", "marca"))
+    return dim_variante(t).select("id_variante", "id_marca", "marca")
 
 
 def revenue_by_brand(t: Tables, as_of=None, months: int = 3, top: int | None = None) -> DataFrame:
@@ -67,20 +70,16 @@ def revenue_by_brand(t: Tables, as_of=None, months: int = 3, top: int | None = N
     per_v = sales_by_variant(t, sales_headers(t, since=X.months_back(as_of, months)))
     out = (per_v.join(variant_brand(t), "id_variante", "inner")
            .groupBy("id_marca", "marca")
-           .agg(_units("_u").alias("total_prendas_vendidas"), _money("_a").alias("recaudacion_total"))
-           .select(F.col("marca").alias("marca_deportiva"), "total_prendas_vendidas", "recaudacion_total")
-           .orderBy(F.col("recaudacion_total").desc()))
-    return out.limit(top) if top else out
+           .agg(_units("_u").alias("total_prendas_vendidas"), _money_from_cents("_c").alias("recaudacion_total"))
+           .select(F.col("marca").alias("marca_deportiva"), "total_prendas_vendidas", "recaudacion_total"))
+    if top:
+        return out.orderBy(F.col("recaudacion_total").desc()).limit(top)
+    return sort_small(out, F.col("recaudacion_total").desc())
 
 
 def variant_labels(t: Tables) -> DataFrame:
     """Variant -> brand, product, size and colour names."""
-    return (t["producto_variante"]
-            .join(t["productos"].select("id_producto", "id_marca", F.col("nombre").alias("producto")),
-                  "id_producto", "inner")
-            .join(t["marcas"].select("id_marca", F.col("nombre").alias("marca")), "id_marca", "inner")
-            .join(t["talles"].select("id_talle", F.col("nomenclatura").alias("talle")), "id_talle", "inner")
-            .join(t["colores"].select("id_color", F.col("nombre_color").alias("color")), "id_color", "inner"))
+    return dim_variante(t)
 
 
 def unsold_variants(t: Tables, as_of=None) -> DataFrame:
@@ -91,20 +90,11 @@ def unsold_variants(t: Tables, as_of=None) -> DataFrame:
     sold = (lines(t).select("id_movimiento", "id_variante")
             .join(sales_headers(t, year=year).select("id_movimiento"), "id_movimiento", "left_semi")
             .select("id_variante"))
-    pv = t["producto_variante"].join(sold, "id_variante", "left_anti")
-    return (variant_labels_of(t, pv)
+    return (dim_variante(t).join(sold, "id_variante", "left_anti")
             .select("marca", "producto", "talle", "color")
             .orderBy("marca", "producto"))
 
 
-def variant_labels_of(t: Tables, pv: DataFrame) -> DataFrame:
-    return (pv.join(t["productos"].select("id_producto", "id_marca", F.col("nombre").alias("producto")),
-                    "id_producto", "inner")
-            .join(t["marcas"].select("id_marca", F.col("nombre").alias("marca")), "id_marca", "inner")
-            .join(t["talles"].select("id_talle", F.col("nomenclatura").alias("talle")), "id_talle", "inner")
-            .join(t["colores"].select("id_color", F.col("nombre_color").alias("color")), "id_color", "inner"))
-
-
 def employee_tickets(t: Tables, branch: str, year: int) -> DataFrame:
     """Report 3: per employee of one branch (by name), distinct sale tickets and revenue in a year.
 
@@ -117,27 +107,22 @@ def employee_tickets(t: Tables, branch: str, year: int) -> DataFrame:
     h = (sales_headers(t, year=year).select("id_movimiento", "id_empleado", "id_sucursal_origen")
          .join(suc, "id_sucursal_origen", "inner"))
     per_mov = (lines(t).select("id_movimiento", "cantidad", "precio_unitario")
-               .join(h.select("id_movimiento"), "id_movimiento", "left_semi")
-               .groupBy("id_movimiento").agg(F.sum(X.line_amount()).alias("_a")))
-    tickets = per_mov.join(h, "id_movimiento", "inner")
+               .join(h, "id_movimiento", "inner")
+               .groupBy("id_movimiento", "id_empleado", "sucursal").agg(F.sum(X.line_amount_cents()).alias("_c")))
     emp = t["empleados"].select("id_empleado", "nombre", "apellido")
-    return (tickets.groupBy("id_empleado", "sucursal")
-            .agg(F.count(F.lit(1)).cast("bigint").alias("cantidad_tickets_emitidos"),
-                 _money("_a").alias("total_plata_ingresada"))
-            .join(emp, "id_empleado", "inner")
-            .select("nombre", "apellido", "sucursal", "cantidad_tickets_emitidos", "total_plata_ingresada")
-            .orderBy(F.col("cantidad_tickets_emitidos").desc(), F.col("total_plata_ingresada").desc()))
+    out = (per_mov.groupBy("id_empleado", "sucursal")
+           .agg(F.count(F.lit(1)).cast("bigint").alias("cantidad_tickets_emitidos"),
+                _money_from_cents("_c").alias("total_plata_ingresada"))
+           .join(emp, "id_empleado", "inner")
+           .select("nombre", "apellido", "sucursal", "cantidad_tickets_emitidos", "total_plata_ingresada"))
+    return sort_small(out, F.col("cantidad_tickets_emitidos").desc(), F.col("total_plata_ingresada").desc())
 
 
 def low_stock(t: Tables, max_stock: int = LOW_STOCK_DEFAULT) -> DataFrame:
     """Report 4: cells with stock below ``max_stock`` (comment says 5, code 35: a parameter)."""
     inv = t["inventario"].where(F.col("cantidad_disponible") < max_stock)
     return (inv.join(t["sucursales"].select("id_sucursal", F.col("nombre").alias("sucursal")), "id_sucursal", "inner")
-            .join(t["producto_variante"].select("id_variante", "id_producto", "id_talle", "id_color"),
-                  "id_variante", "inner")
-            .join(t["productos"].select("id_producto", F.col("nombre").alias("producto")), "id_producto", "inner")
-            .join(t["talles"].select("id_talle", F.col("nomenclatura").alias("talle")), "id_talle", "inner")
-            .join(t["colores"].select("id_color", F.col("nombre_color").alias("color")), "id_color", "inner")
+            .join(dim_variante(t).select("id_variante", "producto", "talle", "color"), "id_variante", "inner")
             .select("sucursal", "producto", "talle", "color", F.col("cantidad_disponible").alias("stock_actual"))
             .orderBy(F.col("sucursal").asc(), F.col("stock_actual").asc()))
 
@@ -148,24 +133,19 @@ def brand_by_branch(t: Tables) -> DataFrame:
     Grouped by names only, so two branches with the same name merge."""
     per = sales_by_variant(t, sales_headers(t), extra_keys=("id_sucursal_origen",))
     suc = t["sucursales"].select(F.col("id_sucursal").alias("id_sucursal_origen"), F.col("nombre").alias("sucursal"))
-    return (per.join(variant_brand(t), "id_variante", "inner")
-            .join(suc, "id_sucursal_origen", "inner")
-            .groupBy("sucursal", "marca")
-            .agg(_units("_u").alias("total_unidades_vendidas"), _money("_a").alias("recaudacion_por_marca"))
-            .orderBy(F.col("sucursal").asc(), F.col("recaudacion_por_marca").desc()))
+    out = (per.join(variant_brand(t), "id_variante", "inner")
+           .join(suc, "id_sucursal_origen", "inner")
+           .groupBy("sucursal", "marca")
+           .agg(_units("_u").alias("total_unidades_vendidas"), _money_from_cents("_c").alias("recaudacion_por_marca")))
+    return sort_small(out, F.col("sucursal").asc(), F.col("recaudacion_por_marca").desc())
 
 
 def view_stock(t: Tables) -> DataFrame:
     """View 1: stock with names only (no internal ids)."""
     inv = t["inventario"]
-    pv = t["producto_variante"].select("id_variante", "id_producto", "id_talle", "id_color", "codigo_barras")
+    dim = dim_variante(t).select("id_variante", "producto", "marca", "talle", "color", "codigo_barras")
     return (inv.join(t["sucursales"].select("id_sucursal", F.col("nombre").alias("sucursal")), "id_sucursal", "inner")
-            .join(pv, "id_variante", "inner")
-            .join(t["productos"].select("id_producto", "id_marca", F.col("nombre").alias("producto")),
-                  "id_producto", "inner")
-            .join(t["marcas"].select("id_marca", F.col("nombre").alias("marca")), "id_marca", "inner")
-            .join(t["talles"].select("id_talle", F.col("nomenclatura").alias("talle")), "id_talle", "inner")
-            .join(t["colores"].select("id_color", F.col("nombre_color").alias("color")), "id_color", "inner")
+            .join(dim, "id_variante", "inner")
             .select("sucursal", "producto", "marca", "talle", "color", "codigo_barras", "cantidad_disponible"))
 
 
