@@ -51,3 +51,4 @@ def oracle_sql() -> dict[str, str]:
 def _load_all():
     # Importing the modules registers their queries.
     from stockflow.plans import catalog_queries, ledger_queries, operator_queries, quality_queries, report_queries  # noqa: F401
+    from stockflow.streaming import queries as stream_queries  # noqa: F401
