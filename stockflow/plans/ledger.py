@@ -193,22 +193,24 @@ FOLD_SCHEMA = T.StructType([
 
 
 def _fold_partition(batches):
-    """Replay one partition sorted by (id_variante, kind, id_detalle).
+    """Replay one partition sorted by (id_variante, cell key, kind, id_detalle).
 
-    State is the branch -> stock map of the *current* variant only, so memory
-    is O(branches) whatever the size of a variant; rows stream through in
-    Arrow batches and are never gathered per group.
+    State is the branch -> stock map of the *current* key only (a variant, or
+    one cell of a transfer-free variant), so memory is O(branches) whatever
+    the size of a key; rows stream through in Arrow batches and are never
+    gathered per group.
 
     Reasons in the order the write path meets them: a reason found before the
     line reached the ledger (``_pre``), stock at origin, quantity, then the
     constraint errors found after that (``_late``: price, unknown key), then a
     NULL receiving branch.
     """
-    cur_v = None
+    cur = None
     stock: dict = {}
     out_cols = [f.name for f in FOLD_SCHEMA.fields]
     for pdf in batches:
         rows = []
+        ck = pdf["_ck"].to_numpy()
         kind = pdf["_kind"].to_numpy()
         var = pdf["id_variante"].to_numpy()
         br = pdf["id_sucursal_origen"].to_numpy()
@@ -221,8 +223,8 @@ def _fold_partition(batches):
         init = pdf["_init"].to_numpy()
         for i in range(len(pdf)):
             v = var[i]
-            if v != cur_v:
-                cur_v, stock = v, {}
+            if (v, ck[i]) != cur:
+                cur, stock = (v, ck[i]), {}
             if kind[i] == 0:             # starting stock of a cell
                 stock[int(br[i])] = int(init[i])
                 continue
@@ -258,22 +260,8 @@ def _fold_partition(batches):
                  "saldo_origen": "Int64", "saldo_destino": "Int64"})
 
 
-def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFrame | None = None,
-                   num_partitions: int | None = None) -> DataFrame:
-    """Accept or reject every line in ``id_detalle`` order against the stock left by earlier accepted lines.
-
-    ``lines``: id_detalle, id_variante, cantidad, precio_unitario, tipo_movimiento,
-    id_sucursal_origen, id_sucursal_destino (optionally ``motivo_previo``, a
-    reason found before the line reached the ledger, e.g. by a procedure check).
-    ``stock``: starting inventario (missing cell = 0). ``pv``: variants, for the
-    foreign-key check.
-
-    A line touches one variant only, and a transfer couples two cells of that
-    same variant, so the replay is keyed by ``id_variante``: one shuffle, then
-    each partition is streamed in (variant, line id) order through a fold that
-    keeps only the current variant's branch -> stock map.
-    """
-    spark = lines.sparkSession
+def _prepare(lines: DataFrame, pv: DataFrame | None) -> DataFrame:
+    """Reasons known before the replay: ``_pre`` (given), ``_late`` (price, unknown variant)."""
     pre = F.col("motivo_previo") if "motivo_previo" in lines.columns else F.lit(None).cast("string")
     late = F.when(F.col("precio_unitario") < 0, F.lit(REASON_PRICE))
     l = lines.withColumn("_pre", pre)
@@ -281,26 +269,133 @@ def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFra
         known = pv.select("id_variante", F.lit(True).alias("_known"))
         l = l.join(known, "id_variante", "left")
         late = late.when(F.col("_known").isNull(), F.lit(REASON_UNKNOWN))
-    l = l.withColumn("_late", late)
-    events = l.select(F.lit(1).alias("_kind"), "id_detalle", "id_variante", "tipo_movimiento",
-                      "id_sucursal_origen", "id_sucursal_destino", F.col("cantidad").cast("int").alias("cantidad"),
-                      "_pre", "_late", F.lit(None).cast("bigint").alias("_init"))
+    return l.withColumn("_late", late).select(
+        "id_detalle", "id_variante", "tipo_movimiento", F.col("id_sucursal_origen").cast("bigint"),
+        F.col("id_sucursal_destino").cast("bigint"), F.col("cantidad").cast("int").alias("cantidad"),
+        "_pre", "_late")
+
+
+def _fold(l: DataFrame, stock: DataFrame | None, cell_key: DataFrame | None, n: int) -> DataFrame:
+    """Sequential replay: one shuffle by (variant, cell key), sort, streamed fold per partition.
+
+    ``cell_key``: per variant, 1 when its cells are independent (no transfer),
+    so the key becomes (variant, branch); otherwise the whole variant is one key.
+    """
+    if cell_key is not None:
+        l = l.join(cell_key, "id_variante", "left")
+        ck = F.when(F.col("_per_cell") == 1, F.col("id_sucursal_origen")).otherwise(F.lit(-1)).cast("bigint")
+    else:
+        ck = F.lit(-1).cast("bigint")
+    events = l.select(F.lit(1).alias("_kind"), ck.alias("_ck"), "id_detalle", "id_variante", "tipo_movimiento",
+                      "id_sucursal_origen", "id_sucursal_destino", "cantidad", "_pre", "_late",
+                      F.lit(None).cast("bigint").alias("_init"))
     if stock is not None:
-        # Only cells of variants that have lines matter.
-        s = stock.join(lines.select("id_variante").distinct(), "id_variante", "left_semi")
+        s = stock.join(l.select("id_variante").distinct(), "id_variante", "left_semi")
+        if cell_key is not None:
+            s = s.join(cell_key, "id_variante", "left")
+            sck = F.when(F.col("_per_cell") == 1, F.col("id_sucursal")).otherwise(F.lit(-1)).cast("bigint")
+        else:
+            sck = F.lit(-1).cast("bigint")
         events = events.unionByName(s.select(
-            F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("id_detalle"), "id_variante",
+            F.lit(0).alias("_kind"), sck.alias("_ck"), F.lit(None).cast("bigint").alias("id_detalle"), "id_variante",
             F.lit(None).cast("string").alias("tipo_movimiento"),
-            F.col("id_sucursal").alias("id_sucursal_origen"), F.lit(None).cast("bigint").alias("id_sucursal_destino"),
+            F.col("id_sucursal").cast("bigint").alias("id_sucursal_origen"),
+            F.lit(None).cast("bigint").alias("id_sucursal_destino"),
             F.lit(None).cast("int").alias("cantidad"), F.lit(None).cast("string").alias("_pre"),
             F.lit(None).cast("string").alias("_late"),
             F.col("cantidad_disponible").cast("bigint").alias("_init")))
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (events.repartition(n, "id_variante")
-               .sortWithinPartitions("id_variante", "_kind", "id_detalle"))
+    ordered = (events.repartition(n, "id_variante", "_ck")
+               .sortWithinPartitions("id_variante", "_ck", "_kind", "id_detalle"))
     return ordered.mapInPandas(_fold_partition, FOLD_SCHEMA)
 
 
+HOT_VARIANT_LINES = 4_000_000   # lines one task may replay in order before the split pays off
+
+
+def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFrame | None = None,
+                   num_partitions: int | None = None, split: bool | str = "auto",
+                   chunk_lines: int = 1 << 16, hot_lines: int = HOT_VARIANT_LINES) -> DataFrame:
+    """Accept or reject every line in ``id_detalle`` order against the stock left by earlier accepted lines.
+
+    ``lines``: id_detalle, id_variante, cantidad, precio_unitario, tipo_movimiento,
+    id_sucursal_origen, id_sucursal_destino (optionally ``motivo_previo``, a
+    reason found before the line reached the ledger, e.g. by a procedure check).
+    ``stock``: starting inventario (missing cell = 0). ``pv``: variants, for the
+    foreign-key check.
+
+    A line touches one variant only, and a transfer couples two cells of that
+    same variant, so a variant is an exact unit of replay. With ``split``
+    the work is divided without changing any result:
+
+    * a variant none of whose lines is invalid and none of whose cells ever
+      goes below zero when every line is applied (start stock + running sum,
+      computed chunk-parallel) has every line accepted: its lines are decided
+      by that window plan, in parallel however hot the variant is;
+    * the remaining variants are replayed sequentially, keyed by variant, or
+      by (variant, branch) when the variant has no transfer (its cells are
+      then independent).
+
+    ``split="auto"`` measures the hottest variant first (one aggregation,
+    one number to the driver) and splits only when it holds more than
+    ``hot_lines`` lines; below that one task replays any variant comfortably
+    and the plain fold (one shuffle) is cheaper. The split path reuses its
+    inputs, so it checkpoints them to the shared checkpoint folder.
+    """
+    spark = lines.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    l = _prepare(lines, pv)
+    if split == "auto":
+        hottest = l.groupBy("id_variante").count().agg(F.max("count")).first()[0] or 0
+        split = hottest > hot_lines
+    if not split:
+        return _fold(l, stock, None, n)
+    l = l.checkpoint(eager=True)
+
+    o, d, q, t = (F.col("id_sucursal_origen"), F.col("id_sucursal_destino"), F.col("cantidad"),
+                  F.col("tipo_movimiento"))
+    is_transfer = t == "Traslado"
+    bad = (F.col("_pre").isNotNull() | F.col("_late").isNotNull() | (q <= 0) | o.isNull()
+           | (is_transfer & (d.isNull() | (o == d))) | ~t.isin("Entrada", "Salida", "Traslado"))
+    # Legs of every line as if accepted, plus the start stock as the first leg of each cell.
+    leg_o = F.struct(o.alias("id_sucursal"), F.when(t == "Entrada", q).otherwise(-q).cast("bigint").alias("delta"),
+                     F.lit(0).alias("leg"))
+    leg_d = F.struct(d.alias("id_sucursal"), q.cast("bigint").alias("delta"), F.lit(1).alias("leg"))
+    legs = l.select("id_detalle", "id_variante",
+                    F.inline(F.when(is_transfer, F.array(leg_o, leg_d)).otherwise(F.array(leg_o))))
+    legs = legs.where(F.col("id_sucursal").isNotNull())
+    if stock is not None:
+        legs = legs.unionByName(stock.join(l.select("id_variante").distinct(), "id_variante", "left_semi").select(
+            F.lit(None).cast("bigint").alias("id_detalle"), "id_variante", F.col("id_sucursal").cast("bigint"),
+            F.col("cantidad_disponible").cast("bigint").alias("delta"), F.lit(-1).alias("leg")))
+    chunk = F.coalesce(F.floor(F.col("id_detalle") / F.lit(chunk_lines)), F.lit(-1).cast("bigint"))
+    run = W.running_sum(legs, ["id_sucursal", "id_variante"], [F.col("id_detalle").asc_nulls_first(), "leg"],
+                        "delta", out="saldo", chunk=chunk).checkpoint(eager=True)
+    per_variant = (l.groupBy("id_variante").agg(F.max(bad.cast("int")).alias("_dirty"),
+                                                F.max(is_transfer.cast("int")).alias("_tr"))
+                   .unionByName(run.groupBy("id_variante").agg(F.max((F.col("saldo") < 0).cast("int")).alias("_dirty"),
+                                                              F.lit(0).alias("_tr")))
+                   .groupBy("id_variante").agg(F.max("_dirty").alias("_dirty"), F.max("_tr").alias("_tr")))
+    flagged = l.join(per_variant, "id_variante", "inner")
+
+    clean = flagged.where(F.col("_dirty") == 0).drop("_dirty", "_tr")
+    after = run.where(F.col("leg") >= 0).select("id_detalle", "leg", "saldo")
+    so = after.where(F.col("leg") == 0).select("id_detalle", F.col("saldo").alias("saldo_origen"))
+    sd = after.where(F.col("leg") == 1).select("id_detalle", F.col("saldo").alias("saldo_destino"))
+    clean_out = (clean.join(so, "id_detalle", "inner").join(sd, "id_detalle", "left")
+                 .select("id_detalle", "id_variante", "tipo_movimiento", "id_sucursal_origen", "id_sucursal_destino",
+                         "cantidad",
+                         (F.col("saldo_origen") - F.when(t == "Entrada", q).otherwise(-q)).cast("bigint")
+                         .alias("disponible"),
+                         F.lit(True).alias("aceptado"), F.lit(None).cast("string").alias("motivo"),
+                         F.col("saldo_origen").cast("bigint"), F.col("saldo_destino").cast("bigint")))
+
+    dirty = flagged.where(F.col("_dirty") == 1).drop("_dirty", "_tr")
+    cell_key = per_variant.select("id_variante", (1 - F.col("_tr")).alias("_per_cell"))
+    dirty_stock = None if stock is None else stock.join(
+        per_variant.where(F.col("_dirty") == 1).select("id_variante"), "id_variante", "left_semi")
+    return clean_out.unionByName(_fold(dirty, dirty_stock, cell_key, n))
+
+
 def apply_accepted(stock: DataFrame, decided: DataFrame) -> DataFrame:
     """New stock = old stock + deltas of accepted lines; missing cells are created.
 

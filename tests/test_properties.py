@@ -48,7 +48,7 @@ def _frame(spark, raw):
     return spark.createDataFrame(rows, LINE_SCHEMA), [(r[0], r[1], r[4], r[5], r[6], r[2]) for r in rows]
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(line, min_size=1, max_size=40), st.integers(0, 4))
 def test_fold_matches_brute_force_any_partitioning(spark, raw, start_qty):
     df, plain = _frame(spark, raw)
@@ -56,9 +56,9 @@ def test_fold_matches_brute_force_any_partitioning(spark, raw, start_qty):
     stock = spark.createDataFrame([(b, v, q) for (b, v), q in start.items()],
                                   "id_sucursal long, id_variante long, cantidad_disponible int")
     expect, final = brute_force(plain, start)
-    for parts in (1, 5):
+    for parts, split in ((1, False), (5, False), (3, True)):
         got = {r["id_detalle"]: (r["aceptado"], r["disponible"])
-               for r in L.validate_stock(df, stock=stock, num_partitions=parts).collect()}
+               for r in L.validate_stock(df, stock=stock, num_partitions=parts, split=split, chunk_lines=8).collect()}
         assert got == expect
     # accepted lines applied to the start never leave a cell below zero, and equal the replay
     dec = L.validate_stock(df, stock=stock)
