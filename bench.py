@@ -5,7 +5,7 @@ Method, as the reference's: load the 12 tables once (timed separately as
 query runs to completion through a no-op sink (no rows shipped to Python).
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (default 3). Prints one JSON line.
+BENCH_RUNS (default 5). Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def timed(fn, runs: int) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = get_session(f"local[{cpus}]", app="stockflow-bench", shuffle_partitions=cpus,
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     root = ensure_checkpoint_dir(spark).rstrip("/") + "/bench"

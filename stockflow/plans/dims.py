@@ -33,3 +33,31 @@ def build_dim_variante(t: Mapping[str, DataFrame]) -> DataFrame:
 def dim_variante(t: Mapping[str, DataFrame]) -> DataFrame:
     """The stored dimension if the table set has one, else built from the 12 tables."""
     return t["dim_variante"] if "dim_variante" in t else build_dim_variante(t)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Plan-time size estimate of a DataFrame (optimizer statistics; runs no job)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """True when Spark's own statistics put ``df`` under the broadcast threshold.
+
+    This is the size check behind every explicit ``broadcast()`` here: a side
+    is broadcast only when its estimate is within
+    ``spark.sql.autoBroadcastJoinThreshold``; otherwise the caller takes the
+    shuffle-based plan.
+    """
+    spark = df.sparkSession
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit_b = _parse_bytes(limit)
+    return limit_b > 0 and estimated_bytes(df) <= limit_b
+
+
+def _parse_bytes(v: str) -> int:
+    v = str(v).strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    for u in sorted(units, key=len, reverse=True):
+        if v.endswith(u) and v[:-len(u)].strip().lstrip("-").isdigit():
+            return int(v[:-len(u)]) * units[u]
+    return int(v)

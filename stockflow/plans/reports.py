@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from stockflow.functions import exprs as X
 from stockflow.operators.sorts import sort_small
-from stockflow.plans.dims import dim_variante
+from stockflow.plans.dims import dim_variante, fits_broadcast
 from stockflow.schema import LOW_STOCK_DEFAULT, MONEY_SUM, UNITS_SUM
 from stockflow.sources.testdata import lines
 
@@ -64,14 +64,34 @@ def variant_brand(t: Tables) -> DataFrame:
     return dim_variante(t).select("id_variante", "id_marca", "marca")
 
 
+def sales_by(t: Tables, headers: DataFrame, dim: DataFrame, keys: tuple[str, ...],
+             header_keys: tuple[str, ...] = ()) -> DataFrame:
+    """Units (``_u``) and amount in cents (``_c``) of the given headers' lines per ``keys``.
+
+    When the dimension side fits the broadcast threshold (plan-time
+    statistics), it is broadcast and lines aggregate straight to the report
+    keys: one shuffle of a few partial rows. Otherwise lines are first summed
+    per variant (map-side partial aggregation, exact since sums decompose)
+    and the dimension is joined to variant-level rows.
+    """
+    if fits_broadcast(dim):
+        h = headers.select("id_movimiento", *header_keys)
+        return (lines(t).select("id_movimiento", "id_variante", "cantidad", "precio_unitario")
+                .join(h, "id_movimiento", "inner")
+                .join(F.broadcast(dim), "id_variante", "inner")
+                .groupBy(*keys)
+                .agg(F.sum("cantidad").alias("_u"), F.sum(X.line_amount_cents()).alias("_c")))
+    per_v = sales_by_variant(t, headers, extra_keys=header_keys)
+    return (per_v.join(dim, "id_variante", "inner").groupBy(*keys)
+            .agg(F.sum("_u").alias("_u"), F.sum("_c").alias("_c")))
+
+
 def revenue_by_brand(t: Tables, as_of=None, months: int = 3, top: int | None = None) -> DataFrame:
     """Report 1: units and revenue of sales since ``as_of - months`` per brand, by revenue desc."""
     as_of = as_of or _dt.date.today()
-    per_v = sales_by_variant(t, sales_headers(t, since=X.months_back(as_of, months)))
-    out = (per_v.join(variant_brand(t), "id_variante", "inner")
-           .groupBy("id_marca", "marca")
-           .agg(_units("_u").alias("total_prendas_vendidas"), _money_from_cents("_c").alias("recaudacion_total"))
-           .select(F.col("marca").alias("marca_deportiva"), "total_prendas_vendidas", "recaudacion_total"))
+    per = sales_by(t, sales_headers(t, since=X.months_back(as_of, months)), variant_brand(t), ("id_marca", "marca"))
+    out = per.select(F.col("marca").alias("marca_deportiva"), F.col("_u").cast(UNITS_SUM).alias("total_prendas_vendidas"),
+                     X.cents_to_money("_c").alias("recaudacion_total"))
     if top:
         return out.orderBy(F.col("recaudacion_total").desc()).limit(top)
     return sort_small(out, F.col("recaudacion_total").desc())
@@ -131,10 +151,10 @@ def brand_by_branch(t: Tables) -> DataFrame:
     """Report 5: units and revenue of all sales per (branch name, brand name).
 
     Grouped by names only, so two branches with the same name merge."""
-    per = sales_by_variant(t, sales_headers(t), extra_keys=("id_sucursal_origen",))
+    per = sales_by(t, sales_headers(t), variant_brand(t), ("id_sucursal_origen", "id_marca", "marca"),
+                   header_keys=("id_sucursal_origen",))
     suc = t["sucursales"].select(F.col("id_sucursal").alias("id_sucursal_origen"), F.col("nombre").alias("sucursal"))
-    out = (per.join(variant_brand(t), "id_variante", "inner")
-           .join(suc, "id_sucursal_origen", "inner")
+    out = (per.join(suc, "id_sucursal_origen", "inner")
            .groupBy("sucursal", "marca")
            .agg(_units("_u").alias("total_unidades_vendidas"), _money_from_cents("_c").alias("recaudacion_por_marca")))
     return sort_small(out, F.col("sucursal").asc(), F.col("recaudacion_por_marca").desc())

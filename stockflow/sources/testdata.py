@@ -45,6 +45,7 @@ STATUS_TO_TYPE = {"F": "Salida", "O": "Entrada", "P": "Traslado"}
 PROFILE_BY_MOD3 = {0: "Administrador", 1: "Operativo", 2: "Consulta"}
 N_BRANCHES = 25          # nations in the test data
 OPENING_BUFFER = 2
+ID_BUCKET_ORDERS = 1 << 14   # order keys per id-assignment bucket inside a day
 # Report parameters on the test data
 AS_OF = "2001-08-01"      # last order date
 REPORT3_BRANCH = "NATION_1"
@@ -191,9 +192,11 @@ def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
         o = raw("orders").select("o_orderkey", "o_orderdate")
         li = lines_raw().join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         order = [F.col(c).asc_nulls_first() for c in LINE_ORDER]
-        # Buckets: one per order date (monotone in the line order).
-        li = li.withColumn("_sf_day", F.coalesce(F.to_date("o_orderdate"), F.lit("0001-01-01").cast("date")))
-        li = id_assign(li, order, id_col="id_detalle", bucket=["_sf_day"])
+        # Buckets: (order date, order-key range) is monotone in the line order
+        # (date first, then order key), and a busy day splits into many buckets.
+        li = (li.withColumn("_sf_day", F.coalesce(F.to_date("o_orderdate"), F.lit("0001-01-01").cast("date")))
+                .withColumn("_sf_okr", F.floor(F.col("l_orderkey") / F.lit(ID_BUCKET_ORDERS))))
+        li = id_assign(li, order, id_col="id_detalle", bucket=["_sf_day", "_sf_okr"])
         return li.select("id_detalle",
                          F.col("l_quantity").cast("int").alias("cantidad"),
                          F.col("l_extendedprice").cast(MONEY).alias("precio_unitario"),
