@@ -79,11 +79,23 @@ def months_back(as_of: _dt.date | str, n: int) -> Column:
     return F.add_months(F.lit(_to_date(as_of)), -n).cast("timestamp_ntz")
 
 
+def ntz(value) -> Column:
+    """A TIMESTAMP WITHOUT TIME ZONE literal built from text, so neither the
+    Python process's nor the session's time zone can shift it."""
+    if isinstance(value, Column):
+        return value.cast("timestamp_ntz")
+    if isinstance(value, _dt.datetime):
+        text = value.strftime("%Y-%m-%d %H:%M:%S.%f")
+    elif isinstance(value, _dt.date):
+        text = value.strftime("%Y-%m-%d 00:00:00")
+    else:
+        text = str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def year_range(year: int) -> tuple[Column, Column]:
     """Half-open [Jan 1 of year, Jan 1 of year+1) so Parquet min/max stats can prune."""
-    lo = F.lit(_dt.datetime(year, 1, 1)).cast("timestamp_ntz")
-    hi = F.lit(_dt.datetime(year + 1, 1, 1)).cast("timestamp_ntz")
-    return lo, hi
+    return ntz(_dt.date(year, 1, 1)), ntz(_dt.date(year + 1, 1, 1))
 
 
 def in_year(ts: ColOrName, year: int) -> Column:

@@ -72,7 +72,8 @@ def flt_zero_price_sale(lines_hdr: DataFrame) -> DataFrame:
 
 
 def proj_line_amount(det: DataFrame, out: str = "importe") -> DataFrame:
-    return det.withColumn(out, X.line_amount())
+    """quantity x unit price, exact: DECIMAL(23,2) (int x DECIMAL(12,2))."""
+    return det.withColumn(out, X.line_amount().cast("decimal(23,2)"))
 
 
 def proj_signed_delta(lines_hdr: DataFrame, out: str = "delta") -> DataFrame:
@@ -89,5 +90,5 @@ def proj_rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def proj_default_time(mov: DataFrame, batch_time, col: str = "fecha_hora") -> DataFrame:
     """A missing movement time becomes the batch time (the column's CURRENT_TIMESTAMP default)."""
-    now: Column = F.lit(batch_time).cast("timestamp_ntz")
+    now: Column = X.ntz(batch_time)
     return mov.withColumn(col, F.coalesce(F.col(col), now))

@@ -51,7 +51,7 @@ def _request_movements(req: DataFrame, t: Tables, tipo: str, origin: str, dest:
     when = F.col("fecha_hora") if "fecha_hora" in req.columns else F.lit(None).cast("timestamp_ntz")
     base = req.select(
         "request_id",
-        F.coalesce(when, F.lit(batch_time).cast("timestamp_ntz")).alias("fecha_hora"),
+        F.coalesce(when, X.ntz(batch_time)).alias("fecha_hora"),
         F.lit(tipo).alias("tipo_movimiento"),
         F.col("observaciones") if "observaciones" in req.columns else F.lit(None).cast("string").alias("observaciones"),
         F.col(origin).cast("bigint").alias("id_sucursal_origen"),

@@ -127,7 +127,7 @@ def opening_movements(mov: DataFrame, det: DataFrame, prod: DataFrame, pv: DataF
     op = opening_stock(mov, det, buffer)
     branches = op.select("id_sucursal").distinct()
     headers = id_continue(branches, mov, "id_movimiento", ["id_sucursal"]).select(
-        "id_movimiento", F.lit(opening_time).cast("timestamp_ntz").alias("fecha_hora"),
+        "id_movimiento", X.ntz(opening_time).alias("fecha_hora"),
         F.lit("Entrada").alias("tipo_movimiento"), F.lit(observation).alias("observaciones"),
         F.col("id_sucursal").alias("id_sucursal_origen"),
         F.lit(None).cast("bigint").alias("id_sucursal_destino"),
