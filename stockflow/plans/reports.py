@@ -118,22 +118,23 @@ def unsold_variants(t: Tables, as_of=None) -> DataFrame:
 def employee_tickets(t: Tables, branch: str, year: int) -> DataFrame:
     """Report 3: per employee of one branch (by name), distinct sale tickets and revenue in a year.
 
-    The branch filter becomes a semi join of the headers on the (tiny) set of
-    branch ids with that name; revenue is summed per movement first, so the
-    distinct count is a plain count of per-movement rows.
+    The branch filter and the employee names go into the (small) header side
+    first; revenue is summed per movement, so the distinct ticket count is a
+    plain count of per-movement rows (two small aggregation steps, no
+    distinct expansion).
     """
     suc = t["sucursales"].where(F.col("nombre") == branch).select(
         F.col("id_sucursal").alias("id_sucursal_origen"), F.col("nombre").alias("sucursal"))
     h = (sales_headers(t, year=year).select("id_movimiento", "id_empleado", "id_sucursal_origen")
-         .join(suc, "id_sucursal_origen", "inner"))
+         .join(suc, "id_sucursal_origen", "inner")
+         .join(t["empleados"].select("id_empleado", "nombre", "apellido"), "id_empleado", "inner"))
+    keys = ["id_empleado", "nombre", "apellido", "sucursal"]
     per_mov = (lines(t).select("id_movimiento", "cantidad", "precio_unitario")
                .join(h, "id_movimiento", "inner")
-               .groupBy("id_movimiento", "id_empleado", "sucursal").agg(F.sum(X.line_amount_cents()).alias("_c")))
-    emp = t["empleados"].select("id_empleado", "nombre", "apellido")
-    out = (per_mov.groupBy("id_empleado", "sucursal")
+               .groupBy("id_movimiento", *keys).agg(F.sum(X.line_amount_cents()).alias("_c")))
+    out = (per_mov.groupBy(*keys)
            .agg(F.count(F.lit(1)).cast("bigint").alias("cantidad_tickets_emitidos"),
                 _money_from_cents("_c").alias("total_plata_ingresada"))
-           .join(emp, "id_empleado", "inner")
            .select("nombre", "apellido", "sucursal", "cantidad_tickets_emitidos", "total_plata_ingresada"))
     return sort_small(out, F.col("cantidad_tickets_emitidos").desc(), F.col("total_plata_ingresada").desc())
 
