@@ -25,6 +25,7 @@ from stockflow.functions import exprs as X
 from stockflow.operators import windows as W
 from stockflow.operators.ids import id_continue
 from stockflow.schema import CONSUMING_TYPES, MONEY
+from stockflow.session import ensure_checkpoint_dir
 
 HEADER_COLS = ["id_movimiento", "fecha_hora", "tipo_movimiento", "id_sucursal_origen", "id_sucursal_destino"]
 
@@ -349,6 +350,7 @@ def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFra
         split = hottest > hot_lines
     if not split:
         return _fold(l, stock, None, n)
+    ensure_checkpoint_dir(spark)            # the cluster's shared folder, set only when unset
     l = l.checkpoint(eager=True)
 
     o, d, q, t = (F.col("id_sucursal_origen"), F.col("id_sucursal_destino"), F.col("cantidad"),
