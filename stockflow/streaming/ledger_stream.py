@@ -34,6 +34,16 @@ from stockflow.schema import CONSUMING_TYPES
 from stockflow.sources import files as FS
 
 STATE_SCHEMA = "branches array<bigint>, stocks array<bigint>"
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Keep keyed state in RocksDB (off-heap, spills to local disk, checkpointed to the
+    shared checkpoint folder) unless the session already names a provider."""
+    current = spark.conf.get(_PROVIDER_KEY, None)
+    if not current or current.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(_PROVIDER_KEY, ROCKSDB_PROVIDER)
 LINE_COLUMNS = ["id_detalle", "id_variante", "cantidad", "precio_unitario", "tipo_movimiento",
                 "id_sucursal_origen", "id_sucursal_destino"]
 
@@ -114,6 +124,7 @@ def stream_stock_ledger(lines: DataFrame, pv: DataFrame | None = None, stock: Da
             F.lit(None).cast("bigint").alias("id_sucursal_destino"), F.lit(None).cast("int").alias("cantidad"),
             F.lit(None).cast("string").alias("ev_pre"), F.lit(None).cast("string").alias("ev_late"),
             F.col("cantidad_disponible").cast("bigint").alias("ev_init")))
+    use_rocksdb_state(lines.sparkSession)
     return events.groupBy("id_variante").applyInPandasWithState(
         _replay_variant, L.FOLD_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
