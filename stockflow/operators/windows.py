@@ -2,7 +2,7 @@
 
 A plain ``sum().over(partitionBy(cell).orderBy(t))`` puts every row of a cell
 into one task. If one cell holds a third of all rows that task is the job.
-``chunked_prefix`` splits each key into contiguous *chunks* of the order
+``running_sum`` and ``prefix_min_and_total`` split each key into contiguous *chunks* of the order
 (for example one day of movements), computes the running sum inside each
 (key, chunk) in parallel, then adds each chunk's offset from a prefix sum over
 the small per-chunk table. The result is exact for any skew as long as the
@@ -68,18 +68,3 @@ def prefix_min_and_total(df: DataFrame, keys: Sequence[str], order: Sequence[str
     return per_chunk.groupBy(*keys).agg(
         F.min(F.col("_sf_off") + F.col("_sf_min")).alias(min_out),
         F.sum("_sf_tot").alias(total_out))
-
-
-def share_of_partition(df: DataFrame, value: str, keys: Sequence[str], out: str = "share") -> DataFrame:
-    """``value / sum(value) over (partition by keys)``; ``keys=[]`` is the grand total.
-
-    The grand total is taken as an aggregate scalar, not an unpartitioned
-    window, so no single task sees all rows.
-    """
-    keys = list(keys)
-    if not keys:
-        total = df.select(F.sum(value)).scalar()
-        return df.withColumn(out, F.col(value) / total)
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("_sf_total"))
-    return (df.join(totals, on=keys, how="inner")
-              .withColumn(out, F.col(value) / F.col("_sf_total")).drop("_sf_total"))

@@ -14,8 +14,6 @@ origin cell has at least the quantity left by the accepted lines before it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -416,6 +414,3 @@ def apply_accepted(stock: DataFrame, decided: DataFrame) -> DataFrame:
                     (F.coalesce(F.col("cantidad_disponible"), F.lit(0)) + F.coalesce(F.col("_d"), F.lit(0)))
                     .cast("int").alias("cantidad_disponible")))
 
-
-def ledger_tables(t: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    return t["movimientos"], t["detalle_movimientos"]

@@ -105,3 +105,38 @@ def test_layout_prunes_partitions(spark):
     back = spark.read.parquet(path).where("tipo_movimiento = 'Salida' AND anio = 2025")
     assert back.count() == 1
     assert "PartitionFilters: [isnotnull(tipo_movimiento" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalog_csv_and_full_refresh(spark):
+    root = tempfile.mkdtemp(prefix="sf-cat-")
+    cat = spark.createDataFrame([("Remera", "algodon", decimal.Decimal("150.50"), "Alfa", "Remeras")],
+                                FS.CATALOG_SCHEMA)
+    # columns written in another order: the reader maps them by name
+    cat.select("marca", "categoria", "nombre", "precio_venta_actual", "descripcion").write.option(
+        "header", True).csv(root + "/catalogo.csv")
+    back = FS.src_catalog_csv(spark, root + "/catalogo.csv").collect()[0]
+    assert back["precio_venta_actual"] == decimal.Decimal("150.50") and back["marca"] == "Alfa"
+    FS.load_full_refresh(cat, root + "/t")
+    FS.load_full_refresh(cat.limit(0), root + "/t")
+    assert spark.read.parquet(root + "/t").count() == 0
+
+
+def test_bucketed_header_detail_join_has_no_shuffle(spark, seed):
+    import datetime as dt
+    loc = tempfile.mkdtemp(prefix="sf-wh-")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS sf_bucket LOCATION '{loc}'")
+    mov = spark.createDataFrame([(i, dt.datetime(2026, 1, 1), "Salida", None, 1, None, 1, None) for i in range(50)],
+                                seed["movimientos"].schema)
+    det = spark.createDataFrame([(i, 1, decimal.Decimal("1.00"), i % 50, 1) for i in range(200)],
+                                seed["detalle_movimientos"].schema)
+    FS.write_bucketed(mov, "sf_bucket.mov", 4, "id_movimiento")
+    FS.write_bucketed(det, "sf_bucket.det", 4, "id_movimiento")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("sf_bucket.det").join(spark.table("sf_bucket.mov"), "id_movimiento")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
