@@ -2,10 +2,10 @@
 
 A plain ``sum().over(partitionBy(cell).orderBy(t))`` puts every row of a cell
 into one task. If one cell holds a third of all rows that task is the job.
-``running_sum`` and ``prefix_min_and_total`` split each key into contiguous *chunks* of the order
-(for example one day of movements), computes the running sum inside each
-(key, chunk) in parallel, then adds each chunk's offset from a prefix sum over
-the small per-chunk table. The result is exact for any skew as long as the
+``running_sum`` and ``prefix_min_and_total`` split each key into contiguous
+*chunks* of the order (for example one day of movements), compute the running
+sum inside each (key, chunk) in parallel, then add each chunk's offset from a
+prefix sum over the small per-chunk table. The result is exact for any skew as long as the
 chunk column is monotone in the order.
 """
 
