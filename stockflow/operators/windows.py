@@ -30,6 +30,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(_UNB, Window.currentRow)
         return df.withColumn(out, F.sum(value).over(w))
+    # The in-chunk window shuffles by (key, chunk); the per-chunk sums and the
+    # join back reuse that partitioning, only the small per-chunk table moves again.
     x = df.withColumn("_sf_chunk", chunk)
     w_in = Window.partitionBy(*keys, "_sf_chunk").orderBy(*order).rowsBetween(_UNB, Window.currentRow)
     x = x.withColumn("_sf_in", F.sum(value).over(w_in))
@@ -49,16 +51,19 @@ def chunk_offsets(x: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def prefix_min_and_total(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str,
-                         chunk: Column | None = None, min_out: str = "worst", total_out: str = "net") -> DataFrame:
+                         chunk: Column | str | None = None, min_out: str = "worst", total_out: str = "net") -> DataFrame:
     """Per key: the minimum of the running sum and the total, without emitting per-row sums.
 
     Two aggregation levels: inside a (key, chunk) the running sum and its min;
     across chunks ``min(offset + chunk_min)``. Work per task is bounded by the
-    chunk size, not the key size.
+    chunk size, not the key size. ``chunk`` may name a column already present
+    (e.g. when the input was pre-aggregated on a partitioning by key + chunk).
     """
     keys, order = list(keys), list(order)
-    chunk = chunk if chunk is not None else F.lit(0)
-    x = df.withColumn("_sf_chunk", chunk)
+    if isinstance(chunk, str):
+        x = df.withColumnRenamed(chunk, "_sf_chunk") if chunk != "_sf_chunk" else df
+    else:
+        x = df.withColumn("_sf_chunk", chunk if chunk is not None else F.lit(0))
     w_in = Window.partitionBy(*keys, "_sf_chunk").orderBy(*order).rowsBetween(_UNB, Window.currentRow)
     per_chunk = (x.withColumn("_sf_run", F.sum(value).over(w_in))
                   .groupBy(*keys, "_sf_chunk")

@@ -74,22 +74,28 @@ def running_balance(mov: DataFrame, det: DataFrame, chunk_lines: int = 1 << 16)
         "id_detalle", "leg", "id_sucursal", "id_variante", "delta", F.col("saldo").cast("bigint").alias("saldo"))
 
 
-def _movement_cell_deltas(mov: DataFrame, det: DataFrame) -> DataFrame:
+def _movement_cell_deltas(mov: DataFrame, det: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Deltas pre-aggregated per (cell, movement). Lines of one movement on one
     cell all have the same sign, so their order inside the movement does not
-    change any running minimum; summing them first shrinks the window input."""
-    d = deltas(mov, det, keep=[])   # carries the header's fecha_hora
-    return (d.where(F.col("id_sucursal").isNotNull())
-            .groupBy("id_sucursal", "id_variante", "fecha_hora", "id_movimiento")
+    change any running minimum; summing them first shrinks the window input.
+
+    With ``chunk`` (monotone in the movement order), rows are shuffled once by
+    (cell, chunk) and the sum per movement runs on that partitioning, so the
+    chunked window that follows needs no further shuffle of the legs."""
+    d = deltas(mov, det, keep=[]).where(F.col("id_sucursal").isNotNull())   # carries the header's fecha_hora
+    if chunk is None:
+        return d.groupBy("id_sucursal", "id_variante", "fecha_hora", "id_movimiento").agg(F.sum("delta").alias("d"))
+    d = d.withColumn("_sf_chunk", chunk).repartition("id_sucursal", "id_variante", "_sf_chunk")
+    return (d.groupBy("id_sucursal", "id_variante", "_sf_chunk", "fecha_hora", "id_movimiento")
             .agg(F.sum("delta").alias("d")))
 
 
 def worst_dip(mov: DataFrame, det: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Per cell: lowest running balance, capped at 0 (``minimum(min, 0)``), and the net."""
-    per = _movement_cell_deltas(mov, det)
     chunk = chunk if chunk is not None else F.to_date("fecha_hora")
+    per = _movement_cell_deltas(mov, det, chunk)
     stats = W.prefix_min_and_total(per, ["id_sucursal", "id_variante"], ["fecha_hora", "id_movimiento"], "d",
-                                   chunk=chunk, min_out="peor", total_out="neto")
+                                   chunk="_sf_chunk", min_out="peor", total_out="neto")
     return stats.select("id_sucursal", "id_variante",
                         X.clip_max_zero("peor").cast("bigint").alias("peor_saldo"),
                         F.col("neto").cast("bigint").alias("neto"))
