@@ -14,7 +14,10 @@ origin cell has at least the quantity left by the accepted lines before it.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -420,3 +423,8 @@ def apply_accepted(stock: DataFrame, decided: DataFrame) -> DataFrame:
                     (F.coalesce(F.col("cantidad_disponible"), F.lit(0)) + F.coalesce(F.col("_d"), F.lit(0)))
                     .cast("int").alias("cantidad_disponible")))
 
+
+# The fold runs in Python workers, which may not have this package on their
+# path (a driver-side checkout, no --py-files): ship the worker function by
+# value. It only uses pandas and the constants above.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

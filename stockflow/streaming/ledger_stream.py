@@ -22,14 +22,18 @@ The rows of one variant inside one micro-batch are bounded by the batch size
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stockflow.plans import ledger as L
+from stockflow.plans.ledger import (FOLD_SCHEMA, REASON_NO_BRANCH, REASON_PRICE, REASON_QUANTITY, REASON_STOCK,
+                                    REASON_UNKNOWN)
 from stockflow.schema import CONSUMING_TYPES
 from stockflow.sources import files as FS
 
@@ -44,6 +48,7 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     current = spark.conf.get(_PROVIDER_KEY, None)
     if not current or current.endswith("HDFSBackedStateStoreProvider"):
         spark.conf.set(_PROVIDER_KEY, ROCKSDB_PROVIDER)
+FOLD_COLS = [f.name for f in FOLD_SCHEMA.fields]
 LINE_COLUMNS = ["id_detalle", "id_variante", "cantidad", "precio_unitario", "tipo_movimiento",
                 "id_sucursal_origen", "id_sucursal_destino"]
 
@@ -74,13 +79,13 @@ def _replay_variant(key, pdf_iter: Iterator[pd.DataFrame], state: GroupState) ->
         avail = stock.get(o, 0) if o is not None else 0
         reason = r.ev_pre if isinstance(r.ev_pre, str) else None
         if reason is None and t in CONSUMING_TYPES and avail < q:
-            reason = L.REASON_STOCK
+            reason = REASON_STOCK
         if reason is None and q <= 0:
-            reason = L.REASON_QUANTITY
+            reason = REASON_QUANTITY
         if reason is None and isinstance(r.ev_late, str):
             reason = r.ev_late
         if reason is None and ((t == "Entrada" and o is None) or (t == "Traslado" and d is None)):
-            reason = L.REASON_NO_BRANCH
+            reason = REASON_NO_BRANCH
         ok = reason is None
         if ok:
             if t == "Entrada":
@@ -94,7 +99,7 @@ def _replay_variant(key, pdf_iter: Iterator[pd.DataFrame], state: GroupState) ->
                      stock.get(o) if o is not None else None, stock.get(d) if d is not None else None))
     state.update((list(stock.keys()), list(stock.values())))
     if rows:
-        cols = [f.name for f in L.FOLD_SCHEMA.fields]
+        cols = FOLD_COLS
         yield pd.DataFrame.from_records(rows, columns=cols).astype(
             {"id_sucursal_origen": "Int64", "id_sucursal_destino": "Int64",
              "saldo_origen": "Int64", "saldo_destino": "Int64"})
@@ -108,11 +113,11 @@ def stream_stock_ledger(lines: DataFrame, pv: DataFrame | None = None, stock: Da
     ``stock``: optional streaming rows of starting stock that arrive first.
     """
     pre = F.col("motivo_previo") if "motivo_previo" in lines.columns else F.lit(None).cast("string")
-    late = F.when(F.col("precio_unitario") < 0, F.lit(L.REASON_PRICE))
+    late = F.when(F.col("precio_unitario") < 0, F.lit(REASON_PRICE))
     x = lines.withColumn("ev_pre", pre)
     if pv is not None:
         x = x.join(pv.select("id_variante", F.lit(True).alias("_known")), "id_variante", "left")
-        late = late.when(F.col("_known").isNull(), F.lit(L.REASON_UNKNOWN))
+        late = late.when(F.col("_known").isNull(), F.lit(REASON_UNKNOWN))
     events = x.select(F.lit(1).alias("ev_kind"), "id_detalle", "id_variante", "tipo_movimiento",
                       F.col("id_sucursal_origen").cast("bigint"), F.col("id_sucursal_destino").cast("bigint"),
                       F.col("cantidad").cast("int"), "ev_pre", late.alias("ev_late"),
@@ -126,7 +131,7 @@ def stream_stock_ledger(lines: DataFrame, pv: DataFrame | None = None, stock: Da
             F.col("cantidad_disponible").cast("bigint").alias("ev_init")))
     use_rocksdb_state(lines.sparkSession)
     return events.groupBy("id_variante").applyInPandasWithState(
-        _replay_variant, L.FOLD_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _replay_variant, FOLD_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
 def latest_per_cell(decided: DataFrame) -> DataFrame:
@@ -169,3 +174,8 @@ def stream_publish_stock(decided: DataFrame, root: str, checkpoint: str, trigger
     w = decided.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start()
+
+
+# The keyed replay runs in Python workers, which may not have this package on
+# their path: ship it by value (it only uses pandas and the constants above).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
