@@ -104,12 +104,16 @@ def variant_labels(t: Tables) -> DataFrame:
 
 def unsold_variants(t: Tables, as_of=None) -> DataFrame:
     """Report 2: variants with no sale in the year of ``as_of`` (NOT IN -> anti join;
-    ``id_variante`` is NOT NULL on both sides so the two agree)."""
+    ``id_variante`` is NOT NULL on both sides so the two agree).
+
+    The sold set is reduced to distinct variants (map-side partial distinct)
+    before the anti join, so the build side of that join is bounded by the
+    variant count, not by the number of lines sold."""
     as_of = as_of or _dt.date.today()
     year = X._to_date(as_of).year
     sold = (lines(t).select("id_movimiento", "id_variante")
             .join(sales_headers(t, year=year).select("id_movimiento"), "id_movimiento", "left_semi")
-            .select("id_variante"))
+            .select("id_variante").distinct())
     return (dim_variante(t).join(sold, "id_variante", "left_anti")
             .select("marca", "producto", "talle", "color")
             .orderBy("marca", "producto"))
@@ -118,23 +122,31 @@ def unsold_variants(t: Tables, as_of=None) -> DataFrame:
 def employee_tickets(t: Tables, branch: str, year: int) -> DataFrame:
     """Report 3: per employee of one branch (by name), distinct sale tickets and revenue in a year.
 
-    The branch filter and the employee names go into the (small) header side
-    first; revenue is summed per movement, so the distinct ticket count is a
-    plain count of per-movement rows (two small aggregation steps, no
-    distinct expansion).
+    The branch filter reaches the header side as a semi join, so the header
+    side's size estimate stays bounded by the headers (an inner join is
+    estimated as the product of its inputs, which made Spark pick the lines as
+    the broadcast side). The headers are broadcast only when that bound is
+    under the threshold; otherwise the join is left to Spark (shuffled).
+    Revenue is summed per movement, so the distinct ticket count is a plain
+    count of per-movement rows (two small aggregation steps, no distinct
+    expansion), and employee names (one row per ``id_empleado``) are
+    attached to the per-employee rows after both aggregations.
     """
     suc = t["sucursales"].where(F.col("nombre") == branch).select(
         F.col("id_sucursal").alias("id_sucursal_origen"), F.col("nombre").alias("sucursal"))
     h = (sales_headers(t, year=year).select("id_movimiento", "id_empleado", "id_sucursal_origen")
-         .join(suc, "id_sucursal_origen", "inner")
-         .join(t["empleados"].select("id_empleado", "nombre", "apellido"), "id_empleado", "inner"))
-    keys = ["id_empleado", "nombre", "apellido", "sucursal"]
+         .join(suc.select("id_sucursal_origen"), "id_sucursal_origen", "left_semi"))
+    if fits_broadcast(h):
+        h = F.broadcast(h)
+    keys = ["id_empleado", "sucursal"]
     per_mov = (lines(t).select("id_movimiento", "cantidad", "precio_unitario")
                .join(h, "id_movimiento", "inner")
+               .join(suc, "id_sucursal_origen", "inner")
                .groupBy("id_movimiento", *keys).agg(F.sum(X.line_amount_cents()).alias("_c")))
-    out = (per_mov.groupBy(*keys)
-           .agg(F.count(F.lit(1)).cast("bigint").alias("cantidad_tickets_emitidos"),
-                _money_from_cents("_c").alias("total_plata_ingresada"))
+    per_emp = (per_mov.groupBy(*keys)
+               .agg(F.count(F.lit(1)).cast("bigint").alias("cantidad_tickets_emitidos"),
+                    _money_from_cents("_c").alias("total_plata_ingresada")))
+    out = (per_emp.join(t["empleados"].select("id_empleado", "nombre", "apellido"), "id_empleado", "inner")
            .select("nombre", "apellido", "sucursal", "cantidad_tickets_emitidos", "total_plata_ingresada"))
     return sort_small(out, F.col("cantidad_tickets_emitidos").desc(), F.col("total_plata_ingresada").desc())
 
