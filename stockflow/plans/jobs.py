@@ -159,6 +159,27 @@ def reject_policy(res: JobResult, policy: str = "reject") -> tuple[DataFrame, Da
     raise ValueError(f"unknown policy {policy!r}")
 
 
+def policy_counts(res: JobResult) -> DataFrame:
+    """Published and quarantined request counts under both policies, in one pass.
+
+    One aggregation over the results (accepted, rejected, total), then two
+    rows derived from it: ``reject`` publishes the accepted ones, ``fail``
+    publishes all or nothing. The results are evaluated once, not once per
+    policy and side as the four ``reject_policy`` outputs would be.
+    """
+    acc = F.col("aceptado")
+    tot = res.results.agg(F.count(F.lit(1)).alias("_n"),
+                          F.count(F.when(acc, 1)).alias("_ok"),
+                          F.count(F.when(~acc, 1)).alias("_bad"))
+    clean = F.col("_bad") == 0
+    return tot.select(F.inline(F.array(
+        F.struct(F.lit("reject").alias("politica"), F.col("_ok").alias("publicadas"),
+                 F.col("_bad").alias("en_cuarentena")),
+        F.struct(F.lit("fail").alias("politica"), F.when(clean, F.col("_n")).otherwise(0).alias("publicadas"),
+                 F.when(clean, 0).otherwise(F.col("_n")).alias("en_cuarentena"))))).select(
+        "politica", F.col("publicadas").cast("bigint"), F.col("en_cuarentena").cast("bigint"))
+
+
 def snapshot_compare(before: DataFrame, after: DataFrame, cells: DataFrame,
                      tags: tuple[str, str] = ("antes", "despues")) -> DataFrame:
     """Stock of the given cells before and after a job, tagged and stacked."""

@@ -335,15 +335,7 @@ SELECT 'fail', CAST(CASE WHEN bool_and(aceptado) THEN count(*) ELSE 0 END AS BIG
 """, recursive=True)
 def job_reject_policy(t):
     """Published and quarantined request counts of the sale batch under both policies."""
-    res = J.job_sell(_requests(t, "Salida"), t, t["inventario"], BATCH_TIME)
-    out = None
-    for policy in ("reject", "fail"):
-        pub, quar = J.reject_policy(res, policy)
-        row = pub.agg(F.count(F.lit(1)).alias("publicadas")).select(
-            F.lit(policy).alias("politica"), F.col("publicadas").cast("bigint").alias("publicadas"),
-            quar.select(F.count(F.lit(1))).scalar().cast("bigint").alias("en_cuarentena"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return J.policy_counts(J.job_sell(_requests(t, "Salida"), t, t["inventario"], BATCH_TIME))
 
 
 @register("snapshot_compare", _TRANSFER_CTES + "," + apply_sql("inventario").strip() + """,

@@ -59,6 +59,8 @@ def test_partial_receipt_batch(spark, seed):
     assert published.count() == 1 and quarantined.count() == 1
     published, quarantined = J.reject_policy(res, "fail")
     assert published.count() == 0 and quarantined.count() == 2
+    counts = {r["politica"]: (r["publicadas"], r["en_cuarentena"]) for r in J.policy_counts(res).collect()}
+    assert counts == {"reject": (1, 1), "fail": (0, 2)}
 
 
 def test_transfer_moves_between_branches(spark, seed):
