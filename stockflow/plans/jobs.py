@@ -42,6 +42,9 @@ class JobResult:
     headers: DataFrame      # accepted movement headers (new ids)
     lines: DataFrame        # accepted lines (new ids)
     stock: DataFrame        # new stock version
+    decided: DataFrame | None = None        # requests joined with their decision; every output derives from it
+    stock_before: DataFrame | None = None
+    tipo: str | None = None
 
 
 def _request_movements(req: DataFrame, t: Tables, tipo: str, origin: str, dest: str | None,
@@ -76,6 +79,11 @@ def _run(req: DataFrame, t: Tables, stock: DataFrame, tipo: str) -> JobResult:
     decided = L.validate_stock(reqs, stock=stock, pv=t["producto_variante"])
     out = reqs.select("request_id", "id_movimiento", "id_detalle", "fecha_hora", "observaciones", "id_empleado", "id_proveedor", "precio_unitario").join(
         decided, "id_detalle", "inner")
+    return _assemble(out, stock, tipo)
+
+
+def _assemble(out: DataFrame, stock: DataFrame, tipo: str) -> JobResult:
+    """The four job outputs from the decided requests (``out``)."""
     results = out.select(
         "request_id", "id_movimiento", "id_detalle", "id_variante", "id_sucursal_origen", "id_sucursal_destino",
         "cantidad", "precio_unitario", "disponible", "aceptado", "motivo",
@@ -86,7 +94,7 @@ def _run(req: DataFrame, t: Tables, stock: DataFrame, tipo: str) -> JobResult:
     headers = acc.select("id_movimiento", "fecha_hora", "tipo_movimiento", "observaciones", "id_sucursal_origen",
                          "id_sucursal_destino", "id_empleado", "id_proveedor")
     new_lines = acc.select("id_detalle", "cantidad", "precio_unitario", "id_movimiento", "id_variante")
-    return JobResult(results, headers, new_lines, L.apply_accepted(stock, decided))
+    return JobResult(results, headers, new_lines, L.apply_accepted(stock, out), out, stock, tipo)
 
 
 def job_receive(req: DataFrame, t: Tables, stock: DataFrame, batch_time) -> JobResult:
@@ -180,6 +188,38 @@ def policy_counts(res: JobResult) -> DataFrame:
         "politica", F.col("publicadas").cast("bigint"), F.col("en_cuarentena").cast("bigint"))
 
 
+def publish_job(res: JobResult, root: str, policy: str = "reject") -> tuple[str, bool]:
+    """Write a job's outputs as one new version folder under ``root`` and publish it.
+
+    The results, headers, lines and new stock all derive from the decided
+    requests, so those are checkpointed once to the shared checkpoint folder
+    (``spark.checkpoint.dir``) and the four outputs are written from the
+    checkpoint: the ordered replay runs once, and a lost executor recomputes
+    from the checkpoint, not from the requests. Under ``fail`` a batch with
+    any rejected request is written (for inspection) but not published.
+    Returns (version folder, published).
+    """
+    if res.decided is None:
+        raise ValueError("job result without its decided requests")
+    if policy not in ("reject", "fail"):
+        raise ValueError(f"unknown policy {policy!r}")
+    from stockflow.session import ensure_checkpoint_dir
+    from stockflow.sources.files import new_version_dir, publish_pointer
+
+    spark = res.results.sparkSession
+    ensure_checkpoint_dir(spark)
+    r = _assemble(res.decided.checkpoint(eager=True), res.stock_before, res.tipo)
+    vdir = new_version_dir(root)
+    for name, df in (("resultados", r.results), ("movimientos", r.headers),
+                     ("detalle_movimientos", r.lines), ("inventario", r.stock)):
+        df.write.mode("errorifexists").parquet(f"{vdir}/{name}")
+    stored = spark.read.parquet(f"{vdir}/resultados")
+    ok = policy == "reject" or stored.where(~F.col("aceptado")).limit(1).count() == 0
+    if ok:
+        publish_pointer(spark, root, vdir)
+    return vdir, ok
+
+
 def snapshot_compare(before: DataFrame, after: DataFrame, cells: DataFrame,
                      tags: tuple[str, str] = ("antes", "despues")) -> DataFrame:
     """Stock of the given cells before and after a job, tagged and stacked."""

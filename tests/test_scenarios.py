@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from stockflow.plans import jobs as J
 from stockflow.plans import ledger as L
+from stockflow.session import ensure_checkpoint_dir
+from stockflow.sources import files as FS
 
 NOW = dt.datetime(2026, 1, 1, 10, 0, 0)
 SELL = "request_id long, id_sucursal long, id_empleado long, observaciones string, id_variante long, cantidad int"
@@ -62,6 +65,16 @@ def test_partial_receipt_batch(spark, seed):
     counts = {r["politica"]: (r["publicadas"], r["en_cuarentena"]) for r in J.policy_counts(res).collect()}
     assert counts == {"reject": (1, 1), "fail": (0, 2)}
 
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/publish-test-{uuid.uuid4().hex[:8]}"
+    vdir, published = J.publish_job(res, root, "reject")
+    assert published and FS.current_version(spark, root) == vdir
+    assert spark.read.parquet(f"{vdir}/resultados").count() == 2
+    assert spark.read.parquet(f"{vdir}/movimientos").count() == 1
+    assert spark.read.parquet(f"{vdir}/detalle_movimientos").count() == 1
+    assert stock_of(spark.read.parquet(f"{vdir}/inventario"), 1, 2) == 159
+    vdir2, published = J.publish_job(res, root, "fail")
+    assert not published and FS.current_version(spark, root) == vdir
+
 
 def test_transfer_moves_between_branches(spark, seed):
     req = spark.createDataFrame([(1, 1, 2, 1, None, 3, 10, Decimal("0.00"))], MOVE)
