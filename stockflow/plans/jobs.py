@@ -188,6 +188,17 @@ def policy_counts(res: JobResult) -> DataFrame:
         "politica", F.col("publicadas").cast("bigint"), F.col("en_cuarentena").cast("bigint"))
 
 
+def checkpointed(res: JobResult) -> JobResult:
+    """The same job result with its decided requests checkpointed (eagerly) to
+    the shared checkpoint folder, so outputs used together replay once."""
+    if res.decided is None:
+        raise ValueError("job result without its decided requests")
+    from stockflow.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(res.decided.sparkSession)
+    return _assemble(res.decided.checkpoint(eager=True), res.stock_before, res.tipo)
+
+
 def publish_job(res: JobResult, root: str, policy: str = "reject") -> tuple[str, bool]:
     """Write a job's outputs as one new version folder under ``root`` and publish it.
 
@@ -199,16 +210,12 @@ def publish_job(res: JobResult, root: str, policy: str = "reject") -> tuple[str,
     any rejected request is written (for inspection) but not published.
     Returns (version folder, published).
     """
-    if res.decided is None:
-        raise ValueError("job result without its decided requests")
     if policy not in ("reject", "fail"):
         raise ValueError(f"unknown policy {policy!r}")
-    from stockflow.session import ensure_checkpoint_dir
     from stockflow.sources.files import new_version_dir, publish_pointer
 
     spark = res.results.sparkSession
-    ensure_checkpoint_dir(spark)
-    r = _assemble(res.decided.checkpoint(eager=True), res.stock_before, res.tipo)
+    r = checkpointed(res)
     vdir = new_version_dir(root)
     for name, df in (("resultados", r.results), ("movimientos", r.headers),
                      ("detalle_movimientos", r.lines), ("inventario", r.stock)):

@@ -350,7 +350,8 @@ FROM cells c LEFT JOIN applied a ON c.id_sucursal = a.id_sucursal AND c.id_varia
 """, recursive=True)
 def snapshot_compare(t):
     """Stock of every cell a transfer batch touches, before and after the batch."""
-    res = J.job_transfer(_requests(t, "Traslado"), t, t["inventario"], BATCH_TIME)
+    # Results and new stock both come from the replay: checkpoint it once.
+    res = J.checkpointed(J.job_transfer(_requests(t, "Traslado"), t, t["inventario"], BATCH_TIME))
     r = res.results
     cells = (r.select(F.col("id_sucursal_origen").alias("id_sucursal"), "id_variante")
              .unionByName(r.where(F.col("id_sucursal_destino").isNotNull())
