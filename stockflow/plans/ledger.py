@@ -335,13 +335,14 @@ def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFra
     same variant, so a variant is an exact unit of replay. With ``split``
     the work is divided without changing any result:
 
-    * a variant none of whose lines is invalid and none of whose cells ever
-      goes below zero when every line is applied (start stock + running sum,
-      computed chunk-parallel) has every line accepted: its lines are decided
-      by that window plan, in parallel however hot the variant is;
-    * the remaining variants are replayed sequentially, keyed by variant, or
-      by (variant, branch) when the variant has no transfer (its cells are
-      then independent).
+    * every line of a variant before its first *problem* (its first invalid
+      line, or the first line that takes a cell below zero when every line
+      is applied: start stock + running sum, computed chunk-parallel) is
+      accepted, and is decided by that window plan, in parallel however hot
+      the variant is; a variant without a problem is decided entirely so;
+    * the lines from the problem on are replayed sequentially from the
+      balances just before it, keyed by variant, or by (variant, branch)
+      when that suffix has no transfer (its cells are then independent).
 
     ``split="auto"`` measures the hottest variant first (one aggregation,
     one number to the driver) and splits only when it holds more than
@@ -379,14 +380,18 @@ def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFra
     chunk = F.coalesce(F.floor(F.col("id_detalle") / F.lit(chunk_lines)), F.lit(-1).cast("bigint"))
     run = W.running_sum(legs, ["id_sucursal", "id_variante"], [F.col("id_detalle").asc_nulls_first(), "leg"],
                         "delta", out="saldo", chunk=chunk).checkpoint(eager=True)
-    per_variant = (l.groupBy("id_variante").agg(F.max(bad.cast("int")).alias("_dirty"),
-                                                F.max(is_transfer.cast("int")).alias("_tr"))
-                   .unionByName(run.groupBy("id_variante").agg(F.max((F.col("saldo") < 0).cast("int")).alias("_dirty"),
-                                                              F.lit(0).alias("_tr")))
-                   .groupBy("id_variante").agg(F.max("_dirty").alias("_dirty"), F.max("_tr").alias("_tr")))
-    flagged = l.join(per_variant, "id_variante", "inner")
-
-    clean = flagged.where(F.col("_dirty") == 0).drop("_dirty", "_tr")
+    # First problem of each variant: its first invalid line, or the first line
+    # whose leg takes a cell below zero when every line is applied (-1 when the
+    # start stock itself is negative). Every line before it is accepted, with
+    # the balances of ``run``; only the lines from it on need the ordered replay.
+    first_bad = l.where(bad).groupBy("id_variante").agg(F.min("id_detalle").alias("_p"))
+    first_neg = (run.where(F.col("saldo") < 0).groupBy("id_variante")
+                 .agg(F.min(F.coalesce(F.col("id_detalle"), F.lit(-1).cast("bigint"))).alias("_p")))
+    problem = first_bad.unionByName(first_neg).groupBy("id_variante").agg(F.min("_p").alias("_p"))
+    flagged = l.join(problem, "id_variante", "left")
+    in_prefix = F.col("_p").isNull() | (F.col("id_detalle") < F.col("_p"))
+
+    clean = flagged.where(in_prefix).drop("_p")
     after = run.where(F.col("leg") >= 0).select("id_detalle", "leg", "saldo")
     so = after.where(F.col("leg") == 0).select("id_detalle", F.col("saldo").alias("saldo_origen"))
     sd = after.where(F.col("leg") == 1).select("id_detalle", F.col("saldo").alias("saldo_destino"))
@@ -398,10 +403,17 @@ def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFra
                          F.lit(True).alias("aceptado"), F.lit(None).cast("string").alias("motivo"),
                          F.col("saldo_origen").cast("bigint"), F.col("saldo_destino").cast("bigint")))
 
-    dirty = flagged.where(F.col("_dirty") == 1).drop("_dirty", "_tr")
-    cell_key = per_variant.select("id_variante", (1 - F.col("_tr")).alias("_per_cell"))
-    dirty_stock = None if stock is None else stock.join(
-        per_variant.where(F.col("_dirty") == 1).select("id_variante"), "id_variante", "left_semi")
+    # The replayed suffix starts from each cell's balance just before the
+    # problem line (start-stock leg included): a per-cell max_by, partially
+    # aggregated, so a hot cell does not gather in one task.
+    dirty = flagged.where(~in_prefix).drop("_p")
+    before = (run.join(problem, "id_variante", "inner")
+              .where(F.col("id_detalle").isNull() | (F.col("id_detalle") < F.col("_p"))))
+    dirty_stock = before.groupBy("id_sucursal", "id_variante").agg(
+        F.max_by("saldo", F.struct(F.coalesce(F.col("id_detalle"), F.lit(-1).cast("bigint")), F.col("leg")))
+        .alias("cantidad_disponible"))
+    cell_key = (dirty.groupBy("id_variante").agg(F.max(is_transfer.cast("int")).alias("_tr"))
+                .select("id_variante", (1 - F.col("_tr")).alias("_per_cell")))
     return clean_out.unionByName(_fold(dirty, dirty_stock, cell_key, n))
 
 
