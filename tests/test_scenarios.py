@@ -37,6 +37,8 @@ def test_sale_fills_price_and_subtracts(spark, seed):
     assert r["aceptado"] and r["precio_unitario"] == Decimal("150000.00")
     assert stock_of(res.stock, 2, 1) == 71
     assert res.lines.count() == 1 and res.headers.count() == 1
+    # no time given: the header takes the batch time (the column's CURRENT_TIMESTAMP default)
+    assert res.headers.collect()[0]["fecha_hora"] == NOW
 
 
 def test_oversell_rejected_leaves_nothing(spark, seed):
