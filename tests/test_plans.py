@@ -13,6 +13,8 @@ import re
 
 import pytest
 
+from stockflow.plans import ledger as L
+from stockflow.plans import quality as Q
 from stockflow.plans import reports as R
 from stockflow.session import ensure_checkpoint_dir
 from stockflow.sources import files as FS
@@ -20,7 +22,8 @@ from stockflow.sources.testdata import AS_OF, REPORT3_BRANCH, REPORT3_YEAR, from
 
 from .conftest import SF_SMALL
 
-STORED = ["movimientos", "detalle_movimientos", "sucursales", "empleados", "inventario", "dim_variante"]
+STORED = ["marcas", "categorias", "talles", "colores", "sucursales", "proveedores", "empleados", "productos",
+          "producto_variante", "inventario", "movimientos", "detalle_movimientos", "dim_variante"]
 
 
 @pytest.fixture(scope="module")
@@ -74,9 +77,23 @@ REPORTS = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(REPORTS))
+LEDGER_AND_CHECKS = {
+    "view_stock": lambda t: R.view_stock(t),
+    "view_movement_audit": lambda t: R.view_movement_audit(t),
+    "final_stock": lambda t: L.final_stock(t["movimientos"], t["detalle_movimientos"], 2),
+    "validate_stock": lambda t: L.validate_stock(
+        L.lines_with_header(t["movimientos"], t["detalle_movimientos"],
+                            ["id_detalle", "id_movimiento", "id_variante", "cantidad", "precio_unitario"]),
+        stock=None, pv=t["producto_variante"], split=False),
+    "foreign_key": lambda t: Q.foreign_key(t),
+    "reconcile": lambda t: Q.reconcile(t["inventario"], L.net_stock(t["movimientos"], t["detalle_movimientos"])),
+}
+PLANS = {**REPORTS, **LEDGER_AND_CHECKS}
+
+
+@pytest.mark.parametrize("name", sorted(PLANS))
 def test_lines_are_never_broadcast(stored, name):
-    plan = REPORTS[name](stored)._jdf.queryExecution().executedPlan()
+    plan = PLANS[name](stored)._jdf.queryExecution().executedPlan()
     sides = _broadcast_sides(plan)
     assert all("detalle_movimientos" not in s for s in sides), (name, sides)
 
