@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stockflow.llm import exact_dedup, language_id, line_dedup, minhash_dedup, piece_codec
+from stockflow.llm import exact_dedup, language_id, line_dedup, minhash_dedup, piece_codec, secret_scan
 
-MODULES = [exact_dedup, line_dedup, language_id, minhash_dedup, piece_codec]
+MODULES = [exact_dedup, line_dedup, language_id, minhash_dedup, piece_codec, secret_scan]
 
 
 def queries():
