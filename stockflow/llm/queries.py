@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from stockflow.llm import (decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, piece_codec,
-                           secret_scan)
+                           secret_scan, toxicity)
 
-MODULES = [decontaminate, exact_dedup, line_dedup, language_id, minhash_dedup, piece_codec, secret_scan]
+MODULES = [decontaminate, exact_dedup, line_dedup, language_id, minhash_dedup, piece_codec, secret_scan,
+           toxicity]
 
 
 def queries():
