@@ -165,3 +165,30 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, n: int):
 
 def word_bounds(doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n_docs + 1))
+
+
+class HashArray:
+    """A sorted array of hashes; ``find`` gives places, -1 for keys that aren't there."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(mix(keys))
+        self.hash = mix(keys)[self.order]
+        self.bits = max(1, int(len(keys)).bit_length() + 2)
+        tops = (self.hash >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.first = np.searchsorted(tops, np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self.hash):
+            return out
+        h = mix(keys)
+        top = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.first[top], self.first[top + 1]
+        todo = np.flatnonzero(at < end)
+        at, end, h = at[todo], end[todo], h[todo]
+        while len(todo):
+            hit = self.hash[at] == h
+            out[todo[hit]] = at[hit]
+            more = ~hit & (at + 1 < end)
+            todo, at, end, h = todo[more], at[more] + 1, end[more], h[more]
+        return out

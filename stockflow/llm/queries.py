@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from stockflow.llm import (decontaminate, exact_dedup, html_extract, language_id, line_dedup, minhash_dedup, piece_codec,
+from stockflow.llm import (context_tree, decontaminate, exact_dedup, html_extract, language_id, line_dedup, minhash_dedup, piece_codec,
                            secret_scan, toxicity)
 
-MODULES = [decontaminate, exact_dedup, html_extract, line_dedup, language_id, minhash_dedup, piece_codec, secret_scan,
+MODULES = [context_tree, decontaminate, exact_dedup, html_extract, line_dedup, language_id, minhash_dedup, piece_codec, secret_scan,
            toxicity]
 
 
