@@ -5,12 +5,16 @@
 task, so big tables are numbered in two passes:
 
 1. count rows per *bucket*, where the bucket columns are a monotone coarsening
-   of the order (every row of bucket b sorts before every row of bucket b' > b);
-2. a prefix sum over the small bucket table gives each bucket's offset, and a
+   of the order (every row of bucket b sorts before every row of bucket b' > b,
+   nulls first);
+2. prefix sums over the bucket table give each bucket's offset, and a
    ``row_number`` partitioned by bucket adds the rank inside the bucket.
 
-Only the bucket table (one row per bucket) goes through a single-partition
-window, so pick buckets that hold many rows each.
+The prefix sums are taken on two levels: inside each value of the first bucket
+column (a day), in parallel, and over the totals of these values. Only the table
+of the first column's values goes through a single-partition window, so let that
+column have few values (days) and the others cut them. Rows whose bucket has
+nulls are numbered like all others.
 """
 
 from __future__ import annotations
@@ -31,14 +35,26 @@ def id_assign(df: DataFrame, order: Sequence[str | Column], id_col: str = "id",
     if not bucket:
         w = Window.orderBy(*order)
         return df.withColumn(id_col, (base - 1 + F.row_number().over(w)).cast("bigint"))
-    bucket = list(bucket)
-    counts = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_sf_n"))
-    before = Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*bucket, F.coalesce(F.sum("_sf_n").over(before), F.lit(0)).alias("_sf_off"))
-    inside = Window.partitionBy(*bucket).orderBy(*order)
-    return (df.join(offsets, on=bucket, how="inner")
+    keys = F.struct(*bucket)      # a struct of nulls equals itself, so no row is lost in the join
+    x = df.withColumn("_sf_b", keys)
+    first = F.col("_sf_b")[bucket[0]]
+    counts = x.groupBy("_sf_b").agg(F.count(F.lit(1)).alias("_sf_n")).withColumn("_sf_d", F.struct(first.alias("d")))
+    before = Window.partitionBy("_sf_d").orderBy("_sf_b").rowsBetween(Window.unboundedPreceding, -1)
+    inner = counts.withColumn("_sf_in", F.coalesce(F.sum("_sf_n").over(before), F.lit(0)))
+    if len(bucket) > 1:           # offsets inside the first bucket column, plus the offset of its value
+        days = counts.groupBy("_sf_d").agg(F.sum("_sf_n").alias("_sf_n"))
+        top = Window.orderBy("_sf_d").rowsBetween(Window.unboundedPreceding, -1)
+        days = days.select("_sf_d", F.coalesce(F.sum("_sf_n").over(top), F.lit(0)).alias("_sf_top"))
+        inner = inner.join(days, "_sf_d")
+        offset = F.col("_sf_top") + F.col("_sf_in")
+    else:
+        top = Window.orderBy("_sf_b").rowsBetween(Window.unboundedPreceding, -1)
+        offset = F.coalesce(F.sum("_sf_n").over(top), F.lit(0))
+    offsets = (inner if len(bucket) > 1 else counts).select("_sf_b", offset.alias("_sf_off"))
+    inside = Window.partitionBy("_sf_b").orderBy(*order)
+    return (x.join(offsets, on="_sf_b", how="inner")
               .withColumn(id_col, (base - 1 + F.col("_sf_off") + F.row_number().over(inside)).cast("bigint"))
-              .drop("_sf_off"))
+              .drop("_sf_off", "_sf_b"))
 
 
 def id_continue(df: DataFrame, existing: DataFrame, id_col: str, order: Sequence[str | Column],

@@ -24,15 +24,15 @@ def global_rank(df: DataFrame, order: Sequence[Column], out: str = "posicion",
     if not bucket:
         return df.withColumn(out, F.rank().over(Window.orderBy(*order)).cast("bigint"))
     bucket = list(bucket)
-    names = [f"_sf_b{i}" for i in range(len(bucket))]
-    x = df.select("*", *[b.alias(n) for b, n in zip(bucket, names, strict=True)])
-    counts = x.groupBy(*names).agg(F.count(F.lit(1)).alias("_sf_n"))
-    before = Window.orderBy(*[F.col(n).asc() for n in names]).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*names, F.coalesce(F.sum("_sf_n").over(before), F.lit(0)).alias("_sf_off"))
-    inside = Window.partitionBy(*names).orderBy(*order)
-    return (x.join(offs, names, "inner")
+    # one struct for the bucket: it equals itself also where a part is null, so no row is lost
+    x = df.withColumn("_sf_b", F.struct(*[b.alias(f"b{i}") for i, b in enumerate(bucket)]))
+    counts = x.groupBy("_sf_b").agg(F.count(F.lit(1)).alias("_sf_n"))
+    before = Window.orderBy("_sf_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_sf_b", F.coalesce(F.sum("_sf_n").over(before), F.lit(0)).alias("_sf_off"))
+    inside = Window.partitionBy("_sf_b").orderBy(*order)
+    return (x.join(offs, "_sf_b", "inner")
              .withColumn(out, (F.col("_sf_off") + F.rank().over(inside)).cast("bigint"))
-             .drop(*names, "_sf_off"))
+             .drop("_sf_b", "_sf_off"))
 
 
 def sort_stable_cells(deltas: DataFrame, keys: Sequence[str] = ("id_sucursal", "id_variante"),
@@ -50,6 +50,7 @@ def sort_small(df: DataFrame, *order: Column | str) -> DataFrame:
 
     A global ``orderBy`` range-partitions its input and first runs a sampling
     job to pick the ranges; for a few hundred aggregated rows that is pure
-    overhead. Use ``orderBy`` for outputs that grow with the facts.
+    overhead. The rows are exchanged to one partition after the final aggregate,
+    which stays parallel. Use ``orderBy`` for outputs that grow with the facts.
     """
-    return df.coalesce(1).sortWithinPartitions(*order)
+    return df.repartition(1).sortWithinPartitions(*order)

@@ -32,13 +32,14 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
         return df.withColumn(out, F.sum(value).over(w))
     # The in-chunk window shuffles by (key, chunk); the per-chunk sums and the
     # join back reuse that partitioning, only the small per-chunk table moves again.
-    x = df.withColumn("_sf_chunk", chunk)
-    w_in = Window.partitionBy(*keys, "_sf_chunk").orderBy(*order).rowsBetween(_UNB, Window.currentRow)
+    # Keys travel as one struct, which equals itself also where a key is null: no row is lost.
+    x = df.withColumn("_sf_key", F.struct(*keys)).withColumn("_sf_chunk", F.struct(chunk.alias("c")))
+    w_in = Window.partitionBy("_sf_key", "_sf_chunk").orderBy(*order).rowsBetween(_UNB, Window.currentRow)
     x = x.withColumn("_sf_in", F.sum(value).over(w_in))
-    offs = chunk_offsets(x, keys, value)
-    return (x.join(offs, on=[*keys, "_sf_chunk"], how="inner")
+    offs = chunk_offsets(x, ["_sf_key"], value)
+    return (x.join(offs, on=["_sf_key", "_sf_chunk"], how="inner")
              .withColumn(out, F.col("_sf_off") + F.col("_sf_in"))
-             .drop("_sf_chunk", "_sf_in", "_sf_off"))
+             .drop("_sf_key", "_sf_chunk", "_sf_in", "_sf_off"))
 
 
 def chunk_offsets(x: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -51,8 +51,9 @@ def get_session(master: str | None = None, app: str = "stockflow",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is used as is. Only
-    when it is unset (local runs, tests) do we create a scratch folder.
+    On a cluster that setting points at shared storage and is used as is; there
+    it is an error to leave it out, as executors would write to their own disks.
+    Only a local session (tests) without the setting gets a scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -61,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="stockflow-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
