@@ -254,6 +254,20 @@ _BRAND_ID = "CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT)"
 _CAT_ID = f"CAST({_sql_case('p_type', CATEGORY_IDS)} AS BIGINT)"
 _LINE_ORDER_SQL = ", ".join(f"{c} ASC NULLS FIRST" for c in LINE_ORDER)
 
+
+def legs_sql(name: str, lines: str, headers: str) -> str:
+    """CTE ``name``: the one or two legs (branch, signed units) that each line of ``lines`` puts on the ledger."""
+    return f"""{name} AS (
+  SELECT * EXCLUDE (pata), pata.sede AS id_sucursal, pata.leg AS leg, pata.unidades AS delta
+  FROM (
+    SELECT lin.* EXCLUDE (cantidad, precio_unitario), cab.fecha_hora, unnest(list_filter([
+             {{'sede': cab.id_sucursal_origen, 'leg': 0,
+               'unidades': lin.cantidad * (CASE cab.tipo_movimiento WHEN 'Entrada' THEN 1 ELSE -1 END)}},
+             {{'sede': cab.id_sucursal_destino, 'leg': 1, 'unidades': lin.cantidad}}],
+           lambda x: x.leg = 0 OR cab.tipo_movimiento = 'Traslado')) AS pata
+    FROM {lines} lin JOIN {headers} cab USING (id_movimiento)))"""
+
+
 MAPPING_SQL = f"""
 WITH
 marcas AS (
@@ -312,14 +326,7 @@ detalle_movimientos AS (
          CAST(l_quantity AS INTEGER) AS cantidad, CAST(l_extendedprice AS DECIMAL(12,2)) AS precio_unitario,
          l_orderkey AS id_movimiento, l_partkey AS id_variante
   FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey),
-mov_deltas AS (
-  SELECT m.id_sucursal_origen AS id_sucursal, d.id_variante, m.fecha_hora, m.id_movimiento,
-         CASE WHEN m.tipo_movimiento = 'Entrada' THEN d.cantidad ELSE -d.cantidad END AS delta
-  FROM detalle_lineas d JOIN movimientos m ON d.id_movimiento = m.id_movimiento
-  UNION ALL
-  SELECT m.id_sucursal_destino, d.id_variante, m.fecha_hora, m.id_movimiento, d.cantidad
-  FROM detalle_lineas d JOIN movimientos m ON d.id_movimiento = m.id_movimiento
-  WHERE m.tipo_movimiento = 'Traslado'),
+{legs_sql("mov_deltas", "detalle_lineas", "movimientos")},
 mov_cell AS (
   SELECT id_sucursal, id_variante, fecha_hora, id_movimiento, sum(delta) AS d
   FROM mov_deltas WHERE id_sucursal IS NOT NULL GROUP BY id_sucursal, id_variante, fecha_hora, id_movimiento),
