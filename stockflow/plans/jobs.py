@@ -23,7 +23,7 @@ from stockflow.schema import MONEY
 
 Tables = Mapping[str, DataFrame]
 
-# Messages of the write procedures (status columns replace NOTICE/EXCEPTION).
+# Messages of the status rows.
 MSG_OK = {
     "Entrada": "Entrada registrada bajo el Movimiento N° %d",
     "Traslado": "Traslado registrado: Movimiento N° %d",
@@ -72,8 +72,33 @@ def _request_movements(req: DataFrame, t: Tables, tipo: str, origin: str, dest:
     return with_ids.drop("_rb")
 
 
+def header_checks(m: DataFrame, t: Tables) -> DataFrame:
+    """Reasons for which a request's header can't be inserted, after the job's own
+    checks and before its line is looked at: the employee is missing, or a branch
+    (either role), the employee or the supplier isn't a known key."""
+    def known(df, table, key, col):
+        keys = t[table].select(F.col(key).cast("bigint").alias(col), F.lit(True).alias(f"_{col}")).distinct()
+        return df.join(keys, col, "left")
+
+    x = m
+    for table, key, col in (("sucursales", "id_sucursal", "id_sucursal_origen"),
+                            ("sucursales", "id_sucursal", "id_sucursal_destino"),
+                            ("empleados", "id_empleado", "id_empleado"),
+                            ("proveedores", "id_proveedor", "id_proveedor")):
+        x = known(x, table, key, col)
+
+    def missing(col):
+        return F.col(col).isNotNull() & F.col(f"_{col}").isNull()
+    given = F.col("motivo_previo") if "motivo_previo" in m.columns else F.lit(None).cast("string")
+    reason = F.coalesce(given, F.when(F.col("id_empleado").isNull(), F.lit(L.REASON_NULL_EMPLOYEE))
+                        .when(missing("id_sucursal_origen") | missing("id_sucursal_destino"), F.lit(L.REASON_BRANCH))
+                        .when(missing("id_empleado"), F.lit(L.REASON_EMPLOYEE))
+                        .when(missing("id_proveedor"), F.lit(L.REASON_SUPPLIER)))
+    return x.withColumn("motivo_previo", reason).select(*dict.fromkeys([*m.columns, "motivo_previo"]))
+
+
 def _run(req: DataFrame, t: Tables, stock: DataFrame, tipo: str) -> JobResult:
-    reqs = req
+    reqs = header_checks(req, t)
     if tipo == "Salida":
         reqs = L.fill_price(reqs, t["producto_variante"], t["productos"])
     decided = L.validate_stock(reqs, stock=stock, pv=t["producto_variante"])

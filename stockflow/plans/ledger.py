@@ -184,6 +184,13 @@ REASON_QUANTITY = "cantidad <= 0"
 REASON_PRICE = "precio < 0"
 REASON_NO_BRANCH = "sucursal nula"
 REASON_UNKNOWN = "clave desconocida"
+REASON_NULL_EMPLOYEE = "empleado nulo"
+REASON_BRANCH = "sucursal desconocida"
+REASON_EMPLOYEE = "empleado desconocido"
+REASON_SUPPLIER = "proveedor desconocido"
+REASON_NULL_QUANTITY = "cantidad nula"
+REASON_NULL_VARIANT = "variante nula"
+_NONE = -(1 << 63)   # stands for NULL in the replay, so that ids stay whole numbers
 
 FOLD_SCHEMA = T.StructType([
     T.StructField("id_detalle", T.LongType()),
@@ -209,9 +216,10 @@ def _fold_partition(batches):
     gathered per group.
 
     Reasons in the order the write path meets them: a reason found before the
-    line reached the ledger (``_pre``), stock at origin, quantity, then the
-    constraint errors found after that (``_late``: price, unknown key), then a
-    NULL receiving branch.
+    line reached the ledger (``_pre``), stock at origin, a NULL quantity or
+    variant (``_null``), quantity, then the constraint errors found after that
+    (``_late``: price, unknown key), then a NULL receiving branch. Numbers come
+    without NULLs (``_NONE`` instead).
     """
     cur = None
     stock: dict = {}
@@ -227,6 +235,7 @@ def _fold_partition(batches):
         tipo = pdf["tipo_movimiento"].to_numpy()
         pre = pdf["_pre"].to_numpy()
         late = pdf["_late"].to_numpy()
+        null = pdf["_null"].to_numpy()
         ids = pdf["id_detalle"].to_numpy()
         init = pdf["_init"].to_numpy()
         for i in range(len(pdf)):
@@ -236,14 +245,17 @@ def _fold_partition(batches):
             if kind[i] == 0:             # starting stock of a cell
                 stock[int(br[i])] = int(init[i])
                 continue
-            o = None if pd.isna(br[i]) else int(br[i])
-            d = None if pd.isna(de[i]) else int(de[i])
+            o = None if br[i] == _NONE else int(br[i])
+            d = None if de[i] == _NONE else int(de[i])
             q = int(qty[i])
             t = tipo[i]
             avail = stock.get(o, 0) if o is not None else 0
             reason = pre[i] if isinstance(pre[i], str) else None
-            if reason is None and t in CONSUMING_TYPES and avail < q:
+            no_quantity = null[i] == REASON_NULL_QUANTITY
+            if reason is None and t in CONSUMING_TYPES and avail < q and not no_quantity:
                 reason = REASON_STOCK
+            if reason is None and isinstance(null[i], str):
+                reason = null[i]
             if reason is None and q <= 0:
                 reason = REASON_QUANTITY
             if reason is None and isinstance(late[i], str):
@@ -261,10 +273,11 @@ def _fold_partition(batches):
                         stock[d] = stock.get(d, 0) + q
             so = stock.get(o) if o is not None else None
             sd = stock.get(d) if d is not None else None
-            rows.append((int(ids[i]), int(v), t, o, d, q, int(avail), ok, reason, so, sd))
+            rows.append((int(ids[i]), None if v == _NONE else int(v), t, o, d, None if no_quantity else q, int(avail), ok,
+                         reason, so, sd))
         if rows:
             yield pd.DataFrame.from_records(rows, columns=out_cols).astype(
-                {"id_sucursal_origen": "Int64", "id_sucursal_destino": "Int64",
+                {"id_variante": "Int64", "cantidad": "Int64", "id_sucursal_origen": "Int64", "id_sucursal_destino": "Int64",
                  "saldo_origen": "Int64", "saldo_destino": "Int64"})
 
 
@@ -272,15 +285,21 @@ def _prepare(lines: DataFrame, pv: DataFrame | None) -> DataFrame:
     """Reasons known before the replay: ``_pre`` (given), ``_late`` (price, unknown variant)."""
     pre = F.col("motivo_previo") if "motivo_previo" in lines.columns else F.lit(None).cast("string")
     late = F.when(F.col("precio_unitario") < 0, F.lit(REASON_PRICE))
-    l = lines.withColumn("_pre", pre)
+    null = (F.when(F.col("cantidad").isNull(), F.lit(REASON_NULL_QUANTITY))
+            .when(F.col("id_variante").isNull(), F.lit(REASON_NULL_VARIANT)))
+    l = lines.withColumn("_pre", pre).withColumn("_null", null)
     if pv is not None:
         known = pv.select("id_variante", F.lit(True).alias("_known"))
         l = l.join(known, "id_variante", "left")
         late = late.when(F.col("_known").isNull(), F.lit(REASON_UNKNOWN))
     return l.withColumn("_late", late).select(
-        "id_detalle", "id_variante", "tipo_movimiento", F.col("id_sucursal_origen").cast("bigint"),
-        F.col("id_sucursal_destino").cast("bigint"), F.col("cantidad").cast("int").alias("cantidad"),
-        "_pre", "_late")
+        _whole("id_detalle"), _whole("id_variante"), "tipo_movimiento", _whole("id_sucursal_origen"),
+        _whole("id_sucursal_destino"), F.coalesce(F.col("cantidad").cast("int"), F.lit(0)).alias("cantidad"),
+        "_pre", "_late", "_null")
+
+
+def _whole(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("bigint"), F.lit(_NONE)).alias(name)
 
 
 def _fold(l: DataFrame, stock: DataFrame | None, cell_key: DataFrame | None, n: int) -> DataFrame:
@@ -295,8 +314,8 @@ def _fold(l: DataFrame, stock: DataFrame | None, cell_key: DataFrame | None, n:
     else:
         ck = F.lit(-1).cast("bigint")
     events = l.select(F.lit(1).alias("_kind"), ck.alias("_ck"), "id_detalle", "id_variante", "tipo_movimiento",
-                      "id_sucursal_origen", "id_sucursal_destino", "cantidad", "_pre", "_late",
-                      F.lit(None).cast("bigint").alias("_init"))
+                      "id_sucursal_origen", "id_sucursal_destino", "cantidad", "_pre", "_late", "_null",
+                      F.lit(0).cast("bigint").alias("_init"))
     if stock is not None:
         s = stock.join(l.select("id_variante").distinct(), "id_variante", "left_semi")
         if cell_key is not None:
@@ -305,24 +324,22 @@ def _fold(l: DataFrame, stock: DataFrame | None, cell_key: DataFrame | None, n:
         else:
             sck = F.lit(-1).cast("bigint")
         events = events.unionByName(s.select(
-            F.lit(0).alias("_kind"), sck.alias("_ck"), F.lit(None).cast("bigint").alias("id_detalle"), "id_variante",
+            F.lit(0).alias("_kind"), sck.alias("_ck"), F.lit(_NONE).alias("id_detalle"),
+            F.col("id_variante").cast("bigint").alias("id_variante"),
             F.lit(None).cast("string").alias("tipo_movimiento"),
             F.col("id_sucursal").cast("bigint").alias("id_sucursal_origen"),
-            F.lit(None).cast("bigint").alias("id_sucursal_destino"),
-            F.lit(None).cast("int").alias("cantidad"), F.lit(None).cast("string").alias("_pre"),
-            F.lit(None).cast("string").alias("_late"),
-            F.col("cantidad_disponible").cast("bigint").alias("_init")))
+            F.lit(_NONE).alias("id_sucursal_destino"),
+            F.lit(0).alias("cantidad"), F.lit(None).cast("string").alias("_pre"),
+            F.lit(None).cast("string").alias("_late"), F.lit(None).cast("string").alias("_null"),
+            F.coalesce(F.col("cantidad_disponible").cast("bigint"), F.lit(0)).alias("_init")))
     ordered = (events.repartition(n, "id_variante", "_ck")
                .sortWithinPartitions("id_variante", "_ck", "_kind", "id_detalle"))
     return ordered.mapInPandas(_fold_partition, FOLD_SCHEMA)
 
 
-HOT_VARIANT_LINES = 4_000_000   # lines one task may replay in order before the split pays off
-
-
 def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFrame | None = None,
-                   num_partitions: int | None = None, split: bool | str = "auto",
-                   chunk_lines: int = 1 << 16, hot_lines: int = HOT_VARIANT_LINES) -> DataFrame:
+                   num_partitions: int | None = None, split: bool = False,
+                   chunk_lines: int = 1 << 16) -> DataFrame:
     """Accept or reject every line in ``id_detalle`` order against the stock left by earlier accepted lines.
 
     ``lines``: id_detalle, id_variante, cantidad, precio_unitario, tipo_movimiento,
@@ -344,18 +361,17 @@ def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFra
       balances just before it, keyed by variant, or by (variant, branch)
       when that suffix has no transfer (its cells are then independent).
 
-    ``split="auto"`` measures the hottest variant first (one aggregation,
-    one number to the driver) and splits only when it holds more than
-    ``hot_lines`` lines; below that one task replays any variant comfortably
-    and the plain fold (one shuffle) is cheaper. The split path reuses its
-    inputs, so it checkpoints them to the shared checkpoint folder.
+    Both ways give the same rows, also for NULLs, unknown types and repeated
+    ids (which count as problems). The way is the caller's choice and never
+    depends on the size: the plain fold is one shuffle with no action, and a
+    variant is replayed by one task in a stream, in memory of its branches; the
+    split is for batches where one variant holds much of the lines. It reuses
+    its inputs, so it checkpoints them to the shared checkpoint folder. What
+    stays serial is a variant's suffix from its first problem on.
     """
     spark = lines.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     l = _prepare(lines, pv)
-    if split == "auto":
-        hottest = l.groupBy("id_variante").count().agg(F.max("count")).first()[0] or 0
-        split = hottest > hot_lines
     if not split:
         return _fold(l, stock, None, n)
     ensure_checkpoint_dir(spark)            # the cluster's shared folder, set only when unset
@@ -364,15 +380,17 @@ def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFra
     o, d, q, t = (F.col("id_sucursal_origen"), F.col("id_sucursal_destino"), F.col("cantidad"),
                   F.col("tipo_movimiento"))
     is_transfer = t == "Traslado"
-    bad = (F.col("_pre").isNotNull() | F.col("_late").isNotNull() | (q <= 0) | o.isNull()
-           | (is_transfer & (d.isNull() | (o == d))) | ~t.isin("Entrada", "Salida", "Traslado"))
+    bad = (F.col("_pre").isNotNull() | F.col("_late").isNotNull() | F.col("_null").isNotNull() | (q <= 0)
+           | (o == _NONE) | (F.col("id_detalle") == _NONE) | ~F.coalesce(t.isin("Entrada", "Salida", "Traslado"), F.lit(False))
+           | (is_transfer & ((d == _NONE) | (o == d))))
     # Legs of every line as if accepted, plus the start stock as the first leg of each cell.
-    leg_o = F.struct(o.alias("id_sucursal"), F.when(t == "Entrada", q).otherwise(-q).cast("bigint").alias("delta"),
+    leg_o = F.struct(o.alias("id_sucursal"),
+                     F.when(t == "Entrada", q).when(t.isin(*CONSUMING_TYPES), -q).otherwise(0).cast("bigint").alias("delta"),
                      F.lit(0).alias("leg"))
     leg_d = F.struct(d.alias("id_sucursal"), q.cast("bigint").alias("delta"), F.lit(1).alias("leg"))
     legs = l.select("id_detalle", "id_variante",
                     F.inline(F.when(is_transfer, F.array(leg_o, leg_d)).otherwise(F.array(leg_o))))
-    legs = legs.where(F.col("id_sucursal").isNotNull())
+    legs = legs.where(F.col("id_sucursal") != _NONE)
     if stock is not None:
         legs = legs.unionByName(stock.join(l.select("id_variante").distinct(), "id_variante", "left_semi").select(
             F.lit(None).cast("bigint").alias("id_detalle"), "id_variante", F.col("id_sucursal").cast("bigint"),
@@ -387,7 +405,9 @@ def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFra
     first_bad = l.where(bad).groupBy("id_variante").agg(F.min("id_detalle").alias("_p"))
     first_neg = (run.where(F.col("saldo") < 0).groupBy("id_variante")
                  .agg(F.min(F.coalesce(F.col("id_detalle"), F.lit(-1).cast("bigint"))).alias("_p")))
-    problem = first_bad.unionByName(first_neg).groupBy("id_variante").agg(F.min("_p").alias("_p"))
+    twice = (l.groupBy("id_variante", "id_detalle").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+             .groupBy("id_variante").agg(F.min("id_detalle").alias("_p")))
+    problem = first_bad.unionByName(first_neg).unionByName(twice).groupBy("id_variante").agg(F.min("_p").alias("_p"))
     flagged = l.join(problem, "id_variante", "left")
     in_prefix = F.col("_p").isNull() | (F.col("id_detalle") < F.col("_p"))
 
@@ -396,7 +416,8 @@ def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFra
     so = after.where(F.col("leg") == 0).select("id_detalle", F.col("saldo").alias("saldo_origen"))
     sd = after.where(F.col("leg") == 1).select("id_detalle", F.col("saldo").alias("saldo_destino"))
     clean_out = (clean.join(so, "id_detalle", "inner").join(sd, "id_detalle", "left")
-                 .select("id_detalle", "id_variante", "tipo_movimiento", "id_sucursal_origen", "id_sucursal_destino",
+                 .select("id_detalle", "id_variante", "tipo_movimiento", "id_sucursal_origen",
+                         F.when(d != _NONE, d).alias("id_sucursal_destino"),
                          "cantidad",
                          (F.col("saldo_origen") - F.when(t == "Entrada", q).otherwise(-q)).cast("bigint")
                          .alias("disponible"),

@@ -55,11 +55,11 @@ def fold_sql(lines: str, stock: str | None) -> str:
     avail = "CASE WHEN l.o IS NULL THEN 0 ELSE coalesce(r.st[l.o], 0) END"
     return f"""
 fold_lines AS (
-  SELECT l.id_detalle, l.id_variante, l.tipo_movimiento AS tipo, l.id_sucursal_origen AS o,
+  SELECT l.id_detalle, coalesce(l.id_variante, -1) AS id_variante, l.tipo_movimiento AS tipo, l.id_sucursal_origen AS o,
          l.id_sucursal_destino AS d, CAST(l.cantidad AS INTEGER) AS q, l.motivo_previo AS pre,
          CASE WHEN l.precio_unitario < 0 THEN '{L.REASON_PRICE}'
               WHEN pvk.id_variante IS NULL THEN '{L.REASON_UNKNOWN}' END AS late,
-         row_number() OVER (PARTITION BY l.id_variante ORDER BY l.id_detalle) AS rn
+         row_number() OVER (PARTITION BY coalesce(l.id_variante, -1) ORDER BY l.id_detalle) AS rn
   FROM {lines} l LEFT JOIN producto_variante pvk ON l.id_variante = pvk.id_variante),
 fold_init AS (
   SELECT v.id_variante, {init_expr} AS st
@@ -84,13 +84,15 @@ fold(id_variante, rn, st, id_detalle, tipo, o, d, q, disponible, motivo) AS (
              CAST({avail} AS BIGINT) AS disponible,
              CASE WHEN l.pre IS NOT NULL THEN l.pre
                   WHEN l.tipo IN ('Salida', 'Traslado') AND {avail} < l.q THEN '{L.REASON_STOCK}'
+                  WHEN l.q IS NULL THEN '{L.REASON_NULL_QUANTITY}'
+                  WHEN l.id_variante = -1 THEN '{L.REASON_NULL_VARIANT}'
                   WHEN l.q <= 0 THEN '{L.REASON_QUANTITY}'
                   WHEN l.late IS NOT NULL THEN l.late
                   WHEN (l.tipo = 'Entrada' AND l.o IS NULL) OR (l.tipo = 'Traslado' AND l.d IS NULL)
                     THEN '{L.REASON_NO_BRANCH}' END AS motivo
       FROM fold r JOIN fold_lines l ON l.id_variante = r.id_variante AND l.rn = r.rn + 1) y) z),
 fold_out AS (
-  SELECT id_detalle, id_variante, tipo AS tipo_movimiento, o AS id_sucursal_origen, d AS id_sucursal_destino,
+  SELECT id_detalle, nullif(id_variante, -1) AS id_variante, tipo AS tipo_movimiento, o AS id_sucursal_origen, d AS id_sucursal_destino,
          q AS cantidad, disponible, motivo IS NULL AS aceptado, motivo,
          CASE WHEN o IS NULL THEN NULL ELSE st[o] END AS saldo_origen,
          CASE WHEN d IS NULL THEN NULL ELSE st[d] END AS saldo_destino
@@ -227,14 +229,28 @@ def ledger_apply(t):
 # Request jobs: the history's lines replayed as procedure calls against the
 # final stock (so many are rejected)
 # ---------------------------------------------------------------------------
+#: Every 60th request or so breaks one rule: remainder of the request id by BREAK_MOD -> what is wrong with it.
+BREAK_MOD, SHIFT = 419, 10**9
+BREAKS = {1: "NULL quantity", 2: "NULL variant", 3: "unknown variant", 4: "NULL employee", 5: "unknown employee",
+          6: "unknown branch", 7: "unknown supplier"}
+
+
 def _requests(t, tipo: str):
+    """The history's lines of one type as requests, some of them broken on purpose (BREAKS)."""
     lh = L.lines_with_header(t["movimientos"], t["detalle_movimientos"],
                              ["id_detalle", "id_movimiento", "id_variante", "cantidad", "precio_unitario"])
     m = t["movimientos"].select("id_movimiento", "id_empleado", "id_proveedor")
     r = lh.where(F.col("tipo_movimiento") == tipo).join(m, "id_movimiento", "inner")
-    return r.select(F.col("id_detalle").alias("request_id"), F.col("id_sucursal_origen").alias("id_sucursal"),
-                    "id_sucursal_origen", "id_sucursal_destino", "id_empleado", "id_proveedor",
-                    F.lit(None).cast("string").alias("observaciones"), "id_variante", "cantidad", "precio_unitario")
+    k = F.col("id_detalle") % BREAK_MOD
+
+    def broken(col, null, shift, name=None):
+        x = F.when(k == shift, F.col(col) + SHIFT) if shift else F.when(F.lit(False), F.col(col))
+        return x.when(k == null, F.lit(None)).otherwise(F.col(col)).alias(name or col)
+    branch = F.when(k == 6, F.col("id_sucursal_origen") + SHIFT).otherwise(F.col("id_sucursal_origen"))
+    return r.select(F.col("id_detalle").alias("request_id"), branch.alias("id_sucursal"),
+                    branch.alias("id_sucursal_origen"), "id_sucursal_destino", broken("id_empleado", 4, 5),
+                    broken("id_proveedor", -1, 7), F.lit(None).cast("string").alias("observaciones"),
+                    broken("id_variante", 2, 3), broken("cantidad", 1, None), "precio_unitario")
 
 
 def _job_sql(tipo: str, price_sql: str, dest_sql: str, supplier_sql: str, pre_sql: str) -> str:
@@ -249,8 +265,13 @@ def _job_sql(tipo: str, price_sql: str, dest_sql: str, supplier_sql: str, pre_sq
     return f"""
 WITH {_LINES_HDR_SQL.strip()},
 req AS (
-  SELECT l.id_detalle AS request_id, l.id_sucursal_origen AS id_sucursal, l.id_sucursal_origen,
-         l.id_sucursal_destino, m.id_empleado, m.id_proveedor, l.id_variante, l.cantidad, l.precio_unitario
+  SELECT l.id_detalle AS request_id,
+         l.id_sucursal_origen + CASE l.id_detalle % {BREAK_MOD} WHEN 6 THEN {SHIFT} ELSE 0 END AS id_sucursal,
+         id_sucursal AS id_sucursal_origen, l.id_sucursal_destino,
+         m.id_empleado + CASE l.id_detalle % {BREAK_MOD} WHEN 4 THEN NULL WHEN 5 THEN {SHIFT} ELSE 0 END AS id_empleado,
+         m.id_proveedor + CASE l.id_detalle % {BREAK_MOD} WHEN 7 THEN {SHIFT} ELSE 0 END AS id_proveedor,
+         l.id_variante + CASE l.id_detalle % {BREAK_MOD} WHEN 2 THEN NULL WHEN 3 THEN {SHIFT} ELSE 0 END AS id_variante,
+         l.cantidad + CASE l.id_detalle % {BREAK_MOD} WHEN 1 THEN NULL ELSE 0 END AS cantidad, l.precio_unitario
   FROM lines_hdr l JOIN movimientos m ON l.id_movimiento = m.id_movimiento
   WHERE l.tipo_movimiento = '{tipo}'),
 req_ids AS (
@@ -261,7 +282,13 @@ req_ids AS (
 fl AS (
   SELECT r.id_detalle_n AS id_detalle, r.id_variante, '{tipo}' AS tipo_movimiento,
          CAST(r.id_sucursal AS BIGINT) AS id_sucursal_origen, {dest_sql} AS id_sucursal_destino,
-         r.cantidad, CAST({price_col} AS DECIMAL(12,2)) AS precio_unitario, {pre_sql} AS motivo_previo,
+         r.cantidad, CAST({price_col} AS DECIMAL(12,2)) AS precio_unitario,
+         coalesce({pre_sql}, CASE
+           WHEN r.id_empleado IS NULL THEN '{L.REASON_NULL_EMPLOYEE}'
+           WHEN r.id_sucursal NOT IN (SELECT id_sucursal FROM sucursales)
+             OR {dest_sql} NOT IN (SELECT id_sucursal FROM sucursales) THEN '{L.REASON_BRANCH}'
+           WHEN r.id_empleado NOT IN (SELECT id_empleado FROM empleados) THEN '{L.REASON_EMPLOYEE}'
+           WHEN {supplier_sql} NOT IN (SELECT id_proveedor FROM proveedores) THEN '{L.REASON_SUPPLIER}' END) AS motivo_previo,
          r.request_id, r.id_movimiento
   FROM req_ids r{fill}),
 {fold_sql("fl", "inventario").strip()},
@@ -274,11 +301,12 @@ FROM fold_out f JOIN fl ON f.id_detalle = fl.id_detalle)
 """
 
 
-_SELL_CTES = _job_sql("Salida", "CAST(0 AS DECIMAL(12,2))", "CAST(NULL AS BIGINT)", "NULL", "CAST(NULL AS VARCHAR)")
+_SELL_CTES = _job_sql("Salida", "CAST(0 AS DECIMAL(12,2))", "CAST(NULL AS BIGINT)", "CAST(NULL AS BIGINT)",
+                     "CAST(NULL AS VARCHAR)")
 _RECEIVE_CTES = _job_sql("Entrada", "r.precio_unitario", "CAST(NULL AS BIGINT)", "r.id_proveedor",
                         "CAST(NULL AS VARCHAR)")
 _TRANSFER_CTES = _job_sql(
-    "Traslado", "r.precio_unitario", "r.id_sucursal_destino", "NULL",
+    "Traslado", "r.precio_unitario", "r.id_sucursal_destino", "CAST(NULL AS BIGINT)",
     f"CASE WHEN r.id_sucursal_origen = r.id_sucursal_destino THEN '{L.REASON_SAME_BRANCH}' "
     f"WHEN r.id_sucursal_destino IS NULL THEN '{L.REASON_NO_DESTINATION}' END")
 _SELL_SQL = _SELL_CTES + "SELECT * FROM job_results"
