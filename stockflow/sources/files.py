@@ -95,15 +95,20 @@ def _hadoop_fs(spark: SparkSession, path: str):
 
 
 def publish_pointer(spark: SparkSession, root: str, version_dir: str) -> None:
-    """Point ``root/_CURRENT`` at a finished version (a write-then-rename of one small file)."""
+    """Point ``root/_CURRENT`` at a finished version: a small file is written beside
+    it and renamed over it in one step, so there is a pointer at every moment."""
     fs, tmp = _hadoop_fs(spark, f"{root.rstrip('/')}/_CURRENT.tmp-{uuid.uuid4().hex[:8]}")
     out = fs.create(tmp, True)
     out.write(bytearray(version_dir.encode()))
     out.close()
     _, cur = _hadoop_fs(spark, f"{root.rstrip('/')}/_CURRENT")
-    if fs.exists(cur):
-        fs.delete(cur, False)
-    fs.rename(tmp, cur)
+    jvm = spark.sparkContext._jvm
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(tmp, cur, how)   # raises when it can't
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:

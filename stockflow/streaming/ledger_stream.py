@@ -158,6 +158,9 @@ def publish_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: in
         merged = old.join(latest.select("id_sucursal", "id_variante"), ["id_sucursal", "id_variante"],
                           "left_anti").unionByName(latest)
     else:
+        _, older = FS._hadoop_fs(spark, f"{root.rstrip('/')}/batch-*/_SUCCESS")
+        if len(fs.globStatus(older)):
+            raise RuntimeError(f"{root} has stock versions but no pointer to one; restore _CURRENT")
         merged = latest
     merged.write.mode("overwrite").parquet(vdir)
     FS.publish_pointer(spark, root, vdir)

@@ -18,8 +18,6 @@ from stockflow.session import ensure_checkpoint_dir
 from stockflow.sources import files as FS
 from stockflow.streaming import ledger_stream as LS
 
-RUN_TIMEOUT_S = 1800
-
 
 def _dir(spark, what: str) -> str:
     return FS.new_version_dir(f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{what}")
@@ -38,9 +36,7 @@ def _run_to_parquet(stream_df: DataFrame, what: str) -> DataFrame:
     base = _dir(spark, what)
     q = (stream_df.writeStream.format("parquet").option("path", base + "/out")
          .option("checkpointLocation", base + "/chk").outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination(RUN_TIMEOUT_S)
-    if q.exception() is not None:
-        raise q.exception()
+    q.awaitTermination()   # to the end of the landed files; a failed query raises here
     return spark.read.schema(stream_df.schema).parquet(base + "/out")
 
 
@@ -80,9 +76,7 @@ def stream_publish_stock(t):
     decided = LS.stream_stock_ledger(stream, pv=t["producto_variante"])
     base = _dir(spark, "publish-out")
     q = LS.stream_publish_stock(decided, base + "/stock", base + "/chk")
-    q.awaitTermination(RUN_TIMEOUT_S)
-    if q.exception() is not None:
-        raise q.exception()
+    q.awaitTermination()   # to the end of the landed files; a failed query raises here
     return spark.read.parquet(FS.current_version(spark, base + "/stock")).select(
         "id_sucursal", "id_variante", "cantidad_disponible")
 
