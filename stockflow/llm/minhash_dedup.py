@@ -9,12 +9,16 @@ the mean k*t less ``SIGMAS`` deviations), and so they share one of each node's
 for all. Only those places of the lists make candidates, so words, lines and
 passages that everybody has make none.
 
-Candidates come in two rounds and never as all pairs of a list: first each node
-with the least of its list (a star), then, between different components of the
-verified links, the pairs of a list whose sketches' estimate passes; this round
-covers every pair left, so no link between different components is lost. The
-estimate is the share of the k least values of the union that both have. Links
-are verified on the full sets.
+Candidates come in two rounds and never as all pairs of a list. First a star:
+each node with its list's most typical one, that with the fewest values that no
+other node has. Then, where a list still joins different components of the
+verified links, its nodes are compared by their full sets in the same manner,
+without slack: they are candidates if they share one of the |set| - ceil(t * |set|)
++ 1 rarest values among these nodes and if the values from there on, were it the
+first that they share, leave room for the threshold. That covers every pair left, so no link between
+different components is lost, and edited copies that are too far from all others
+make no pairs. The first round's estimate is the share of the k least values of
+the union that both have. Links are verified on the full sets.
 
 Defined cases: null and empty texts have no set (n_shingles 0) and are linked
 with nothing; a text of fewer words than a shingle is one shingle; a null
@@ -62,7 +66,7 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
                 n.append(len(s))
                 d1.append(int(m.sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if len(s) else 0)
-                sketch.append(s[:k])
+                sketch.append(s[:k].copy())
             off = np.concatenate([[0], np.cumsum([len(s) for s in sketch])]).astype(np.int32)
             flat = np.concatenate(sketch) if sketch else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -77,9 +81,10 @@ def _least_shared(k: int, pct: int) -> int:
     return max(1, math.floor(k * t - SIGMAS * math.sqrt(k * t * (1 - t))))
 
 
-def _shared_needed(size, k: int, pct: int):
-    """c of a sketch of ``size`` values."""
-    return F.least(F.ceil(size * pct / 100), F.lit(_least_shared(k, pct)))
+def _shared_needed(size, k: int | None, pct: int):
+    """c of a sketch of ``size`` values; without k of a full set."""
+    whole = F.ceil(size * pct / 100)
+    return F.least(whole, F.lit(_least_shared(k, pct))) if k else whole
 
 
 def _estimate_passes(a, b, n_a, n_b, k: int, pct: int):
@@ -92,16 +97,39 @@ def _estimate_passes(a, b, n_a, n_b, k: int, pct: int):
             F.lit(_least_shared(k, pct)), F.ceil(F.least(n_a, n_b) * pct / 100)))
 
 
-def rare_lists(nodes: DataFrame, k: int, pct: int) -> DataFrame:
-    """(v, node, n) at the places of the inverted lists that make candidates."""
+def rare_lists(nodes: DataFrame, k: int | None, pct: int) -> DataFrame:
+    """(v, node, n, s, held, ahead) at the places of the inverted lists that make candidates,
+    from rows (node, n, sketch); s: values of the sketch, held: those that other nodes have
+    too, ahead: those of them from v on in the order."""
     places = nodes.select("node", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = places.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     rare = (places.join(often, "v").groupBy("node", "n", "s")
             .agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
             # values that no other node has come first in the order
-            .withColumn("take", F.col("s") - _shared_needed(F.col("s"), k, pct) + 1 - (F.col("s") - F.size("vs")))
+            .withColumn("take", F.size("vs") - _shared_needed(F.col("s"), k, pct) + 1)
             .filter("take > 0"))
-    return rare.select(F.explode(F.expr("slice(vs, 1, int(take))")).alias("x"), "node", "n").select("x.v", "node", "n")
+    return rare.select(F.posexplode(F.expr("slice(vs, 1, int(take))")).alias("i", "x"), "node", "n", "s",
+                       F.size("vs").alias("held")).select(
+        "x.v", "node", "n", "s", "held", (F.col("held") - F.col("i")).alias("ahead"))
+
+
+def full_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, n, sketch): the full set of each node of ``nodes`` (node), from its text."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(
+        nodes.select("node"), "node", "left_semi")
+
+    def run(batches):
+        hasher = WordHasher()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                sets = list(_sets(part.column(1), words, hasher))
+                off = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets), pa.int64()))],
+                    names=["node", "n", "sketch"])
+    return texts.mapInArrow(run, "node long, n long, sketch array<long>").dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, docs: DataFrame, words: int, pct: int) -> DataFrame:
@@ -135,34 +163,29 @@ def near_classes(docs: DataFrame, words: int = 5, pct: int = 80, k: int = K) ->
     lists = stored(rare_lists(nodes, k, pct), "lists")
     sketch = nodes.select("node", "n", "sketch")
 
-    # first round: each node with the least of its list
-    least = lists.groupBy("v").agg(F.min("node").alias("b"))
-    star = (lists.join(least, "v").filter("node > b").select(F.col("node").alias("a"), "b").distinct()
+    # first round: each node with the most typical of its list
+    centre = lists.groupBy("v").agg(F.min_by("node", F.struct(F.col("s") - F.col("held"), "node")).alias("b"))
+    star = (lists.join(centre, "v").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
             .join(sketch.withColumnsRenamed({"node": "a", "n": "na", "sketch": "sa"}), "a")
             .join(sketch.withColumnsRenamed({"node": "b", "n": "nb", "sketch": "sb"}), "b")
             .filter(_estimate_passes(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), k, pct))
-            .select("a", "b").distinct())
-    star = stored(star, "star")
-    links = stored(verify(star, docs, words, pct), "links")
+            .select("a", "b"))
+    links = stored(verify(stored(star, "star"), docs, words, pct), "links")
     group = components(links)
 
-    # second round: what is left between components, minor ones of a list against all others
-    named = lists.join(group, "node", "left").withColumn("c", F.coalesce("component", "node")).select(
-        "v", "node", "n", "c")
-    named = stored(named, "named")
-    sizes = named.groupBy("v", "c").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("v").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("kinds")).filter(
-        "kinds > 1").select("v", "main")
-    open_lists = named.join(main, "v").join(sketch.select("node", "sketch"), "node")
-    a = open_lists.filter("c != main").select("v", F.col("node").alias("a"), F.col("n").alias("na"),
-                                              F.col("c").alias("ca"), F.col("sketch").alias("sa"))
-    b = open_lists.select("v", "main", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"),
-                          F.col("sketch").alias("sb"))
-    rest = (a.join(b, (a["v"] == b["v"]) & (F.col("ca") != F.col("cb"))
-                   & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
-                   & _estimate_passes(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), k, pct))
-            .select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
-    more = verify(stored(rest, "rest"), docs, words, pct)
+    # second round: the nodes of lists that still join several components, by full sets
+    named = lists.select("v", "node").join(group, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    several = named.groupBy("v").agg((F.min("c") < F.max("c")).alias("several")).filter("several")
+    left = named.join(several, "v", "left_semi").select("node", "c").distinct()
+    left = stored(left, "left")
+    exact = rare_lists(full_sets(left, docs, words), None, pct).join(left, "node").select("v", "node", "n", "ahead", "c")
+    exact = stored(exact, "exact")
+    a = exact.withColumnsRenamed({c: f"{c}_a" for c in ("node", "n", "ahead", "c")})
+    b = exact.withColumnsRenamed({c: f"{c}_b" for c in ("node", "n", "ahead", "c")})
+    room = F.expr(f"{pct} * (n_a + n_b) <= {100 + pct} * least(ahead_a, ahead_b)")
+    rest = a.join(b.withColumnRenamed("v", "v_b"), (F.col("v") == F.col("v_b")) & (F.col("c_a") < F.col("c_b")) & room)
+    rest = stored(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "rest")
+    more = verify(rest, docs, words, pct)
     links = stored(links.unionByName(more), "links")
     group = components(links)
 
