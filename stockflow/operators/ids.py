@@ -67,3 +67,16 @@ def id_continue(df: DataFrame, existing: DataFrame, id_col: str, order: Sequence
     src = existing_id_col or id_col
     start = existing.select(F.coalesce(F.max(src), F.lit(0)).cast("bigint") + 1).scalar()
     return id_assign(df, order, id_col=id_col, bucket=bucket, start=start)
+
+
+def id_before(df: DataFrame, existing: DataFrame, id_col: str, order: Sequence[str | Column],
+              existing_id_col: str | None = None, bucket: Sequence[str] | None = None) -> DataFrame:
+    """Ids that end right before ``MIN(id)`` of ``existing`` (before 1 when it is empty).
+
+    ``order`` and ``bucket`` are those of the *reversed* sequence: the first row
+    gets the highest new id. So no count of ``df`` is needed.
+    """
+    src = existing_id_col or id_col
+    least = existing.select(F.coalesce(F.min(src), F.lit(1)).cast("bigint")).scalar()
+    return id_assign(df, order, id_col="_sf_rev", bucket=bucket).withColumn(
+        id_col, (least - F.col("_sf_rev")).cast("bigint")).drop("_sf_rev")

@@ -53,54 +53,111 @@ _COUNTS_SQL = "\nUNION ALL\n".join(
 
 
 def _model_tables(t):
-    frames = {n: t[n] for n in S.DEPENDENCY_ORDER if n != "detalle_movimientos"}
-    frames["detalle_movimientos"] = lines(t).withColumn("id_detalle", F.lit(None).cast("bigint"))
-    return frames
+    return {n: t[n] for n in S.DEPENDENCY_ORDER}
+
+
+def load_problems(stored) -> list[str]:
+    """What keeps a load from being published: orphans, repeated or NULL primary keys, NULLs in NOT NULL columns."""
+    from stockflow.plans import quality as Q
+    fk = Q.foreign_key(stored).where("huerfanas > 0").count()
+    pk = Q.primary_key(stored).where("claves_duplicadas > 0 OR claves_nulas > 0").count()
+    nn = Q.not_null(stored).where("filas_nulas > 0").count()
+    return [f"{n} {what}" for n, what in ((fk, "foreign keys with orphans"), (pk, "tables with bad primary keys"),
+                                          (nn, "NOT NULL columns with NULLs")) if n]
 
 
 @register("load_in_dependency_order", _COUNTS_SQL)
 def load_in_dependency_order(t):
-    """Write all 12 tables parents-first to a new version, check keys, publish, read back counts."""
+    """Write all 12 tables parents-first to a new version, check keys and NULLs, publish, read back counts."""
     from stockflow.plans import quality as Q
     spark = t["marcas"].sparkSession
     root = _scratch(t, "load")
-
-    def checks(stored):
-        fk = Q.foreign_key(stored).where("huerfanas > 0").count()
-        return [f"{fk} foreign keys with orphans"] if fk else []
-
-    FS.load_in_dependency_order(spark, _model_tables(t), root, checks=checks)
+    FS.load_in_dependency_order(spark, _model_tables(t), root, checks=load_problems)
     vdir = FS.current_version(spark, root)
     stored = FS.read_version(spark, vdir, S.DEPENDENCY_ORDER)
     return Q._stack([stored[n].agg(F.count(F.lit(1)).cast("bigint").alias("filas"))
                      .select(F.lit(n).alias("tabla"), "filas") for n in S.DEPENDENCY_ORDER])
 
 
-@register("sink_csv_tables", """
-SELECT 'movimientos' AS tabla, CAST(count(*) AS BIGINT) AS filas, CAST(sum(id_movimiento) AS BIGINT) AS suma_ids,
-       CAST(NULL AS DECIMAL(38,2)) AS suma_importes, CAST(count(id_proveedor) AS BIGINT) AS no_nulos
-FROM movimientos
-UNION ALL
-SELECT 'detalle_movimientos', CAST(count(*) AS BIGINT), CAST(sum(id_movimiento) AS BIGINT),
-       CAST(sum(precio_unitario) AS DECIMAL(38,2)), CAST(count(precio_unitario) AS BIGINT)
-FROM detalle_lineas""")
+def _money_cols(n: str) -> list[str]:
+    return [f.name for f in S.SCHEMAS[n].fields if f.dataType == S.MONEY]
+
+
+def _csv_sql(n: str) -> str:
+    names = [f.name for f in S.SCHEMAS[n].fields]
+    money = " + ".join(f"sum({c})" for c in _money_cols(n)) or "NULL"
+    return (f"SELECT '{n}' AS tabla, CAST(count(*) AS BIGINT) AS filas, CAST(sum({names[0]}) AS BIGINT) AS suma_ids, "
+            f"CAST({money} AS DECIMAL(38,2)) AS suma_importes, "
+            f"CAST({' + '.join(f'count({c})' for c in names)} AS BIGINT) AS no_nulos, "
+            f"CAST(sum({' + '.join(f'coalesce(length(CAST({c} AS VARCHAR)), 0)' for c in names)}) AS BIGINT) AS largo FROM {n}")
+
+
+@register("sink_csv_tables", "\nUNION ALL\n".join(map(_csv_sql, S.TABLE_NAMES)))
 def sink_csv_tables(t):
-    """Movements and lines written as header CSV and read back by column name
-    (NULL supplier as empty field, money with two decimals)."""
+    """All 12 tables written as header CSV and read back by column name (NULLs as
+    empty fields, money with two decimals): rows, sums, values and their lengths."""
+    from stockflow.plans import quality as Q
     spark = t["marcas"].sparkSession
     root = _scratch(t, "csv")
-    frames = _model_tables(t)
-    FS.sink_csv_tables(from_frames(frames), root, ["movimientos", "detalle_movimientos"])
-    back = FS.src_csv_tables(spark, root, ["movimientos", "detalle_movimientos"])
-    m, d = back["movimientos"], back["detalle_movimientos"]
-    return m.agg(F.lit("movimientos").alias("tabla"), F.count(F.lit(1)).cast("bigint").alias("filas"),
-                 F.sum("id_movimiento").cast("bigint").alias("suma_ids"),
-                 F.lit(None).cast("decimal(38,2)").alias("suma_importes"),
-                 F.count("id_proveedor").cast("bigint").alias("no_nulos")).unionByName(
-        d.agg(F.lit("detalle_movimientos").alias("tabla"), F.count(F.lit(1)).cast("bigint").alias("filas"),
-              F.sum("id_movimiento").cast("bigint").alias("suma_ids"),
-              F.sum("precio_unitario").cast("decimal(38,2)").alias("suma_importes"),
-              F.count("precio_unitario").cast("bigint").alias("no_nulos")))
+    FS.sink_csv_tables(from_frames(_model_tables(t)), root)
+    back = FS.src_csv_tables(spark, root)
+    out = []
+    for n in S.TABLE_NAMES:
+        names = [f.name for f in S.SCHEMAS[n].fields]
+        money = [F.sum(c) for c in _money_cols(n)]
+        out.append(back[n].agg(
+            F.lit(n).alias("tabla"), F.count(F.lit(1)).cast("bigint").alias("filas"),
+            F.sum(names[0]).cast("bigint").alias("suma_ids"),
+            (money[0] if money else F.lit(None)).cast("decimal(38,2)").alias("suma_importes"),
+            sum((F.count(c) for c in names[1:]), F.count(names[0])).cast("bigint").alias("no_nulos"),
+            F.sum(sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in names[1:]),
+                      F.coalesce(F.length(F.col(names[0]).cast("string")), F.lit(0)))).cast("bigint").alias("largo")))
+    return Q._stack(out)
+
+
+@register("src_csv_tables", "SELECT * FROM detalle_movimientos")
+def src_csv_tables(t):
+    """The lines with their ids, written as header CSV and read back with their types."""
+    spark = t["marcas"].sparkSession
+    root = _scratch(t, "csv-lines")
+    FS.sink_csv_tables(from_frames({"detalle_movimientos": t["detalle_movimientos"]}), root, ["detalle_movimientos"])
+    return FS.src_csv_tables(spark, root, ["detalle_movimientos"])["detalle_movimientos"]
+
+
+@register("src_catalog_csv", """
+SELECT p_name AS nombre, CAST(NULL AS VARCHAR) AS descripcion, CAST(p_retailprice AS DECIMAL(12,2)) AS precio_venta_actual,
+       p_brand AS marca, p_type AS categoria FROM part""")
+def src_catalog_csv(t):
+    """The catalogue as a CSV whose columns come in another order, read by name."""
+    path = _scratch(t, "catalog")
+    _catalog(t).select("categoria", "precio_venta_actual", "marca", "nombre", "descripcion").write.option(
+        "header", True).option("nullValue", "").csv(path)
+    return FS.src_catalog_csv(t["marcas"].sparkSession, path)
+
+
+@register("load_full_refresh", "SELECT * FROM productos WHERE id_marca % 2 = 0")
+def load_full_refresh(t):
+    """A table loaded whole, then replaced by another content: only the second is there."""
+    path = _scratch(t, "refresh")
+    FS.load_full_refresh(t["productos"], path)
+    FS.load_full_refresh(t["productos"].where("id_marca % 2 = 0"), path)
+    return t["marcas"].sparkSession.read.parquet(path)
+
+
+@register("chk_tables_present", """
+SELECT CAST(2 AS BIGINT) AS faltantes, 'colores, talles' AS lista
+WHERE (SELECT count(*) FROM colores) > 0 AND (SELECT count(*) FROM talles) > 0""")
+def chk_tables_present(t):
+    """A version written without two of the 12 tables: the folders that are missing."""
+    from stockflow.plans import quality as Q
+    spark = t["marcas"].sparkSession
+    root = _scratch(t, "present")
+    for n in S.TABLE_NAMES:
+        if n not in ("colores", "talles"):
+            t[n].write.parquet(f"{root}/{n}")
+    fs, path = FS._hadoop_fs(spark, root)
+    there = [s.getPath().getName() for s in fs.listStatus(path)]
+    return Q.tables_present(spark, S.TABLE_NAMES, there)
 
 
 @register("write_layout", """

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from stockflow.functions import exprs as X
 from stockflow.operators import windows as W
-from stockflow.operators.ids import id_continue
+from stockflow.operators.ids import id_before
 from stockflow.schema import CONSUMING_TYPES, MONEY
 from stockflow.session import ensure_checkpoint_dir
 
@@ -125,21 +125,27 @@ def final_stock(mov: DataFrame, det: DataFrame, buffer: int | Column = 2) -> Dat
 
 def opening_movements(mov: DataFrame, det: DataFrame, prod: DataFrame, pv: DataFrame, opening_time,
                       buffer: int | Column = 2, observation: str = "Apertura de inventario",
-                      cost_ratio: str = "0.60", line_ids_after: DataFrame | None = None
+                      cost_ratio: str = "0.60", line_ids_before: DataFrame | None = None
                       ) -> tuple[DataFrame, DataFrame]:
     """Opening header (one Entrada per branch, dated before all history) and one
     line per cell with the opening quantity, valued at cost.
 
-    Header ids continue after the existing movements; line ids continue after
-    ``line_ids_after`` (a table with ``id_detalle``) when it is given."""
+    Ids follow time: headers are numbered in branch order right before the first
+    movement of the history, lines right before the first line of
+    ``line_ids_before`` (a table with ``id_detalle``) when it is given, so a replay
+    by id takes the opening first. The employee of a branch is the first one by id
+    that moves stock there (of all, where nobody does)."""
     op = opening_stock(mov, det, buffer)
-    branches = op.select("id_sucursal").distinct()
-    headers = id_continue(branches, mov, "id_movimiento", ["id_sucursal"]).select(
+    staff = mov.groupBy(F.col("id_sucursal_origen").alias("id_sucursal")).agg(F.min("id_empleado").alias("_emp"))
+    anyone = mov.agg(F.min("id_empleado").alias("e")).select("e").scalar()
+    branches = (op.select("id_sucursal").distinct().join(staff, "id_sucursal", "left"))
+    headers = id_before(branches, mov, "id_movimiento", [F.col("id_sucursal").desc()]).select(
         "id_movimiento", X.ntz(opening_time).alias("fecha_hora"),
         F.lit("Entrada").alias("tipo_movimiento"), F.lit(observation).alias("observaciones"),
         F.col("id_sucursal").alias("id_sucursal_origen"),
         F.lit(None).cast("bigint").alias("id_sucursal_destino"),
-        F.lit(None).cast("bigint").alias("id_empleado"), F.lit(None).cast("bigint").alias("id_proveedor"))
+        F.coalesce("_emp", anyone).cast("bigint").alias("id_empleado"),
+        F.lit(None).cast("bigint").alias("id_proveedor"))
     price = pv.select("id_variante", "id_producto").join(prod.select("id_producto", "precio_venta_actual"),
                                                          "id_producto", "inner")
     lines = (op.join(headers.select("id_movimiento", F.col("id_sucursal_origen").alias("id_sucursal")),
@@ -148,9 +154,12 @@ def opening_movements(mov: DataFrame, det: DataFrame, prod: DataFrame, pv: DataF
     cols = [F.col("cantidad_apertura").alias("cantidad"),
             F.coalesce(X.cost_price("precio_venta_actual", cost_ratio), F.lit(0).cast(MONEY)).alias("precio_unitario"),
             "id_movimiento", "id_variante"]
-    if line_ids_after is not None:
-        lines = id_continue(lines, line_ids_after, "id_detalle", ["id_sucursal", "id_variante"],
-                            bucket=["id_sucursal"])
+    if line_ids_before is not None:
+        # numbered backwards: branches descending, cut by ranges of the variant id
+        lines = (lines.withColumn("_sf_nb", -F.col("id_sucursal"))
+                 .withColumn("_sf_nv", -F.floor(F.col("id_variante") / F.lit(1 << 16))))
+        lines = id_before(lines, line_ids_before, "id_detalle",
+                          [F.col("id_sucursal").desc(), F.col("id_variante").desc()], bucket=["_sf_nb", "_sf_nv"])
         cols = ["id_detalle"] + cols
     return headers, lines.select(*cols)
 

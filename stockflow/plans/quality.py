@@ -49,17 +49,29 @@ def not_null(t: Tables) -> DataFrame:
     return _stack(out)
 
 
-def max_length(t: Tables) -> DataFrame:
-    """Rows longer than the declared VARCHAR(n) per column."""
+def _per_table(t: Tables, checks, lines_without_ids: bool = True) -> DataFrame:
+    """``checks``: (table, violated condition, literal columns). One aggregate per
+    table counts all its conditions; the rows have the literals and the count ``_n``."""
+    by_table: dict[str, list] = {}
+    for tab, cond, cols in checks:
+        by_table.setdefault(tab, []).append((cond, cols))
     out = []
-    for tab, col, n in S.MAX_LENGTHS:
-        df = t[tab]
-        out.append(df.agg(_count_where(F.length(col) > n).alias("filas_largas")).select(
-            F.lit(tab).alias("tabla"), F.lit(col).alias("columna"), F.lit(n).alias("limite"),
-            F.coalesce("filas_largas", F.lit(0)).cast("bigint").alias("filas_largas")))
+    for tab, own in by_table.items():
+        df = _lines_or(t, tab) if lines_without_ids else t[tab]
+        agg = df.agg(*[F.coalesce(_count_where(cond), F.lit(0).cast("bigint")).alias(f"c{i}")
+                       for i, (cond, _) in enumerate(own)])
+        out.append(agg.select(F.explode(F.array(*[
+            F.struct(*[F.lit(v).alias(k) for k, v in cols.items()], F.col(f"c{i}").alias("_n"))
+            for i, (_, cols) in enumerate(own)]))).select("col.*"))
     return _stack(out)
 
 
+def max_length(t: Tables) -> DataFrame:
+    """Rows longer than the declared VARCHAR(n) per column; one aggregate per table."""
+    return _per_table(t, [(tab, F.length(col) > n, {"tabla": tab, "columna": col, "limite": n})
+                          for tab, col, n in S.MAX_LENGTHS]).withColumnRenamed("_n", "filas_largas")
+
+
 def primary_key(t: Tables) -> DataFrame:
     """Per table: keys that occur more than once, and rows with a NULL key part."""
     out = []
@@ -88,24 +100,14 @@ def unique(t: Tables) -> DataFrame:
 
 def domain_in(t: Tables) -> DataFrame:
     """Rows whose value is outside the CHECK list (NULL passes a CHECK)."""
-    out = []
-    for tab, col, allowed in S.DOMAINS:
-        out.append(t[tab].agg(_count_where(F.col(col).isNotNull() & ~F.col(col).isin(allowed))
-                              .alias("filas_fuera_de_dominio")).select(
-            F.lit(tab).alias("tabla"), F.lit(col).alias("columna"),
-            F.coalesce("filas_fuera_de_dominio", F.lit(0)).cast("bigint").alias("filas_fuera_de_dominio")))
-    return _stack(out)
+    return _per_table(t, [(tab, F.col(col).isNotNull() & ~F.col(col).isin(allowed), {"tabla": tab, "columna": col})
+                          for tab, col, allowed in S.DOMAINS]).withColumnRenamed("_n", "filas_fuera_de_dominio")
 
 
 def numeric(t: Tables) -> DataFrame:
     """Rows violating each numeric CHECK (a NULL result passes)."""
-    out = []
-    for name, tab, pred in S.NUMERIC_CHECKS:
-        df = _lines_or(t, tab)
-        out.append(df.agg(_count_where(~F.expr(pred)).alias("filas_invalidas")).select(
-            F.lit(name).alias("restriccion"), F.lit(tab).alias("tabla"),
-            F.coalesce("filas_invalidas", F.lit(0)).cast("bigint").alias("filas_invalidas")))
-    return _stack(out)
+    return _per_table(t, [(tab, ~F.expr(pred), {"restriccion": name, "tabla": tab})
+                          for name, tab, pred in S.NUMERIC_CHECKS]).withColumnRenamed("_n", "filas_invalidas")
 
 
 def _lines_or(t: Tables, tab: str) -> DataFrame:
@@ -209,6 +211,39 @@ def generated_invariants(inv: DataFrame, mov: DataFrame, det: DataFrame) -> Data
 # ---------------------------------------------------------------------------
 # Referential actions
 # ---------------------------------------------------------------------------
+def _row_key(tab: str) -> F.Column:
+    return F.concat_ws(":", *[F.col(k).cast("string") for k in S.PRIMARY_KEYS[tab]])
+
+
+def delete_effects(t: Tables, doomed: Mapping[str, DataFrame]) -> DataFrame:
+    """Every child row that a delete of the ``doomed`` keys (parent table -> its key
+    column) meets, over all foreign keys: the row goes with its parent (CASCADE) or
+    holds it back (RESTRICT)."""
+    out = []
+    for child, ccol, parent, pcol, action in S.FOREIGN_KEYS:
+        if parent not in doomed:
+            continue
+        keys = doomed[parent].select(F.col(pcol).alias(ccol)).distinct()
+        hit = t[child].join(keys, ccol, "left_semi")
+        out.append(hit.select(F.lit(parent).alias("tabla_padre"), F.col(ccol).cast("bigint").alias("clave"),
+                              F.lit(child).alias("tabla"), F.lit(ccol).alias("columna"), _row_key(child).alias("fila"),
+                              F.lit("cascada" if action == "CASCADE" else "bloquea").alias("accion")))
+    return _stack(out)
+
+
+def rekey_effects(t: Tables, offset: int) -> DataFrame:
+    """ON UPDATE CASCADE when all parents' keys move by ``offset``: for every foreign
+    key and child row, the row (by its old key), and its new foreign key."""
+    out = []
+    for child, ccol, parent, pcol, _ in S.FOREIGN_KEYS:
+        mapping = t[parent].select(F.col(pcol).alias("old"), (F.col(pcol) + offset).alias("new"))
+        marked = t[child].withColumn("_fila", _row_key(child))
+        new = rekey_cascade({parent: t[parent], child: marked}, parent, mapping, only=(child, ccol))[child]
+        out.append(new.select(F.lit(child).alias("tabla"), F.lit(ccol).alias("columna"), F.col("_fila").alias("fila"),
+                              F.col(ccol).cast("bigint").alias("clave_nueva")))
+    return _stack(out)
+
+
 def delete_cascade(t: Tables, parent: str, doomed: DataFrame) -> dict[str, DataFrame]:
     """Delete the parent rows whose key is in ``doomed`` (one key column).
 
@@ -235,8 +270,10 @@ def delete_cascade(t: Tables, parent: str, doomed: DataFrame) -> dict[str, DataF
     return out
 
 
-def rekey_cascade(t: Tables, parent: str, mapping: DataFrame) -> dict[str, DataFrame]:
-    """ON UPDATE CASCADE: change parent keys (``mapping``: old, new) and rewrite every child."""
+def rekey_cascade(t: Tables, parent: str, mapping: DataFrame, only: tuple[str, str] | None = None
+                  ) -> dict[str, DataFrame]:
+    """ON UPDATE CASCADE: change parent keys (``mapping``: old, new) and rewrite every
+    child, or ``only`` one (table, column) of them."""
     pcol = S.PRIMARY_KEYS[parent][0]
     m = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
 
@@ -246,6 +283,6 @@ def rekey_cascade(t: Tables, parent: str, mapping: DataFrame) -> dict[str, DataF
 
     out = {parent: remap(t[parent], pcol)}
     for child, ccol, par, _pc, _a in S.FOREIGN_KEYS:
-        if par == parent:
+        if par == parent and only in (None, (child, ccol)):
             out[child] = remap(out.get(child, _lines_or(t, child)), ccol)
     return out

@@ -275,3 +275,36 @@ def rekey_cascade(t):
     out = Q.rekey_cascade({"sucursales": t["sucursales"], "movimientos": t["movimientos"],
                            "inventario": t["inventario"]}, "sucursales", mapping)
     return out["movimientos"].select("id_movimiento", "id_sucursal_origen", "id_sucursal_destino")
+
+
+#: Every key of each parent that this number divides is deleted.
+DOOMED_MOD = 7
+REKEY_OFFSET = 5000
+
+
+def _parents():
+    return {parent: pcol for _, _, parent, pcol, _ in S.FOREIGN_KEYS}
+
+
+def _row_key_sql(tab: str) -> str:
+    return " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in S.PRIMARY_KEYS[tab])
+
+
+@register("del_cascade_rows", _union(
+    f"SELECT '{parent}' AS tabla_padre, CAST({ccol} AS BIGINT) AS clave, '{child}' AS tabla, '{ccol}' AS columna, "
+    f"{_row_key_sql(child)} AS fila, '{'cascada' if action == 'CASCADE' else 'bloquea'}' AS accion "
+    f"FROM {child} WHERE {ccol} IN (SELECT {pcol} FROM {parent} WHERE {pcol} % {DOOMED_MOD} = 0)"
+    for child, ccol, parent, pcol, action in S.FOREIGN_KEYS))
+def del_cascade_rows(t):
+    """Every child row that deleting every 7th key of each parent takes along or is held back by (13 keys)."""
+    doomed = {parent: t[parent].where(F.col(pcol) % DOOMED_MOD == 0) for parent, pcol in _parents().items()}
+    return Q.delete_effects(t, doomed)
+
+
+@register("rekey_cascade_rows", _union(
+    f"SELECT '{child}' AS tabla, '{ccol}' AS columna, {_row_key_sql(child)} AS fila, "
+    f"CAST({ccol} + {REKEY_OFFSET} AS BIGINT) AS clave_nueva FROM {child}"
+    for child, ccol, _, _, _ in S.FOREIGN_KEYS))
+def rekey_cascade_rows(t):
+    """All parents' keys moved by an offset: every child row's new foreign key (13 keys)."""
+    return Q.rekey_effects(t, REKEY_OFFSET)
