@@ -42,6 +42,31 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
              .drop("_sf_key", "_sf_chunk", "_sf_in", "_sf_off"))
 
 
+def running_sum_split(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, position: str,
+                      out: str = "running", limit: int = 1 << 16) -> DataFrame:
+    """``running_sum`` that splits only keys of more than ``limit`` rows, by their own positions.
+
+    ``position`` is a whole-number column, the first of ``order``. A key of n rows
+    is cut into ceil(n / limit) equal ranges of its positions; all other keys are
+    one chunk and need no offset. So the offset table has rows of hot keys only
+    (at most two per ``limit`` input rows), not one per key.
+    """
+    order = list(order)
+    x = df.withColumn("_sf_key", F.struct(*keys))
+    hot = (x.groupBy("_sf_key").agg(F.count(F.lit(1)).alias("_sf_n"), F.min(position).alias("_sf_lo"),
+                                    F.max(position).alias("_sf_hi")).where(F.col("_sf_n") > limit))
+    x = x.join(hot, "_sf_key", "left")
+    pieces = F.ceil(F.col("_sf_n") / F.lit(limit))
+    place = (F.col(position) - F.col("_sf_lo")) / (F.col("_sf_hi") - F.col("_sf_lo") + 1)
+    x = x.withColumn("_sf_chunk", F.coalesce(F.floor(place * pieces), F.lit(-1)).cast("bigint"))
+    w_in = Window.partitionBy("_sf_key", "_sf_chunk").orderBy(*order).rowsBetween(_UNB, Window.currentRow)
+    offs = chunk_offsets(x.where(F.col("_sf_n").isNotNull()), ["_sf_key"], value)
+    return (x.withColumn("_sf_in", F.sum(value).over(w_in))
+             .join(offs, on=["_sf_key", "_sf_chunk"], how="left")
+             .withColumn(out, F.coalesce("_sf_off", F.lit(0)) + F.col("_sf_in"))
+             .drop("_sf_key", "_sf_n", "_sf_lo", "_sf_hi", "_sf_chunk", "_sf_in", "_sf_off"))
+
+
 def chunk_offsets(x: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per (key, chunk): the sum of ``value`` over all earlier chunks of the key."""
     keys = list(keys)

@@ -67,13 +67,13 @@ def net_stock(mov: DataFrame, det: DataFrame) -> DataFrame:
 def running_balance(mov: DataFrame, det: DataFrame, chunk_lines: int = 1 << 16) -> DataFrame:
     """Balance of the cell after every line leg, in line-id order.
 
-    Hot cells are split into chunks of ``chunk_lines`` consecutive line ids
-    (ids follow time), so no task holds a whole cell.
+    A cell of more than ``chunk_lines`` legs is split into ranges of its own line
+    ids, so no task holds a whole hot cell; other cells are one window each.
     """
     d = deltas(mov, det, keep=["id_detalle"])
     order = [F.col("id_detalle"), F.col("leg")]
-    chunk = F.floor(F.col("id_detalle") / F.lit(chunk_lines))
-    return W.running_sum(d, ["id_sucursal", "id_variante"], order, "delta", out="saldo", chunk=chunk).select(
+    return W.running_sum_split(d, ["id_sucursal", "id_variante"], order, "delta", "id_detalle", out="saldo",
+                               limit=chunk_lines).select(
         "id_detalle", "leg", "id_sucursal", "id_variante", "delta", F.col("saldo").cast("bigint").alias("saldo"))
 
 
@@ -216,6 +216,33 @@ FOLD_SCHEMA = T.StructType([
 ])
 
 
+def replay_line(stock: dict, t, o, d, q, pre, null, late):
+    """The rule for one line against ``stock`` (branch -> units of its variant), which it
+    changes when the line is accepted. Returns available units, reason (None: accepted)
+    and the balances of origin and destination after it."""
+    avail = stock.get(o, 0) if o is not None else 0
+    reason = pre if isinstance(pre, str) else None
+    if reason is None and t in CONSUMING_TYPES and avail < q and null != REASON_NULL_QUANTITY:
+        reason = REASON_STOCK
+    if reason is None and isinstance(null, str):
+        reason = null
+    if reason is None and q <= 0:
+        reason = REASON_QUANTITY
+    if reason is None and isinstance(late, str):
+        reason = late
+    if reason is None and ((t == "Entrada" and o is None) or (t == "Traslado" and d is None)):
+        reason = REASON_NO_BRANCH
+    if reason is None:
+        if t == "Entrada":
+            stock[o] = stock.get(o, 0) + q
+        elif t in CONSUMING_TYPES:
+            if o in stock:
+                stock[o] -= q
+            if t == "Traslado":
+                stock[d] = stock.get(d, 0) + q
+    return (avail, reason, stock.get(o) if o is not None else None, stock.get(d) if d is not None else None)
+
+
 def _fold_partition(batches):
     """Replay one partition sorted by (id_variante, cell key, kind, id_detalle).
 
@@ -257,33 +284,9 @@ def _fold_partition(batches):
             o = None if br[i] == _NONE else int(br[i])
             d = None if de[i] == _NONE else int(de[i])
             q = int(qty[i])
-            t = tipo[i]
-            avail = stock.get(o, 0) if o is not None else 0
-            reason = pre[i] if isinstance(pre[i], str) else None
-            no_quantity = null[i] == REASON_NULL_QUANTITY
-            if reason is None and t in CONSUMING_TYPES and avail < q and not no_quantity:
-                reason = REASON_STOCK
-            if reason is None and isinstance(null[i], str):
-                reason = null[i]
-            if reason is None and q <= 0:
-                reason = REASON_QUANTITY
-            if reason is None and isinstance(late[i], str):
-                reason = late[i]
-            if reason is None and ((t == "Entrada" and o is None) or (t == "Traslado" and d is None)):
-                reason = REASON_NO_BRANCH
-            ok = reason is None
-            if ok:
-                if t == "Entrada":
-                    stock[o] = stock.get(o, 0) + q
-                elif t in CONSUMING_TYPES:
-                    if o in stock:
-                        stock[o] -= q
-                    if t == "Traslado":
-                        stock[d] = stock.get(d, 0) + q
-            so = stock.get(o) if o is not None else None
-            sd = stock.get(d) if d is not None else None
-            rows.append((int(ids[i]), None if v == _NONE else int(v), t, o, d, None if no_quantity else q, int(avail), ok,
-                         reason, so, sd))
+            avail, reason, so, sd = replay_line(stock, tipo[i], o, d, q, pre[i], null[i], late[i])
+            rows.append((int(ids[i]), None if v == _NONE else int(v), tipo[i], o, d,
+                         None if null[i] == REASON_NULL_QUANTITY else q, int(avail), reason is None, reason, so, sd))
         if rows:
             yield pd.DataFrame.from_records(rows, columns=out_cols).astype(
                 {"id_variante": "Int64", "cantidad": "Int64", "id_sucursal_origen": "Int64", "id_sucursal_destino": "Int64",
