@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stockflow.plans import ledger as L
-from stockflow.plans.ledger import (FOLD_SCHEMA, REASON_NO_BRANCH, REASON_PRICE, REASON_QUANTITY, REASON_STOCK,
-                                    REASON_UNKNOWN)
-from stockflow.schema import CONSUMING_TYPES
+from stockflow.plans.ledger import _NONE as NONE
+from stockflow.plans.ledger import FOLD_SCHEMA
 from stockflow.sources import files as FS
 
 STATE_SCHEMA = "branches array<bigint>, stocks array<bigint>"
@@ -67,41 +66,22 @@ def _replay_variant(key, pdf_iter: Iterator[pd.DataFrame], state: GroupState) ->
     batch = pd.concat(list(pdf_iter), ignore_index=True)
     batch = batch.sort_values(["ev_kind", "id_detalle"], kind="stable")
     rows = []
-    v = int(key[0])
+    v = None if key[0] == NONE else int(key[0])
     for r in batch.itertuples(index=False):
         if r.ev_kind == 0:                      # starting stock of a cell
             stock[int(r.id_sucursal_origen)] = int(r.ev_init)
             continue
-        o = None if pd.isna(r.id_sucursal_origen) else int(r.id_sucursal_origen)
-        d = None if pd.isna(r.id_sucursal_destino) else int(r.id_sucursal_destino)
-        q = int(r.cantidad)
-        t = r.tipo_movimiento
-        avail = stock.get(o, 0) if o is not None else 0
-        reason = r.ev_pre if isinstance(r.ev_pre, str) else None
-        if reason is None and t in CONSUMING_TYPES and avail < q:
-            reason = REASON_STOCK
-        if reason is None and q <= 0:
-            reason = REASON_QUANTITY
-        if reason is None and isinstance(r.ev_late, str):
-            reason = r.ev_late
-        if reason is None and ((t == "Entrada" and o is None) or (t == "Traslado" and d is None)):
-            reason = REASON_NO_BRANCH
-        ok = reason is None
-        if ok:
-            if t == "Entrada":
-                stock[o] = stock.get(o, 0) + q
-            elif t in CONSUMING_TYPES:
-                if o in stock:
-                    stock[o] -= q
-                if t == "Traslado":
-                    stock[d] = stock.get(d, 0) + q
-        rows.append((int(r.id_detalle), v, t, o, d, q, int(avail), ok, reason,
-                     stock.get(o) if o is not None else None, stock.get(d) if d is not None else None))
+        o = None if r.id_sucursal_origen == NONE else int(r.id_sucursal_origen)
+        d = None if r.id_sucursal_destino == NONE else int(r.id_sucursal_destino)
+        q, t = int(r.cantidad), r.tipo_movimiento
+        avail, reason, so, sd = L.replay_line(stock, t, o, d, q, r.ev_pre, r.ev_null, r.ev_late)
+        rows.append((int(r.id_detalle), v, t, o, d, None if r.ev_null == L.REASON_NULL_QUANTITY else q, int(avail),
+                     reason is None, reason, so, sd))
     state.update((list(stock.keys()), list(stock.values())))
     if rows:
         cols = FOLD_COLS
         yield pd.DataFrame.from_records(rows, columns=cols).astype(
-            {"id_sucursal_origen": "Int64", "id_sucursal_destino": "Int64",
+            {"id_variante": "Int64", "cantidad": "Int64", "id_sucursal_origen": "Int64", "id_sucursal_destino": "Int64",
              "saldo_origen": "Int64", "saldo_destino": "Int64"})
 
 
@@ -112,23 +92,16 @@ def stream_stock_ledger(lines: DataFrame, pv: DataFrame | None = None, stock: Da
     ``motivo_previo``); ``pv``: static variants for the foreign-key check;
     ``stock``: optional streaming rows of starting stock that arrive first.
     """
-    pre = F.col("motivo_previo") if "motivo_previo" in lines.columns else F.lit(None).cast("string")
-    late = F.when(F.col("precio_unitario") < 0, F.lit(REASON_PRICE))
-    x = lines.withColumn("ev_pre", pre)
-    if pv is not None:
-        x = x.join(pv.select("id_variante", F.lit(True).alias("_known")), "id_variante", "left")
-        late = late.when(F.col("_known").isNull(), F.lit(REASON_UNKNOWN))
-    events = x.select(F.lit(1).alias("ev_kind"), "id_detalle", "id_variante", "tipo_movimiento",
-                      F.col("id_sucursal_origen").cast("bigint"), F.col("id_sucursal_destino").cast("bigint"),
-                      F.col("cantidad").cast("int"), "ev_pre", late.alias("ev_late"),
-                      F.lit(None).cast("bigint").alias("ev_init"))
+    x = L._prepare(lines, pv).withColumnsRenamed({"_pre": "ev_pre", "_late": "ev_late", "_null": "ev_null"})
+    text = F.lit(None).cast("string")
+    events = x.withColumn("ev_kind", F.lit(1)).withColumn("ev_init", F.lit(0).cast("bigint"))
     if stock is not None:
         events = events.unionByName(stock.select(
-            F.lit(0).alias("ev_kind"), F.lit(None).cast("bigint").alias("id_detalle"), "id_variante",
-            F.lit(None).cast("string").alias("tipo_movimiento"), F.col("id_sucursal").alias("id_sucursal_origen"),
-            F.lit(None).cast("bigint").alias("id_sucursal_destino"), F.lit(None).cast("int").alias("cantidad"),
-            F.lit(None).cast("string").alias("ev_pre"), F.lit(None).cast("string").alias("ev_late"),
-            F.col("cantidad_disponible").cast("bigint").alias("ev_init")))
+            F.lit(0).alias("ev_kind"), F.lit(NONE).alias("id_detalle"),
+            F.col("id_variante").cast("bigint").alias("id_variante"), text.alias("tipo_movimiento"),
+            F.col("id_sucursal").cast("bigint").alias("id_sucursal_origen"), F.lit(NONE).alias("id_sucursal_destino"),
+            F.lit(0).alias("cantidad"), text.alias("ev_pre"), text.alias("ev_late"), text.alias("ev_null"),
+            F.coalesce(F.col("cantidad_disponible").cast("bigint"), F.lit(0)).alias("ev_init")))
     use_rocksdb_state(lines.sparkSession)
     return events.groupBy("id_variante").applyInPandasWithState(
         _replay_variant, FOLD_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
