@@ -216,6 +216,16 @@ FOLD_SCHEMA = T.StructType([
 ])
 
 
+_WHOLE = ("id_detalle", "id_variante", "id_sucursal_origen", "id_sucursal_destino", "cantidad", "disponible",
+          "saldo_origen", "saldo_destino")
+
+
+def decided_frame(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of FOLD_SCHEMA; whole numbers with NULLs stay whole numbers."""
+    cols = zip([f.name for f in FOLD_SCHEMA.fields], zip(*rows))
+    return pd.DataFrame({n: pd.array(list(c), dtype="Int64") if n in _WHOLE else list(c) for n, c in cols})
+
+
 def replay_line(stock: dict, t, o, d, q, pre, null, late):
     """The rule for one line against ``stock`` (branch -> units of its variant), which it
     changes when the line is accepted. Returns available units, reason (None: accepted)
@@ -259,7 +269,6 @@ def _fold_partition(batches):
     """
     cur = None
     stock: dict = {}
-    out_cols = [f.name for f in FOLD_SCHEMA.fields]
     for pdf in batches:
         rows = []
         ck = pdf["_ck"].to_numpy()
@@ -288,9 +297,7 @@ def _fold_partition(batches):
             rows.append((int(ids[i]), None if v == _NONE else int(v), tipo[i], o, d,
                          None if null[i] == REASON_NULL_QUANTITY else q, int(avail), reason is None, reason, so, sd))
         if rows:
-            yield pd.DataFrame.from_records(rows, columns=out_cols).astype(
-                {"id_variante": "Int64", "cantidad": "Int64", "id_sucursal_origen": "Int64", "id_sucursal_destino": "Int64",
-                 "saldo_origen": "Int64", "saldo_destino": "Int64"})
+            yield decided_frame(rows)
 
 
 def _prepare(lines: DataFrame, pv: DataFrame | None) -> DataFrame:

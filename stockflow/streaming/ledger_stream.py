@@ -47,7 +47,6 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     current = spark.conf.get(_PROVIDER_KEY, None)
     if not current or current.endswith("HDFSBackedStateStoreProvider"):
         spark.conf.set(_PROVIDER_KEY, ROCKSDB_PROVIDER)
-FOLD_COLS = [f.name for f in FOLD_SCHEMA.fields]
 LINE_COLUMNS = ["id_detalle", "id_variante", "cantidad", "precio_unitario", "tipo_movimiento",
                 "id_sucursal_origen", "id_sucursal_destino"]
 
@@ -79,10 +78,7 @@ def _replay_variant(key, pdf_iter: Iterator[pd.DataFrame], state: GroupState) ->
                      reason is None, reason, so, sd))
     state.update((list(stock.keys()), list(stock.values())))
     if rows:
-        cols = FOLD_COLS
-        yield pd.DataFrame.from_records(rows, columns=cols).astype(
-            {"id_variante": "Int64", "cantidad": "Int64", "id_sucursal_origen": "Int64", "id_sucursal_destino": "Int64",
-             "saldo_origen": "Int64", "saldo_destino": "Int64"})
+        yield L.decided_frame(rows)
 
 
 def stream_stock_ledger(lines: DataFrame, pv: DataFrame | None = None, stock: DataFrame | None = None) -> DataFrame:
