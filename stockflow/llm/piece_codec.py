@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,9 @@ from stockflow.llm.common import table
 #: Where this machine has the public vocabulary; a parameter of the operator.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-STEP_CHARS = 8 << 20
-CHUNK_CHARS = 2 << 20
+STEP_CHARS = 2 << 20
+CHUNK_CHARS = 512 << 10
+KEEP_SEGMENTS = 400_000   # encoded segments that a task keeps between steps
 LONG = 400
 _NONE = np.int64(1) << 40
 
@@ -71,7 +72,10 @@ class Vocabulary:
         self.order = np.unique(-np.array(scores), return_inverse=True)[1].astype(np.int64)
         self.lengths = np.array([len(p) for p, _ in pieces], np.int64)
         self.depth = int(self.lengths.max())
+        #: The characters of all pieces, in order.
         self.alphabet = np.unique(np.frombuffer("".join(p for p, _ in pieces).encode("utf-32-le"), np.uint32))
+        if len(self.alphabet) > 65000:
+            raise ValueError("more characters than 16-bit codes")
         self.codes = np.zeros((len(pieces), self.depth), np.int32)
         for k, (p, _) in enumerate(pieces):
             self.codes[k, :len(p)] = self.coded(np.frombuffer(p.encode("utf-32-le"), np.uint32))
@@ -83,20 +87,23 @@ class Vocabulary:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of ``text`` in order of their next ``depth`` symbols, by prefix doubling."""
+    """Positions of ``text`` (codes below 2**16) in order of their next ``depth``
+    symbols or more: four at once first, then by prefix doubling."""
     n = len(text)
-    rank, h = text.astype(np.int64), 1
+    padded = np.concatenate([text, np.zeros(4, text.dtype)]).astype(np.uint64)
+    key = (padded[:n] << np.uint64(48)) | (padded[1:n + 1] << np.uint64(32)) | (padded[2:n + 2] << np.uint64(16)) | padded[3:n + 3]
+    h = 4
     while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[:n - h] = rank[h:] + 1
-        key = rank * (max(n, int(rank.max(initial=0))) + 2) + nxt
         order = np.argsort(key)
-        h *= 2
         new = np.concatenate([[True], np.diff(key[order]) != 0])
         if h >= depth or new.all():
             return order
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
+        nxt = np.zeros(n, np.int64)
+        nxt[:max(0, n - h)] = rank[h:] + 1
+        key = rank * (n + 2) + nxt
+        h *= 2
 
 
 def occurrences(text: np.ndarray, vocab: Vocabulary):
@@ -255,37 +262,58 @@ def _split(text: str) -> list[str]:
     return [s if s[1:2] == MARK else s[1:] for s in runs]
 
 
+class SegmentCoder:
+    """Encodes texts; the segments of earlier texts are kept, up to KEEP_SEGMENTS of them."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self._forget()
+
+    def _forget(self):
+        self.index: dict[str, int] = {}
+        self.flat = [np.empty(0, np.int32)]
+        self.bounds = [np.zeros(1, np.int64)]
+
+    def _learn(self, keys: list[str]):
+        segments = [k if k[:1] == MARK else MARK + k for k in keys]
+        first = size = 0
+        for i, s in enumerate(segments):
+            size += len(s) + 1
+            if size >= CHUNK_CHARS or i == len(segments) - 1:
+                flat, b = encode_segments(segments[first:i + 1], self.vocab)
+                self.flat.append(flat)
+                self.bounds.append(b[1:] + self.bounds[-1][-1])
+                first, size = i + 1, 0
+        self.flat, self.bounds = [np.concatenate(self.flat)], [np.concatenate(self.bounds)]
+
+    def __call__(self, texts: list):
+        """Flat ids and offsets for a list of texts (None as empty)."""
+        if len(self.index) > KEEP_SEGMENTS:
+            self._forget()
+        index, known = self.index, len(self.index)
+        words, counts = [], []
+        for t in texts:
+            own = _split(t or "")
+            counts.append(len(own))
+            words += own
+        for w in words:
+            if w not in index:
+                index[w] = len(index)
+        self._learn(list(islice(index, known, None)))
+        flat, bounds = self.flat[0], self.bounds[0]
+        seg = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        del words
+        start = bounds[seg]
+        n = bounds[seg + 1] - start
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(start - ends + n, n) + np.arange(total)] if total else flat[:0]
+        cuts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        return ids, np.concatenate([[0], ends])[cuts]
+
+
 def encode_texts(texts: list, vocab: Vocabulary):
-    """Flat ids and offsets for a list of texts (None as empty)."""
-    index: dict[str, int] = {}
-    rows = []
-    for t in texts:
-        rows.append(np.array([index.setdefault(w, len(index)) for w in _split(t or "")], np.int32))
-    segments = [k if k[:1] == MARK else MARK + k for k in index]
-    ids, bounds, chunk, size, parts = [], [0], [], 0, []
-
-    def flush():
-        flat, b = encode_segments(chunk, vocab)
-        ids.append(flat)
-        bounds.extend((b[1:] + bounds[-1]).tolist())
-    for s in segments:
-        chunk.append(s)
-        size += len(s) + 1
-        if size >= CHUNK_CHARS:
-            flush()
-            chunk, size = [], 0
-    if chunk:
-        flush()
-    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-    bounds = np.array(bounds)
-    offsets = [0]
-    for seg in rows:
-        n = bounds[seg + 1] - bounds[seg]
-        total = int(n.sum())
-        at = np.repeat(bounds[seg] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total) if total else []
-        parts.append(flat[at] if total else flat[:0])
-        offsets.append(offsets[-1] + total)
-    return np.concatenate(parts) if parts else flat[:0], np.array(offsets, np.int64)
+    return SegmentCoder(vocab)(texts)
 
 
 def _steps(column):
@@ -313,10 +341,11 @@ def encode(docs: DataFrame, text: str = "text", out: str = "piece_ids", model_fi
     at = docs.columns.index(text)
 
     def run(batches):
+        coder = SegmentCoder(vocab.value)
         for batch in batches:
             done = 0
             for texts in _steps(batch.column(at)):
-                flat, off = encode_texts(texts, vocab.value)
+                flat, off = coder(texts)
                 part = batch.slice(done, len(texts))
                 done += len(texts)
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat, pa.int32()),
@@ -325,36 +354,43 @@ def encode(docs: DataFrame, text: str = "text", out: str = "piece_ids", model_fi
     return docs.mapInArrow(run, _with(docs.schema, out, T.ArrayType(T.IntegerType())))
 
 
-def decode_lists(lists, surface: list[bytes]):
-    """Texts of a list column of piece ids."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    n_pieces = len(surface)
-    # the first piece of a text goes without the space put before every text
-    both = pa.array(surface + [s[1:] if s[:1] == b" " else s for s in surface], pa.large_binary())
-    flat = np.array(lists.flatten())
-    n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-    off = np.concatenate([[0], np.cumsum(n)])
-    flat = flat.astype(np.int64)
-    flat[off[:-1][n > 0]] += n_pieces
-    taken = both.take(pa.array(flat))
-    size = np.asarray(pc.binary_length(taken)).astype(np.int64)
-    cuts = np.concatenate([[0], np.cumsum(size)])[off]
-    data = b"".join(taken.to_pylist()) if len(taken) else b""
-    out = [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-    return pa.array(out, pa.string(), mask=np.asarray(pc.is_null(lists)))
+class Surfaces:
+    """The bytes of all pieces, and once more as the first of a text: without the space put before every text."""
+
+    def __init__(self, surface: list[bytes]):
+        both = surface + [s[1:] if s[:1] == b" " else s for s in surface]
+        self.n = len(surface)
+        self.bytes = np.frombuffer(b"".join(both), np.uint8)
+        self.size = np.array([len(s) for s in both], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def texts(self, lists):
+        """Texts of a list column of piece ids."""
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
+        flat = np.array(lists.flatten()).astype(np.int64)
+        n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+        off = np.concatenate([[0], np.cumsum(n)])
+        flat[off[:-1][n > 0]] += self.n
+        size = self.size[flat]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.bytes[np.repeat(self.start[flat] - ends + size, size) + np.arange(total)].tobytes()
+        cuts = np.concatenate([[0], ends])[off].tolist()
+        out = [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.array(out, pa.string(), mask=np.asarray(pc.is_null(lists)))
 
 
 def decode(rows: DataFrame, ids: str = "piece_ids", out: str = "decoded", model_file: str = MODEL) -> DataFrame:
     """``rows`` with the text of the piece ids in column ``ids`` in a new column ``out``."""
-    surface = rows.sparkSession.sparkContext.broadcast(Vocabulary(model_file).surface)
+    held = rows.sparkSession.sparkContext.broadcast(Surfaces(Vocabulary(model_file).surface))  # of its size
     at = rows.columns.index(ids)
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                yield pa.RecordBatch.from_arrays([*part.columns, decode_lists(part.column(at), surface.value)],
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                yield pa.RecordBatch.from_arrays([*part.columns, held.value.texts(part.column(at))],
                                                  names=[*part.schema.names, out])
     return rows.mapInArrow(run, _with(rows.schema, out, T.StringType()))
 
