@@ -7,12 +7,14 @@ The SQL side is generated from the same constraint lists of
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import functions as F
 
 from stockflow import schema as S
 from stockflow.plans import ledger as L
 from stockflow.plans import quality as Q
+from stockflow import registry
 from stockflow.registry import register
 from stockflow.sources.testdata import OPENING_BUFFER
 
@@ -308,3 +310,64 @@ def del_cascade_rows(t):
 def rekey_cascade_rows(t):
     """All parents' keys moved by an offset: every child row's new foreign key (13 keys)."""
     return Q.rekey_effects(t, REKEY_OFFSET)
+
+
+# ---------------------------------------------------------------------------
+# The same checks over tables that break the rules on purpose, row by row by key
+# ---------------------------------------------------------------------------
+DIRTY_SQL = """
+movimientos_d AS (
+  SELECT * REPLACE (
+    CASE WHEN id_movimiento % 101 = 0 THEN 'Perdida' ELSE tipo_movimiento END AS tipo_movimiento,
+    CASE WHEN id_movimiento % 103 = 0 THEN NULL ELSE id_empleado END AS id_empleado,
+    id_sucursal_origen + CASE WHEN id_movimiento % 107 = 0 THEN 1000 ELSE 0 END AS id_sucursal_origen)
+  FROM movimientos
+  UNION ALL BY NAME SELECT * FROM movimientos WHERE id_movimiento % 109 = 0),
+productos_d AS (
+  SELECT * REPLACE (
+    CASE WHEN id_producto % 13 = 0 THEN 0 ELSE precio_venta_actual END AS precio_venta_actual,
+    CASE WHEN id_producto % 17 = 0 THEN repeat('x', 200) ELSE nombre END AS nombre)
+  FROM productos),
+producto_variante_d AS (
+  SELECT * REPLACE (CASE WHEN id_variante % 211 = 0 THEN '1' ELSE codigo_barras END AS codigo_barras)
+  FROM producto_variante WHERE id_variante % 997 > 0),
+inventario_d AS (
+  SELECT * REPLACE (CASE WHEN id_variante % 97 = 0 THEN -1 ELSE cantidad_disponible END AS cantidad_disponible)
+  FROM inventario)"""
+
+
+def _dirty(t):
+    """The tables of ``t`` with the faults of DIRTY_SQL."""
+    from stockflow.sources.testdata import from_frames
+    frames = {n: t[n] for n in [*S.TABLE_NAMES, "detalle_lineas"]}
+
+    def put(table, col, key, mod, value):
+        frames[table] = frames[table].withColumn(col, F.when(F.col(key) % mod == 0, value).otherwise(F.col(col)))
+    m = frames["movimientos"]
+    put("movimientos", "tipo_movimiento", "id_movimiento", 101, F.lit("Perdida"))
+    put("movimientos", "id_empleado", "id_movimiento", 103, F.lit(None))
+    put("movimientos", "id_sucursal_origen", "id_movimiento", 107, F.col("id_sucursal_origen") + 1000)
+    frames["movimientos"] = frames["movimientos"].unionByName(m.where("id_movimiento % 109 = 0"))
+    put("productos", "precio_venta_actual", "id_producto", 13, F.lit(0).cast(S.MONEY))
+    put("productos", "nombre", "id_producto", 17, F.repeat(F.lit("x"), F.lit(200)))
+    put("producto_variante", "codigo_barras", "id_variante", 211, F.lit("1"))
+    frames["producto_variante"] = frames["producto_variante"].where("id_variante % 997 > 0")
+    put("inventario", "cantidad_disponible", "id_variante", 97, F.lit(-1))
+    return from_frames(frames)
+
+
+def _register_dirty():
+    clean = {"chk_not_null": chk_not_null, "chk_max_length": chk_max_length, "chk_primary_key": chk_primary_key,
+             "chk_unique": chk_unique, "chk_domain_in": chk_domain_in, "chk_numeric": chk_numeric,
+             "chk_foreign_key": chk_foreign_key, "chk_no_negative_stock": chk_no_negative_stock}
+    for key, check in clean.items():
+        body = registry.oracle_body(key)
+        body = re.sub(r"\b(FROM|JOIN) (movimientos|productos|producto_variante|inventario)\b", r"\1 \2_d", body)
+
+        def run(t, check=check):
+            return check(_dirty(t))
+        run.__doc__ = f"{check.__doc__} Over tables with faults."
+        register(f"{key}_dirty", f"WITH {DIRTY_SQL.strip()}\n{body}")(run)
+
+
+_register_dirty()

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockflow.sources.testdata import load_tables, with_mapping
+from stockflow.sources.testdata import MAPPING_SQL, load_tables, with_mapping
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def oracle_body(key: str) -> str:
+    """The SQL of a registered query without the mapping before it."""
+    return _SQL[key].removeprefix(MAPPING_SQL.strip()).lstrip(",\n")
+
+
 def _load_all():
     # Importing the modules registers their queries.
     from stockflow.plans import catalog_queries, ledger_queries, operator_queries, quality_queries, report_queries  # noqa: F401
