@@ -51,6 +51,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as far as ``df`` has columns of these names already."""
+    taken = {c.lower() for c in df.columns}
+    while {n.lower() for n in names} & taken:
+        names = tuple("_" + n for n in names)
+    return list(names)
+
+
 def lower_az(col):
     """A-Z lower-cased and nothing else (``lower`` alone would also change other scripts)."""
     ascii_only = F.length(col) == F.octet_length(col)
@@ -131,6 +139,17 @@ class WordHasher:
                 setattr(self, name, np.cumprod(p))
 
     def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(data) <= 2 * STEP_BYTES or not len(start):
+            return self._hash(data, start, end)
+        out, i = [], 0  # a long text in blocks of words
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + STEP_BYTES, "right")))
+            a = start[i]
+            out.append(self._hash(data[a:end[j - 1]], start[i:j] - a, end[i:j] - a))
+            i = j
+        return np.concatenate(out)
+
+    def _hash(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = len(data)
         self._powers(n + 1)
         sums = np.empty(n + 1, np.uint64)

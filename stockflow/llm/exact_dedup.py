@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import WS_CLASS, stored, table
+from stockflow.llm.common import WS_CLASS, free_names, stored, table
 
 SLOTS = 4
 MAX_KICKS = 500
@@ -188,12 +188,12 @@ def exact_dedup(docs: DataFrame, n_shards: int | None = None) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with all their columns."""
-    marked = docs.withColumn("__digest", digest_col(F.col("text")))
-    index = CuckooIndex(docs.sparkSession).update(
-        inserts=marked.select(F.col("__digest").alias("digest"), "doc_id"))
-    keep = index.keys.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    kept = marked.join(keep, "__digest").filter(F.col("doc_id").eqNullSafe(F.col("__keep")))
-    return kept.dropDuplicates(["__digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    digest, keep_id = free_names(docs, "__digest", "__keep")
+    marked = docs.withColumn(digest, digest_col(F.col("text")))
+    index = CuckooIndex(docs.sparkSession).update(inserts=marked.select(F.col(digest).alias("digest"), "doc_id"))
+    keep = index.keys.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep_id))
+    kept = marked.join(keep, digest).filter(F.col("doc_id").eqNullSafe(F.col(keep_id)))
+    return kept.dropDuplicates([digest]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

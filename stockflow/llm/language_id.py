@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockflow.llm.common import HashArray, table
+from stockflow.llm.common import HashArray, free_names, table
 
 ORDER = 4
 SAMPLE_CHARS = 3_000_000
@@ -283,8 +283,9 @@ def train_documents(docs: DataFrame) -> KneserNey:
 
 def keep_known_languages(docs: DataFrame, model: KneserNey) -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with all their columns."""
-    out = classify(docs, model, prefix="__")
-    return out.filter("not __rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = free_names(docs, *["__" + n for n, _ in _OUT])[0].removesuffix(_OUT[0][0])
+    out = classify(docs, model, prefix=prefix)
+    return out.filter(~F.col(prefix + "rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import (WordHasher, lower_bytes, mix, shingle_hashes, stored, table, text_steps,
+from stockflow.llm.common import (WordHasher, free_names, lower_bytes, mix, shingle_hashes, stored, table, text_steps,
                                   word_bounds, word_spans)
 from stockflow.llm.components import components
 
@@ -200,10 +200,11 @@ def near_classes(docs: DataFrame, words: int = 5, pct: int = 80, k: int = K) ->
 
 def drop_near_copies(docs: DataFrame, words: int = 5, pct: int = 80) -> DataFrame:
     """The rows of ``docs`` that represent their class, with all their columns."""
+    [node] = free_names(docs, "__id")
     kept = near_classes(docs, words, pct).filter("kept and doc_id is not null").select(
-        F.col("doc_id").alias("__id")).distinct()
+        F.col("doc_id").alias(node)).distinct()
     ids = docs.filter(F.col("doc_id").isNotNull()).join(
-        kept, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+        kept, F.col("doc_id").cast("long") == F.col(node), "left_semi")
     return ids.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 

@@ -8,7 +8,8 @@ import re
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names the operators use themselves.
-CLASHING = ("digest", "row", "node", "chunk", "keep_id", "score", "n", "label", "kind", "path", "v")
+CLASHING = ("digest", "row", "node", "chunk", "keep_id", "score", "n", "label", "kind", "path", "v", "__id", "__digest",
+            "__score")
 
 
 def words(text) -> list[str]:
