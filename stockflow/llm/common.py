@@ -17,7 +17,9 @@ from stockflow.session import ensure_checkpoint_dir
 WS_CLASS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+#: Rows of a batch that are copied at once.
+ROWS = 512
 
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
@@ -68,23 +70,23 @@ def lower_az(col):
 
 # -- numpy side (inside tasks) ------------------------------------------------
 
-def text_steps(column, limit: int = STEP_BYTES):
+def text_steps(column, limit: int | None = None):
     """Yield (first row, end row, bytes, offsets) over a string column, nulls as
     empty texts; a step has about ``limit`` bytes, or one longer text."""
+    limit = STEP_BYTES if limit is None else limit
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    n = len(column)
-    if not n:
-        return
-    buffers = column.buffers()
-    off = np.frombuffer(buffers[1], np.int64)[column.offset: column.offset + n + 1]
-    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)
-    i = 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-        yield i, j, data[off[i]:off[j]], off[i:j + 1] - off[i]
-        i = j
+    for top in range(0, len(column), ROWS):
+        part = pc.fill_null(column.slice(top, ROWS).cast(pa.large_string()), "")
+        n = len(part)
+        buffers = part.buffers()
+        off = np.frombuffer(buffers[1], np.int64)[part.offset: part.offset + n + 1]
+        data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)
+        i = 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+            yield top + i, top + j, data[off[i]:off[j]], off[i:j + 1] - off[i]
+            i = j
 
 
 def word_spans(data: np.ndarray, off: np.ndarray):
@@ -174,7 +176,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, n: int):
     width = np.repeat(np.minimum(count, n), count)  # words of the shingle at each place
     for k in range(1, n):
         nxt = np.zeros(total, np.uint64)
-        nxt[:total - k] = words[k:]
+        nxt[:max(0, total - k)] = words[k:]
         more = mix(h * np.uint64(0xD6E8FEB86659FD93) + nxt + np.uint64(k))
         h = np.where(width > k, more, mix(h + np.uint64(k)))
     place = np.arange(total) - np.repeat(bounds[:-1], count)

@@ -178,9 +178,13 @@ class Items:
                 lo = first[here] + a                                         # and its shingles
                 hi = first[here] + np.maximum(b - SHINGLE, 0) + 1
                 hi = np.minimum(hi, first[here + 1])
+                lo = np.minimum(lo, hi)
+                short = b - a < SHINGLE  # a window of fewer words is one shingle of its own
                 # a similarity of THRESHOLD needs that share of the window's shingles in the item
-                for k in np.flatnonzero((marks[hi] - marks[lo] >= THRESHOLD * (hi - lo)) & (hi > lo)).tolist():
-                    s = self._similarity(int(item[k]), shingles[lo[k]:hi[k]])
+                for k in np.flatnonzero(short | ((marks[hi] - marks[lo] >= THRESHOLD * (hi - lo)) & (hi > lo))).tolist():
+                    own = words[bounds[here[k]] + a[k]:bounds[here[k]] + b[k]]
+                    s = self._similarity(int(item[k]), shingle_hashes(own, np.array([0, len(own)]), SHINGLE)[0]
+                                         if short[k] else shingles[lo[k]:hi[k]])
                     if s >= THRESHOLD:
                         got = (s, -int(a[k]), int(b[k] - a[k]), -int(d[k]))
                         key = int(here[k]), int(item[k])

@@ -152,6 +152,8 @@ def test_encode_and_decode(spark, library):
         elif len(r["text"]) < 5000:
             assert r["piece_ids"] == library.encode(r["text"])
     assert PC.encode_and_decode(plain(empty(spark))).count() == 0
+    apart = PC.decode(PC.encode(plain(frame(spark, rows)))).collect()
+    assert all(r["decoded"] == r["text"] for r in apart) and len(apart) == len(rows)
     with pytest.raises(ValueError):
         PC.encode(plain(frame(spark, rows)).selectExpr("*", "1 AS piece_ids"))
 
