@@ -87,7 +87,7 @@ def llr_model(random: DataFrame, ordinary: DataFrame) -> DataFrame:
     """(a, b, llr) from labelled samples of distinct tokens (token); no rows if either sample is empty."""
     both = _pairs(random).select("a", "b", F.lit(1).alias("r")).unionByName(
         _pairs(ordinary).select("a", "b", F.lit(0).alias("r")))
-    pairs = both.groupBy("a", "b").agg(F.sum("r").alias("n_r"), F.sum(1 - F.col("r")).alias("n_o"))
+    pairs = stored(both.groupBy("a", "b").agg(F.sum("r").alias("n_r"), F.sum(1 - F.col("r")).alias("n_o")), "pairs")
     total = pairs.groupBy("a").agg(F.sum("n_r").alias("t_r"), F.sum("n_o").alias("t_o"))
     some = pairs.agg((F.least(F.sum("n_r"), F.sum("n_o")) > 0).alias("trained"))
 
@@ -115,8 +115,10 @@ def scan(docs: DataFrame, random: DataFrame | None = None, ordinary: DataFrame |
         random = base.select(_in_run(F.col("value")).alias("token")).distinct()
     if ordinary is None:
         runs = texts.select(F.explode(F.regexp_extract_all(
-            "text", F.lit(RUN + "{%d,}" % LEAST_ORDINARY), F.lit(0))).alias("token")).distinct()
-        ordinary = runs.join(random, "token", "left_anti")
+            "text", F.lit(RUN + "{%d,}" % LEAST_ORDINARY), F.lit(0))).alias("token"))
+        # one sum over both instead of an anti join, which would run on every occurrence of a run
+        ordinary = (runs.withColumn("r", F.lit(0)).unionByName(random.withColumn("r", F.lit(1)))
+                    .groupBy("token").agg(F.max("r").alias("r")).filter("r = 0").select("token"))
     model = stored(llr_model(random, ordinary), "model")
     runs = matches.filter("kind = 'model'")
     secret = (_pairs(runs.select(F.col("value").alias("token")).distinct()).join(F.broadcast(model), ["a", "b"])
