@@ -1,17 +1,24 @@
 """Operator 3, benchmark decontamination by SimHash windows.
 
 Words are runs of other characters than white space and ASCII punctuation, A-Z
-lower-cased. An item's size class is the largest of ``CLASSES`` (powers of two and
-their one and a halves) not over its number of words. The SimHash of every window
-of a class's size in every document comes from sliding sums of the words' hash
-bits, doubled from size to size. Each item has the SimHash of its first and of its
-last window of that size, so a passage copied whole has windows at distance 0 and
-one edit leaves one of the two whole in most places.
+lower-cased. An item's size class is the largest power of two, or one and a half
+of one, not over its number of words, without an upper end. The SimHash of every
+window of a class's size in every document comes from sliding sums of the words'
+hash bits, doubled from size to size; a document of fewer words than the class is
+one window. Each item has the SimHash of its first and of its last window of that
+size, and of shorter anchor windows between: a window of the document at
+``THRESHOLD`` or more leaves some ``_run`` of the item's words as they are, however
+its edits (runs of words changed, put in or left out) lie, and the anchors stand so
+close that one lies whole in any such run. So each such copy has an anchor at
+distance 0; anchors are looked up within ``NEAR`` bits, class windows within
+``RADIUS``.
 
 Multi-index look-up: 64 bits are four blocks of 16; fingerprints at a distance of
 up to ``RADIUS`` agree in some block up to RADIUS // 4 bits, and the index lists
 the items under every value within that of theirs, so it gives every pair within
-the radius. A pair places an item-sized window in the document, and the weighted
+the radius. Long windows of one language come near each other by its common words;
+those over ``LONG`` words are looked up only where enough of their shingles are in
+the benchmark for any item of the class to reach the threshold. A pair places an item-sized window in the document, and the weighted
 Jaccard similarity of 5-word shingles (weight: times that each occurs) of that
 window and the item must be ``THRESHOLD`` or more.
 
@@ -43,7 +50,47 @@ THRESHOLD = 0.8
 RADIUS = 10
 BLOCK_CHARS = 4 << 20
 STEP = 1 << 17
-CLASSES = sorted([1 << k for k in range(8)] + [3 << k for k in range(6)])
+NEAR = 3
+LONG = 128
+#: Windows whose sums are held at once, and pairs that are compared at once.
+WINDOWS = 1 << 16
+PAIRS = 1 << 20
+
+
+def _class(n: int) -> int:
+    """The size class of n words: the largest power of two, or one and a half of one, up to n."""
+    top = 1 << (n.bit_length() - 1)
+    return top + top // 2 if top > 1 and n >= top + top // 2 else top
+
+
+def _classes(most: int):
+    """All size classes up to ``most``, ascending."""
+    size = 1
+    while size <= most:
+        yield size
+        size += size if size == 1 else size // 2 if size & (size - 1) == 0 else size // 3
+
+
+def _run(n: int) -> int:
+    """Words of an item of n that stand together unchanged in any window at THRESHOLD or more.
+
+    Of its N shingles such a window lacks N / 9 at most, if it has as many, and
+    N / 5 if it is shorter; an edit inside the item costs SHINGLE - 1 or more.
+    """
+    shingles = n - SHINGLE + 1
+    edits = shingles // 9 // (SHINGLE - 1)
+    kept = shingles - min(shingles // 5, shingles // 9 + SHINGLE - 1)
+    return -(-kept // (edits + 1)) + SHINGLE - 1
+
+
+def anchors(n: int) -> tuple[int, list[int]]:
+    """Size and offsets of an item's anchor windows: one lies whole in every run of ``_run(n)`` words."""
+    if n < 2 * SHINGLE - 1:  # a copy at the threshold has all of its shingles
+        return _class(n), []
+    run = _run(n)
+    size = _class(max(1, (run + 1) * 3 // 4))
+    steps = -(-(n - size) // (run - size + 1))
+    return size, sorted({(n - size) * k // steps for k in range(steps + 1)}) if steps else [0]
 
 
 def _plain() -> np.ndarray:
@@ -63,29 +110,50 @@ def _words(data: np.ndarray, off: np.ndarray, plain: np.ndarray, hasher: WordHas
 
 def fingerprints(words: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
     """SimHashes of all windows of each size: size -> one for each start."""
+    parts: dict[int, list] = {}
+    sizes = {s for s in sizes if s <= len(words)}
+    most = max(sizes, default=0)
+    step = max(WINDOWS, 2 * most)
+    for top in range(0, len(words) if sizes else 0, step):
+        for size, got in _fingerprints(words[top:top + step + most - 1], sizes).items():
+            parts.setdefault(size, []).append(got[:step])
+    return {size: np.concatenate(x) for size, x in parts.items()}
+
+
+def _fingerprints(words: np.ndarray, sizes: set[int]) -> dict[int, np.ndarray]:
     sums = {1: np.unpackbits(words.view(np.uint8)).reshape(len(words), 64)}
     out = {}
-    for size in CLASSES:
-        if size > max(sizes, default=0) or size > len(words):
-            break
+    for size in _classes(min(max(sizes), len(words))):
         if size > 1:
             half = 1 << ((size - 1).bit_length() - 1)  # the sum of two sizes that are there
             a, b = sums[half], sums[size - half]
             n = len(words) - size + 1
-            sums[size] = a[:n] + b[half:half + n]
+            kind = np.uint8 if size < 256 else np.uint16 if size < 1 << 16 else np.uint32
+            sums[size] = np.add(a[:n], b[half:half + n], dtype=kind)
+            for old in [x for x in sums if 4 * x < size]:
+                del sums[old]
         if size in sizes:
             bits = sums[size] * np.uint8(2) > size if size < 128 else sums[size] > size // 2
             out[size] = np.packbits(bits, axis=1).view(np.uint64)[:, 0]
     return out
 
 
+def whole_print(words: np.ndarray) -> np.uint64:
+    """The SimHash of all words as one window."""
+    total = np.zeros(64, np.int64)
+    for top in range(0, len(words), WINDOWS):
+        part = words[top:top + WINDOWS]
+        total += np.unpackbits(part.view(np.uint8)).reshape(len(part), 64).sum(0, dtype=np.int64)
+    return np.packbits(total * 2 > len(words)).view(np.uint64)[0]
+
+
 class BlockIndex:
-    """Fingerprints by the value of each 16-bit block, under all values within RADIUS // 4 bits."""
+    """Fingerprints by the value of each 16-bit block, under all values within radius // 4 bits."""
 
-    def __init__(self, prints: np.ndarray):
-        self.prints = prints
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS):
+        self.prints, self.radius = prints, radius
         flips = [0]
-        for k in range(1, RADIUS // 4 + 1):
+        for k in range(1, radius // 4 + 1):
             flips += [sum(1 << b for b in bits) for bits in combinations(range(16), k)]
         flips = np.array(flips, np.uint16)
         self.first, self.items, self.some = [], [], []
@@ -97,48 +165,54 @@ class BlockIndex:
             self.some.append(np.diff(self.first[-1]) > 0)
 
     def pairs(self, windows: np.ndarray):
-        """(window, print, distance) of all pairs within RADIUS, once each."""
-        found = []
+        """(window, print, distance) of all pairs within the radius, once each."""
+        found = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint8))]
         blocks = windows.view(np.uint16).reshape(-1, 4)
         for b in range(4):
             some = np.flatnonzero(self.some[b][blocks[:, b]])
             v = blocks[some, b].astype(np.int64)
-            lo = self.first[b][v]
-            n = self.first[b][v + 1] - lo
-            total = int(n.sum())
-            w = np.repeat(some, n)
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total) if total else lo[:0]
-            i = self.items[b][at]
-            d = np.bitwise_count(windows[w] ^ self.prints[i])
-            near = d <= RADIUS
-            found.append((w[near], i[near], d[near]))
+            first = self.first[b][v].astype(np.int64)
+            count = self.first[b][v + 1] - first
+            ends = np.cumsum(count)
+            i = 0
+            while i < len(some):  # about PAIRS at once, or one window's
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+                lo, n = first[i:j], count[i:j]
+                w = np.repeat(some[i:j], n)
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(w))
+                p = self.items[b][at]
+                d = np.bitwise_count(windows[w] ^ self.prints[p])
+                near = d <= self.radius
+                found.append((w[near], p[near], d[near]))
+                i = j
         w, i, d = (np.concatenate(x) for x in zip(*found))
         once = np.unique(w * len(self.prints) + i, return_index=True)[1]
         return w[once], i[once], d[once]
 
 
 class Items:
-    """A block of benchmark items: their shingles, and an index for each size class."""
+    """A block of benchmark items: their shingles, and an index of class windows and one of anchors for each size."""
 
     def __init__(self, ids: list, texts: list):
         plain, hasher = _plain(), WordHasher()
         self.ids, self.n, self.shingles = [], [], []
-        prints: dict[int, list] = {}
+        prints: dict[tuple, list] = {}
         for item, (_, _, data, off) in zip(ids, text_steps(pa.array(texts, pa.string()), 0)):
             words, _ = _words(data, off, plain, hasher)
             n = len(words)
             if not n:
                 continue
-            size = max(c for c in CLASSES if c <= n)
-            got = fingerprints(words, [size])[size]
+            size, (anchor, between) = _class(n), anchors(n)
+            got = fingerprints(words, [size, anchor])
             me = len(self.ids)
-            for offset in sorted({0, n - size}):
-                prints.setdefault(size, []).append((got[offset], me, offset))
+            for s, radius, offsets in ((size, RADIUS, sorted({0, n - size})), (anchor, NEAR, between)):
+                for offset in offsets:
+                    prints.setdefault((s, radius), []).append((got[s][offset], me, offset))
             self.ids.append(item)
             self.n.append(n)
             self.shingles.append(np.unique(shingle_hashes(words, np.array([0, n]), SHINGLE)[0], return_counts=True))
-        self.index = {s: (BlockIndex(np.array([p for p, _, _ in x], np.uint64)), np.array([i for _, i, _ in x]),
-                          np.array([o for _, _, o in x])) for s, x in prints.items()}
+        self.index = {k: (BlockIndex(np.array([p for p, _, _ in x], np.uint64), k[1]), np.array([i for _, i, _ in x]),
+                          np.array([o for _, _, o in x])) for k, x in prints.items()}
         self.n = np.array(self.n, np.int64)
         #: Marks of all items' shingles by their last bits, to pass by windows that hold too few.
         total = sum(len(x) for x, _ in self.shingles)
@@ -153,6 +227,28 @@ class Items:
         shared = int(np.minimum(n_a[i], n_b[j]).sum())
         return shared / max(1, int(n_a.sum() + n_b.sum()) - shared)
 
+    @staticmethod
+    def _windows(size, radius, prints, words, doc, bounds, shingled):
+        """Starts and SimHashes of the windows to look up: those of ``size`` that lie in one
+        document and, for class windows, the documents that are shorter but not too short."""
+        at, asked = np.empty(0, np.int64), np.empty(0, np.uint64)
+        if prints is not None:
+            at = np.flatnonzero(doc[:len(prints)] == doc[size - 1:size - 1 + len(prints)])
+            if radius == RADIUS and size > LONG:
+                _, first, marks = shingled()
+                lo = first[doc[at]] + at - bounds[doc[at]]
+                # the longest item of the class, so the most shingles that a window may lack
+                lack = (size + size // 2 - SHINGLE) // 9 + 1
+                at = at[marks[lo + size - SHINGLE + 1] - marks[lo] >= size - SHINGLE + 1 - lack]
+            asked = prints[at]
+        if radius == RADIUS:
+            n = np.diff(bounds)
+            short = np.flatnonzero((n < size) & (n >= SHINGLE) & (n - SHINGLE + 1 >= THRESHOLD * (size - SHINGLE + 1)))
+            if len(short):
+                at = np.concatenate([at, bounds[short]])
+                asked = np.concatenate([asked, np.array([whole_print(words[bounds[r]:bounds[r + 1]]) for r in short], np.uint64)])
+        return at, asked
+
     def find(self, column):
         """(row, item number, similarity, start word, number of words, distance) for a string column."""
         plain, hasher = _plain(), WordHasher()
@@ -161,17 +257,24 @@ class Items:
             words, doc = _words(data, off, plain, hasher)
             bounds = word_bounds(doc, len(off) - 1)
             best: dict[tuple, tuple] = {}
-            shingles = None
-            for size, prints in fingerprints(words, list(self.index)).items():
-                index, owner, offset = self.index[size]
-                whole = np.flatnonzero(doc[:len(prints)] == doc[size - 1:size - 1 + len(prints)])
-                w, i, d = index.pairs(prints[whole])
-                if not len(w):
-                    continue
-                if shingles is None:
+            seen = None
+
+            def shingled():
+                nonlocal seen
+                if seen is None:
                     shingles, first = shingle_hashes(words, bounds, SHINGLE)
                     marks = np.concatenate([[0], np.cumsum(self.known[shingles & (len(self.known) - 1)])])
-                at, item = whole[w], owner[i]
+                    seen = shingles, first, marks
+                return seen
+            prints = fingerprints(words, sorted({s for s, _ in self.index}))
+            for size, radius in sorted(self.index):
+                index, owner, offset = self.index[size, radius]
+                at, asked = self._windows(size, radius, prints.get(size), words, doc, bounds, shingled)
+                w, i, d = index.pairs(asked)
+                if not len(w):
+                    continue
+                shingles, first, marks = shingled()
+                at, item = at[w], owner[i]
                 here = doc[at]
                 a = np.maximum(bounds[here], at - offset[i]) - bounds[here]  # words of the document
                 b = np.minimum(bounds[here + 1] - bounds[here], a + self.n[item])
@@ -181,7 +284,13 @@ class Items:
                 lo = np.minimum(lo, hi)
                 short = b - a < SHINGLE  # a window of fewer words is one shingle of its own
                 # a similarity of THRESHOLD needs that share of the window's shingles in the item
-                for k in np.flatnonzero(short | ((marks[hi] - marks[lo] >= THRESHOLD * (hi - lo)) & (hi > lo))).tolist():
+                some = np.flatnonzero(short | ((marks[hi] - marks[lo] >= THRESHOLD * (hi - lo)) & (hi > lo)))
+                some = some[np.lexsort((d[some], a[some], item[some], here[some]))]
+                done = None
+                for k in some.tolist():
+                    if done == (here[k], item[k], a[k]):  # the same place by another window
+                        continue
+                    done = here[k], item[k], a[k]
                     own = words[bounds[here[k]] + a[k]:bounds[here[k]] + b[k]]
                     s = self._similarity(int(item[k]), shingle_hashes(own, np.array([0, len(own)]), SHINGLE)[0]
                                          if short[k] else shingles[lo[k]:hi[k]])
