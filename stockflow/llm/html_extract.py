@@ -6,7 +6,15 @@ best ``BALLOT`` containers vote with their share of the page's score on their
 generalised tag-class path (classes in order without digits, or the id). Spark
 sums the votes of each host; the ``WINNERS`` paths of most votes win. Second
 pass: each page is extracted again with the first winning path of its host that
-has text in it, or, where none has, with its own best container.
+gives a fair share (``FAIR``) of the text that its own best container gives, or,
+where none does, with its own best container.
+
+The container of a path is widened before: to its nearest article or main (from
+an article on to a main around it that holds no other article), or else to all
+containers around it below html, without children whose text is for the greater
+part links and, directly below body, without boxes of less than ``SIDE`` of the
+text that the path itself holds; headings, paragraphs, lists, quotes, figures and
+tables stay there.
 
 The text of a container is that of its blocks in page order, without menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
@@ -37,6 +45,8 @@ from stockflow.llm.common import stored, table
 
 BALLOT = 3
 WINNERS = 5
+FAIR = 0.5
+SIDE = 0.1
 SCALE = 1_000_000  # votes are whole numbers, so their sums don't depend on the order
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)"""
@@ -62,6 +72,8 @@ _MARKS = frozenset(
     "footer comment comments respond replies disqus discussion share sharing social related recommended newsletter subscribe "
     "signup login pagination pager toolbar copyright complementary contentinfo search".split())
 _NEVER = frozenset("html body article main".split())
+#: Children of body that are text of the page at any length.
+_PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header pre blockquote ul ol dl figure figcaption table".split())
 #: Layout classes such as with-sidebar: beside these words the marks of _LAYOUT mean nothing.
 _AROUND = frozenset("with has no without content main page layout wrapper container".split())
 _LAYOUT = frozenset("ad ads banner menu nav navbar sidebar toolbar header".split())
@@ -222,13 +234,77 @@ class Page:
         best = sorted(by.items(), key=lambda x: (-x[1], x[0]))[:BALLOT]
         return [(p, int(SCALE * s / total)) for p, s in best if s > 0]
 
+    def _frame(self, element: int) -> int | None:
+        """The article or main that a container belongs to, or None."""
+        chain = self.chain(element) or []
+        found = next((e for e in chain if self.tags[e] in ("article", "main")), None)
+        if found is None or self.tags[found] == "main":
+            return found
+        around = next((e for e in chain if self.tags[e] == "main"), None)
+        if around is not None and chain.index(around) > chain.index(found) and not any(
+                t == "article" and e not in chain and found not in self._up(e) and around in (self.chain(e) or ())
+                for e, t in enumerate(self.tags)):
+            return around
+        return found
+
+    def _up(self, element: int):
+        while element > 0:
+            yield element
+            element = self.parents[element]
+
     def text(self, path: str) -> str:
-        """The text in the containers of ``path``."""
+        """The text in the containers of ``path``, widened."""
+        core, around, known = set(), set(), {}
+        for e in range(1, len(self.tags)):
+            if self.paths[e] == path:
+                up = e if self.tags[e] in ("article", "main") else self.parents[e]
+                if up not in known:  # the same for all children of one container
+                    known[up] = self._frame(e)
+                frame = known[up]
+                core.add(e if frame is None else frame)
+                if frame is None:
+                    around.update(x for x in (self.chain(e) or [])[1:] if self.tags[x] != "html")
+        around -= core
+        skipped = self._beside(core, around) if around else set()
         inside = [False] * len(self.tags)
         for e in range(1, len(self.tags)):
-            inside[e] = self.paths[e] == path or (inside[self.parents[e]] and not self.out[e])
+            inside[e] = e in core or e in around or (inside[self.parents[e]] and not self.out[e] and e not in skipped)
         return " ".join(t for t, e, _ in self.blocks if inside[e])
 
+    def _beside(self, core: set[int], around: set[int]) -> set[int]:
+        """Children of the containers around the core that aren't text of the page."""
+        held, beside = 0, {}
+        for text, e, links in self.blocks:
+            child = None
+            while e > 0 and e not in core and e not in around and not self.out[e]:
+                child, e = e, self.parents[e]
+            if e in core:
+                held += len(text)
+            elif e in around and child is not None:
+                length, linked = beside.get(child, (0, 0))
+                beside[child] = length + len(text), linked + links
+        return {c for c, (length, linked) in beside.items()
+                if 2 * linked > length or (self.tags[self.parents[c]] == "body" and self.tags[c] not in _PLAIN
+                                           and length < SIDE * held)}
+
+    def best(self, paths) -> tuple[str, str | None]:
+        """Text and path: of the first of ``paths`` with a fair share of what the page's own best gives, or of that."""
+        own = None
+        for path in paths:
+            if not (text := self.text(path)):
+                continue
+            if own is None:
+                if len(text) >= FAIR * sum(len(t) + 1 for t, e, _ in self.blocks if self.chain(e)):
+                    return text, path  # no container gives more than all
+                won = self.ballot()
+                own = (self.text(won[0][0]), won[0][0]) if won else ("", None)
+            if len(text) >= FAIR * len(own[0]):
+                return text, path
+        if own is None:
+            won = self.ballot()
+            own = (self.text(won[0][0]), won[0][0]) if won else ("", None)
+        return own
+
 
 def host(url):
     found = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
@@ -266,15 +342,7 @@ def extract(pages: DataFrame, paths: DataFrame | None = None) -> DataFrame:
         for batch in batches:
             texts, used = [], []
             for source, paths in zip(batch.column(2), batch.column(3)):
-                page = Page(source.as_py() or "")
-                text, path = "", None
-                for path in (paths.as_py() or []):
-                    if text := page.text(path):
-                        break
-                else:
-                    own = page.ballot()
-                    path = own[0][0] if own else None
-                    text = page.text(path) if own else ""
+                text, path = Page(source.as_py() or "").best(paths.as_py() or [])
                 texts.append(text)
                 used.append(path)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
