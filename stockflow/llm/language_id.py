@@ -11,7 +11,8 @@ lowest cross-entropy in bits per character.
 
 Rejection is calibrated on a part of the sample that isn't counted: the excess
 of a text's cross-entropy over its language's mean, times the root of its length
-(up to ``LENGTH_CAP``), may be ``SLACK`` times the largest excess seen there, which
+(up to ``LENGTH_CAP``), may be ``SLACK`` times the ``HIGH`` quantile of the excesses
+seen there, so that single mislabelled or mixed rows don't set the limit. The quantile
 counts as ``LEAST_EXCESS`` bits of a long text at least, as a small sample sees few odd texts.
 
 The sample is bounded: whole documents by hash of their text, about
@@ -39,6 +40,7 @@ ORDER = 4
 SAMPLE_CHARS = 3_000_000
 CALIBRATION = 10      # one in so many sampled documents calibrates
 SLACK = 2.0
+HIGH = 0.99
 LENGTH_CAP = 400
 LEAST_EXCESS = 0.5
 STEP_CHARS = 1 << 20
@@ -164,7 +166,7 @@ class KneserNey:
         return -total / np.maximum(n, 1)[:, None], n, letters
 
     def calibrate(self, texts: list, langs: list, is_letter: np.ndarray):
-        """Mean cross-entropy of each language and the largest excess, from texts that weren't counted."""
+        """Mean cross-entropy of each language and a high excess, from texts that weren't counted."""
         ce, n, letters = self.entropies(texts, is_letter)
         own = np.array([self.langs.index(x) for x in langs], np.int64)
         ok = letters > 0
@@ -173,7 +175,8 @@ class KneserNey:
             mine = ok & (own == i)
             if mine.any():
                 self.mean[i] = np.average(ce[mine, i], weights=n[mine])
-                self.most[i] = max(LEAST_EXCESS * LENGTH_CAP ** 0.5, ((ce[mine, i] - self.mean[i]) * np.sqrt(np.minimum(n[mine], LENGTH_CAP))).max())
+                excess = (ce[mine, i] - self.mean[i]) * np.sqrt(np.minimum(n[mine], LENGTH_CAP))
+                self.most[i] = max(LEAST_EXCESS * LENGTH_CAP ** 0.5, np.quantile(excess, HIGH, method="lower"))
 
     def predict(self, texts: list, is_letter: np.ndarray):
         """Lists of language, score, cross-entropy and rejection."""
