@@ -15,14 +15,16 @@ of a text's cross-entropy over its language's mean, times the root of its length
 seen there, so that single mislabelled or mixed rows don't set the limit. The quantile
 counts as ``LEAST_EXCESS`` bits of a long text at least, as a small sample sees few odd texts.
 
-The sample is bounded: whole documents by hash of their text, about
-``SAMPLE_CHARS`` characters a language in expectation, so the model that goes to
-the executors is bounded too. All documents are scored over their whole texts.
+The sample is bounded: of the distinct texts of a language whole ones by hash, about
+``SAMPLE_CHARS`` characters in expectation, so the model that goes to the executors
+is bounded too. The texts that calibrate come to the driver: of each their first
+``SAMPLE_CHARS / CALIBRATION`` characters, and twice that in all for a language at most. All
+documents are scored over their whole texts.
 
 Defined cases: null text, or text without a letter, gives ``und`` with score 0
 and is rejected; with no labelled document every text is ``und`` with score 0
 and texts with letters aren't rejected; equal cross-entropies go to the first
-language by name; a text that a language's sample repeats counts each time;
+language by name; a text that a language's rows repeat counts once;
 extra columns are kept by ``classify``; empty tables give no rows.
 """
 
@@ -207,15 +209,33 @@ def _batches(column, limit: int = STEP_CHARS):
         yield out
 
 
+def calibrating(sample: DataFrame, room: int) -> DataFrame:
+    """(text, lang) of the rows of ``sample`` (text, lang, place, cal) that calibrate: the first
+    ``room`` characters of each, by place, and at most twice ``room`` of a language in all."""
+    room = max(1, room)
+    cal = sample.filter("cal").select(F.substring("text", 1, room).alias("text"), "lang", "place")
+    sizes = cal.select("lang", "place", F.length("text").alias("n")).collect()
+    held, end = {}, {}  # characters of each language, and the first place that is over
+    for lang, place, n in sorted((r["lang"], r["place"], r["n"]) for r in sizes):
+        held[lang] = held.get(lang, 0) + n
+        if held[lang] > 2 * room:
+            end.setdefault(lang, place)
+    if end:
+        limit = F.create_map(*[F.lit(x) for pair in end.items() for x in pair])
+        cal = cal.filter(F.col("place") < F.coalesce(limit[F.col("lang")], F.lit(2.0)))
+    return cal.select("text", "lang")
+
+
 def train(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> KneserNey:
     """A model from rows (text, lang); rows with null text or lang are left out."""
     rows = labelled.filter("text is not null and lang is not null").select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    kinds = rows.select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("n")).distinct()
+    sizes = {r["lang"]: r["n"] for r in kinds.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not sizes:
         return KneserNey({})
     share = F.create_map(*[F.lit(y) for k, n in sizes.items() for y in (k, min(1.0, sample_chars / max(1, n)))])
     place = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(place < share[F.col("lang")]).withColumn(
+    sample = rows.filter(place < share[F.col("lang")]).distinct().withColumn("place", place).withColumn(
         "cal", F.pmod(F.xxhash64("text", F.lit("calibrate")), F.lit(CALIBRATION)) == 0)
 
     def count(batches):
@@ -246,7 +266,7 @@ def train(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> KneserNey:
             counts[x] = (key[mine][order], n[mine][order])
     model = KneserNey(counts)
     if model.langs:
-        cal = [r for r in sample.filter("cal").select("text", "lang").toArrow().to_pylist() if r["lang"] in counts]
+        cal = [r for r in calibrating(sample, sample_chars // CALIBRATION).toArrow().to_pylist() if r["lang"] in counts]
         model.calibrate([r["text"] for r in cal] or [""], [r["lang"] for r in cal] or [model.langs[0]], letters_table())
     return model
 

@@ -27,3 +27,17 @@ def test_one_odd_row_does_not_set_the_limit(spark):
     mixed = ["".join(rng.choice("abcdeklmnopq ") for _ in range(500)) for _ in range(5)]
     assert all(model.predict(mixed, is_letter)[3])
     assert sum(model.predict(texts, is_letter)[3]) == 0
+
+
+def test_copies_count_once_and_the_collected_part_is_bounded(spark):
+    rng = random.Random(5)
+    rows = [(_text(rng, "abcde"), "a") for _ in range(60)] + [(_text(rng, "vwxyz"), "b") for _ in range(60)]
+    hot = [(_text(rng, "fghij"), "a"), (_text(rng, "abfgh"), "a")]
+    once = LI.train(spark.createDataFrame(rows + hot, "text string, lang string"))
+    many = LI.train(spark.createDataFrame(rows + hot * 50, "text string, lang string"))
+    assert np.array_equal(once.mean, many.mean) and np.array_equal(once.most, many.most)
+    assert all(np.array_equal(a, b) for a, b in zip(once.logp, many.logp))
+    sample = spark.createDataFrame([("x" * n, "a", k / 100, k % 2 == 0) for k, n in enumerate((900, 50, 40, 60, 30, 80, 40))]
+                                   + [("y" * 99, "b", 0.5, True)], "text string, lang string, place double, cal boolean")
+    got = [(r["lang"], len(r["text"])) for r in LI.calibrating(sample, 100).collect()]
+    assert sorted(got) == [("a", 30), ("a", 40), ("a", 100), ("b", 99)]
