@@ -56,16 +56,22 @@ def _sets(column, words: int, hasher: WordHasher):
             yield np.unique(hashes[at[i]:at[i + 1]])
 
 
+def _digests(s: np.ndarray) -> tuple[int, int]:
+    """d1 and d2: with the number of values they tell a set from others."""
+    m = mix(s.view(np.uint64))
+    return (int(m.sum(dtype=np.uint64).view(np.int64)),
+            int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if len(s) else 0)
+
+
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
             n, d1, d2, sketch = [], [], [], []
             for s in _sets(batch.column(1), words, hasher):
-                m = mix(s.view(np.uint64))
                 n.append(len(s))
-                d1.append(int(m.sum(dtype=np.uint64).view(np.int64)))
-                d2.append(int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if len(s) else 0)
+                for out, d in zip((d1, d2), _digests(s)):
+                    out.append(d)
                 sketch.append(s[:k].copy())
             off = np.concatenate([[0], np.cumsum([len(s) for s in sketch])]).astype(np.int32)
             flat = np.concatenate(sketch) if sketch else np.empty(0, np.int64)
@@ -99,11 +105,11 @@ def _estimate_passes(a, b, n_a, n_b, k: int, pct: int):
 
 def rare_lists(nodes: DataFrame, k: int | None, pct: int) -> DataFrame:
     """(v, node, n, s, held, ahead) at the places of the inverted lists that make candidates,
-    from rows (node, n, sketch); s: values of the sketch, held: those that other nodes have
+    from rows (node, d1, n, sketch), a node's sets each on its own; s: values of the sketch, held: those that other nodes have
     too, ahead: those of them from v on in the order."""
-    places = nodes.select("node", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    places = nodes.select("node", "d1", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = places.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    rare = (places.join(often, "v").groupBy("node", "n", "s")
+    rare = (places.join(often, "v").groupBy("node", "d1", "n", "s")
             .agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
             # values that no other node has come first in the order
             .withColumn("take", F.size("vs") - _shared_needed(F.col("s"), k, pct) + 1)
@@ -114,9 +120,10 @@ def rare_lists(nodes: DataFrame, k: int | None, pct: int) -> DataFrame:
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, n, sketch): the full set of each node of ``nodes`` (node), from its text."""
+    """(node, d1, d2, n, sketch): the full set of each row of ``nodes`` (node, d1, d2, n), from its text."""
+    key = ["node", "d1", "d2", "n"]
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(
-        nodes.select("node"), "node", "left_semi")
+        nodes.select("node").distinct(), "node", "left_semi")
 
     def run(batches):
         hasher = WordHasher()
@@ -125,11 +132,14 @@ def full_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(i, 500)
                 sets = list(_sets(part.column(1), words, hasher))
                 off = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                digests = [_digests(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()),
+                    [part.column(0), *[pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)],
+                     pa.array([len(x) for x in sets], pa.int64()),
                      pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets), pa.int64()))],
-                    names=["node", "n", "sketch"])
-    return texts.mapInArrow(run, "node long, n long, sketch array<long>").dropDuplicates(["node"])
+                    names=[*key, "sketch"])
+    sets = texts.mapInArrow(run, "node long, d1 long, d2 long, n long, sketch array<long>")
+    return sets.join(nodes.select(*key), key, "left_semi").dropDuplicates(key)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, words: int, pct: int) -> DataFrame:
@@ -178,7 +188,8 @@ def near_classes(docs: DataFrame, words: int = 5, pct: int = 80, k: int = K) ->
     several = named.groupBy("v").agg((F.min("c") < F.max("c")).alias("several")).filter("several")
     left = named.join(several, "v", "left_semi").select("node", "c").distinct()
     left = stored(left, "left")
-    exact = rare_lists(full_sets(left, docs, words), None, pct).join(left, "node").select("v", "node", "n", "ahead", "c")
+    full = full_sets(nodes.select("node", "d1", "d2", "n").join(left, "node", "left_semi"), docs, words)
+    exact = rare_lists(full, None, pct).join(left, "node").select("v", "node", "n", "ahead", "c")
     exact = stored(exact, "exact")
     a = exact.withColumnsRenamed({c: f"{c}_a" for c in ("node", "n", "ahead", "c")})
     b = exact.withColumnsRenamed({c: f"{c}_b" for c in ("node", "n", "ahead", "c")})
