@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from stockflow.llm import (collocations, context_tree, decontaminate, exact_dedup, html_extract, language_id, line_dedup,
-                           minhash_dedup, piece_codec, secret_scan, toxicity)
+from stockflow.llm import (collocations, context_tree, decontaminate, exact_dedup, hard_negatives, html_extract, language_id,
+                           line_dedup, minhash_dedup, piece_codec, secret_scan, toxicity, vantage_search)
 
 MODULES = [context_tree, decontaminate, exact_dedup, html_extract, line_dedup, language_id, minhash_dedup, piece_codec, secret_scan,
-           toxicity, collocations]
+           toxicity, collocations, hard_negatives, vantage_search]
 
 
 def queries():
