@@ -381,6 +381,12 @@ def _wide(c):
     return F.col(c).cast("decimal(19,0)")
 
 
+def cut_score():
+    """floor(2000000 * a / (l + r)) as a long; the product and the sum are decimals, so nothing is rounded."""
+    return F.expr("(cast(2000000 as decimal(7,0)) * cast(a as decimal(19,0)))"
+                  " div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))")
+
+
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first ``top`` phrases of ``docs`` (lang, text)."""
     counts, sizes = phrase_counts(docs, least)
@@ -393,9 +399,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     ext = right_ext.unionByName(left_ext.withColumn("words", F.reverse("words"))).groupBy("lang", "words").agg(
         F.max("ext").alias("ext"))
     phrases = counts.filter(F.size("words") > 1).withColumnRenamed("f", "a")
-    score = F.expr("(cast(2000000 as decimal(7,0)) * cast(a as decimal(19,0)))"
-                   " div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))")
-    best = (phrases.join(cuts.hint("merge"), ["lang", "words"]).withColumn("score", score)
+    best = (phrases.join(cuts.hint("merge"), ["lang", "words"]).withColumn("score", cut_score())
             .groupBy("lang", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")))
     inside = _wide("ext") * 100 >= _wide("a") * 80
     kept = best.join(ext.hint("merge"), ["lang", "words"], "left").filter(~F.coalesce(inside, F.lit(False)))
