@@ -45,7 +45,8 @@ from stockflow.llm.common import mix, stored, table
 MOST = 4
 LEAST = 30
 TOP = 2000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
+BLOCK_ROWS = 1024
 #: Bits of the table that tells the tasks which parts are frequent: 8 MB at any input size.
 SIEVE_BITS = 26
 #: Longest stretch of a word that numpy compares; longer words are compared as Python bytes.
@@ -69,6 +70,12 @@ def blocks(column, limit: int = BLOCK_BYTES):
     A block has about ``limit`` bytes of whole texts, or a window of one longer text
     whose first ``carried`` words were the last ones of the window before.
     """
+    for top in range(0, len(column), BLOCK_ROWS):
+        for i, j, *rest in _blocks(column.slice(top, BLOCK_ROWS), limit):
+            yield top + i, top + j, *rest
+
+
+def _blocks(column, limit: int):
     texts = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(texts)
     buffers = texts.buffers()
