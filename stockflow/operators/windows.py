@@ -2,11 +2,12 @@
 
 A plain ``sum().over(partitionBy(cell).orderBy(t))`` puts every row of a cell
 into one task. If one cell holds a third of all rows that task is the job.
-``running_sum`` and ``prefix_min_and_total`` split each key into contiguous
-*chunks* of the order (for example one day of movements), compute the running
-sum inside each (key, chunk) in parallel, then add each chunk's offset from a
-prefix sum over the small per-chunk table. The result is exact for any skew as long as the
-chunk column is monotone in the order.
+``running_sum_split`` and ``dip_and_total`` measure which keys are hot and cut only
+these, by their own row counts, into contiguous *chunks* of the order; running sums
+and (lowest prefix, total) pairs are made inside each (key, chunk) in parallel, and
+combined over one row a chunk. ``running_sum`` and ``prefix_min_and_total`` take the
+chunks as given (for example one day of movements): lazy, exact for any chunk column
+that is monotone in the order, and as parallel as that column makes them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockflow.session import ensure_checkpoint_dir
+
 _UNB = Window.unboundedPreceding
 
 
@@ -42,29 +45,77 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
              .drop("_sf_key", "_sf_chunk", "_sf_in", "_sf_off"))
 
 
-def running_sum_split(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, position: str,
-                      out: str = "running", limit: int = 1 << 16) -> DataFrame:
-    """``running_sum`` that splits only keys of more than ``limit`` rows, by their own positions.
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
+    """The keys of more than ``limit`` rows, as a frame of at most count / ``limit`` rows; None where there are none.
 
-    ``position`` is a whole-number column, the first of ``order``. A key of n rows
-    is cut into ceil(n / limit) equal ranges of its positions; all other keys are
-    one chunk and need no offset. So the offset table has rows of hot keys only
-    (at most two per ``limit`` input rows), not one per key.
+    One job of counts summed on the map side, where no key is hot; hot keys are kept
+    in the shared checkpoint folder.
     """
-    order = list(order)
-    x = df.withColumn("_sf_key", F.struct(*keys))
-    hot = (x.groupBy("_sf_key").agg(F.count(F.lit(1)).alias("_sf_n"), F.min(position).alias("_sf_lo"),
-                                    F.max(position).alias("_sf_hi")).where(F.col("_sf_n") > limit))
-    x = x.join(hot, "_sf_key", "left")
-    pieces = F.ceil(F.col("_sf_n") / F.lit(limit))
-    place = (F.col(position) - F.col("_sf_lo")) / (F.col("_sf_hi") - F.col("_sf_lo") + 1)
-    x = x.withColumn("_sf_chunk", F.coalesce(F.floor(place * pieces), F.lit(-1)).cast("bigint"))
-    w_in = Window.partitionBy("_sf_key", "_sf_chunk").orderBy(*order).rowsBetween(_UNB, Window.currentRow)
-    offs = chunk_offsets(x.where(F.col("_sf_n").isNotNull()), ["_sf_key"], value)
-    return (x.withColumn("_sf_in", F.sum(value).over(w_in))
-             .join(offs, on=["_sf_key", "_sf_chunk"], how="left")
-             .withColumn(out, F.coalesce("_sf_off", F.lit(0)) + F.col("_sf_in"))
-             .drop("_sf_key", "_sf_n", "_sf_lo", "_sf_hi", "_sf_chunk", "_sf_in", "_sf_off"))
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sf_n")).where(F.col("_sf_n") > limit).drop("_sf_n")
+    if hot.isEmpty():
+        return None
+    ensure_checkpoint_dir(df.sparkSession)
+    return hot.checkpoint(eager=True)
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], limit: int, count_on: DataFrame | None = None,
+              ) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of cold keys, rows of hot keys or None). Where a key is hot, ``df`` is checkpointed first: it is
+    evaluated once for both parts. ``count_on``: a cheaper frame with the keys, or a prefix of them, whose hot
+    keys include all of ``df``'s."""
+    keys = list(keys)
+    if count_on is not None:
+        keys = [k for k in keys if k in count_on.columns]
+    hot = hot_keys(df if count_on is None else count_on, keys, limit)
+    if hot is None:
+        return df, None
+    df = df.checkpoint(eager=True)
+    hot = hot.withColumnsRenamed({k: f"_sf_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_sf_{k}"))
+    return df.join(hot, on, "left_anti"), df.join(hot, on, "left_semi")
+
+
+def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], limit: int) -> DataFrame:
+    """``df`` with ``_sf_chunk``: contiguous pieces, of at most ``limit`` rows, of the order by keys and ``order``.
+
+    The cuts are measured, not guessed from values: rows are range-partitioned by
+    the whole order (Spark samples the ranges), sorted inside each partition, and
+    each ``limit`` rows of a partition make a chunk. Chunk numbers rise with the
+    order. The numbered rows are checkpointed, as ranges drawn again may differ.
+    ``limit`` is rounded down to a power of two.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    by = [F.col(k) for k in keys] + order
+    bits = max(0, limit.bit_length() - 1)
+    return (df.repartitionByRange(*by).sortWithinPartitions(*by)
+            .withColumn("_sf_chunk", F.shiftright(F.monotonically_increasing_id(), bits)).checkpoint(eager=True))
+
+
+def running_sum_split(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str,
+                      out: str = "running", limit: int = 1 << 16, count_on: DataFrame | None = None) -> DataFrame:
+    """``running_sum`` with no window partition of more than ``limit`` rows of a key, for any spread of the order.
+
+    Keys of up to ``limit`` rows are one window partition each. The others are cut by
+    row counts (``ordered_chunks``); a chunk's rows add the sum of the key's earlier chunks,
+    which is a prefix sum over one row a chunk. ``count_on``: see ``split_hot``.
+    """
+    cold, hot = split_hot(df, keys, limit, count_on)
+    whole = running_sum(cold, keys, order, value, out)
+    if hot is None:
+        return whole
+    x = ordered_chunks(hot, keys, order, limit)
+    w_in = Window.partitionBy(*keys, "_sf_chunk").orderBy(*order).rowsBetween(_UNB, Window.currentRow)
+    offs = chunk_offsets(x, keys, value)
+    offs = offs.withColumnsRenamed({k: f"_sf_{k}" for k in keys}).withColumnRenamed("_sf_chunk", "_sf_c")
+    x = x.withColumn("_sf_in", F.sum(value).over(w_in))
+    on = F.col("_sf_chunk") == F.col("_sf_c")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_sf_{k}"))
+    parts = x.join(offs, on, "inner").withColumn(out, F.col("_sf_off") + F.col("_sf_in"))
+    return whole.unionByName(parts.select(*whole.columns))
 
 
 def chunk_offsets(x: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -99,3 +150,51 @@ def prefix_min_and_total(df: DataFrame, keys: Sequence[str], order: Sequence[str
     return per_chunk.groupBy(*keys).agg(
         F.min(F.col("_sf_off") + F.col("_sf_min")).alias(min_out),
         F.sum("_sf_tot").alias(total_out))
+
+
+def dip_and_total(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, limit: int = 1 << 16,
+                  min_out: str = "worst", total_out: str = "net", count_on: DataFrame | None = None) -> DataFrame:
+    """Per key: the lowest sum after any place of ``order`` and the total; rows of one place count together.
+
+    (lowest prefix, total) of neighbouring pieces combine associatively:
+    ``(min(low1, total1 + low2), total1 + total2)``. A key of up to ``limit`` rows is
+    folded by one window; the others are summed by place, cut into chunks by row counts,
+    folded inside each chunk and merged up a tree, so any key, and any place, may be
+    hot. ``count_on``: see ``split_hot``.
+    """
+    keys, order = list(keys), list(order)
+    cold, hot = split_hot(df, keys, limit, count_on)
+    at = Window.partitionBy(*keys).orderBy(*order)      # default frame: up to the current place, its peers included
+    out = (cold.withColumn("_sf_run", F.sum(value).over(at)).groupBy(*keys)
+           .agg(F.min("_sf_run").alias(min_out), F.sum(value).alias(total_out)))
+    if hot is None:
+        return out
+    places = hot.groupBy(*keys, *order).agg(F.sum(value).alias("_sf_v"))
+    x = ordered_chunks(places, keys, order, limit)
+    w_in = Window.partitionBy(*keys, "_sf_chunk").orderBy(*order).rowsBetween(_UNB, Window.currentRow)
+    level = (x.withColumn("_sf_run", F.sum("_sf_v").over(w_in)).groupBy(*keys, "_sf_chunk")
+             .agg(F.min("_sf_run").alias("_sf_low"), F.sum("_sf_v").alias("_sf_tot")))
+    return out.unionByName(merge_up(level, keys).withColumnsRenamed({"_sf_low": min_out, "_sf_tot": total_out})
+                           .select(*out.columns))
+
+
+#: Pieces that one step of the tree merges: 2 ** 10; chunk numbers have 63 bits.
+_TREE_BITS, _TREE_LEVELS = 10, 5
+
+
+def merge_up(level: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fold (``_sf_low``, ``_sf_tot``) of each key's pieces in the order of ``_sf_chunk``, up a tree.
+
+    A step merges pieces whose numbers agree but for their last ten bits, so no task folds
+    more than 1,024 of a key; the last step has few left and folds what there is.
+    """
+    for step in range(_TREE_LEVELS):
+        last = step == _TREE_LEVELS - 1
+        parent = F.lit(0).cast("bigint") if last else F.shiftright("_sf_chunk", _TREE_BITS)
+        x = level.withColumn("_sf_parent", parent)
+        before = Window.partitionBy(*keys, "_sf_parent").orderBy("_sf_chunk").rowsBetween(_UNB, -1)
+        level = (x.withColumn("_sf_off", F.coalesce(F.sum("_sf_tot").over(before), F.lit(0)))
+                 .groupBy(*keys, "_sf_parent").agg(F.min(F.col("_sf_off") + F.col("_sf_low")).alias("_sf_low"),
+                                                   F.sum("_sf_tot").alias("_sf_tot"))
+                 .withColumnRenamed("_sf_parent", "_sf_chunk"))
+    return level.drop("_sf_chunk")

@@ -67,13 +67,13 @@ def net_stock(mov: DataFrame, det: DataFrame) -> DataFrame:
 def running_balance(mov: DataFrame, det: DataFrame, chunk_lines: int = 1 << 16) -> DataFrame:
     """Balance of the cell after every line leg, in line-id order.
 
-    A cell of more than ``chunk_lines`` legs is split into ranges of its own line
-    ids, so no task holds a whole hot cell; other cells are one window each.
+    Cells of a variant of more than ``chunk_lines`` lines are cut by their own row
+    counts, so no window partition holds more of them, however their ids are spread;
+    other cells have at most two legs of each of their variant's lines.
     """
-    d = deltas(mov, det, keep=["id_detalle"])
-    order = [F.col("id_detalle"), F.col("leg")]
-    return W.running_sum_split(d, ["id_sucursal", "id_variante"], order, "delta", "id_detalle", out="saldo",
-                               limit=chunk_lines).select(
+    d = deltas(mov, det, keep=["id_detalle"]).select("id_detalle", "leg", "id_sucursal", "id_variante", "delta")
+    return W.running_sum_split(d, ["id_sucursal", "id_variante"], ["id_detalle", "leg"], "delta", out="saldo",
+                               limit=chunk_lines, count_on=det.select("id_variante")).select(
         "id_detalle", "leg", "id_sucursal", "id_variante", "delta", F.col("saldo").cast("bigint").alias("saldo"))
 
 
@@ -93,32 +93,50 @@ def _movement_cell_deltas(mov: DataFrame, det: DataFrame, chunk: Column | None =
             .agg(F.sum("delta").alias("d")))
 
 
-def worst_dip(mov: DataFrame, det: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """Per cell: lowest running balance, capped at 0 (``minimum(min, 0)``), and the net."""
-    chunk = chunk if chunk is not None else F.to_date("fecha_hora")
-    per = _movement_cell_deltas(mov, det, chunk)
-    stats = W.prefix_min_and_total(per, ["id_sucursal", "id_variante"], ["fecha_hora", "id_movimiento"], "d",
-                                   chunk="_sf_chunk", min_out="peor", total_out="neto")
+def dips(mov: DataFrame, det: DataFrame, chunk_lines: int = 1 << 16) -> DataFrame:
+    """Per cell: lowest balance after any movement (``worst``) and the net (``net``).
+
+    Whether a cell is hot is asked of the lines alone (a cell has at most two legs of
+    each line of its variant), so without hot variants the legs are made once and
+    shuffled once, by cell.
+    """
+    d = deltas(mov, det).where(F.col("id_sucursal").isNotNull()).select(
+        "id_sucursal", "id_variante", "fecha_hora", "id_movimiento", "delta")
+    return W.dip_and_total(d, ["id_sucursal", "id_variante"], ["fecha_hora", "id_movimiento"], "delta",
+                           limit=chunk_lines, count_on=det.select("id_variante"))
+
+
+def worst_dip(mov: DataFrame, det: DataFrame, chunk: Column | None = None, chunk_lines: int | None = 1 << 16) -> DataFrame:
+    """Per cell: lowest running balance, capped at 0 (``minimum(min, 0)``), and the net.
+
+    Without ``chunk_lines`` the plan is lazy and cut by ``chunk`` (a column monotone in
+    the movement order; the day, if not given), as parallel as that is."""
+    if chunk_lines is not None and chunk is None:
+        stats = dips(mov, det, chunk_lines).withColumnsRenamed({"worst": "peor", "net": "neto"})
+    else:
+        per = _movement_cell_deltas(mov, det, chunk if chunk is not None else F.to_date("fecha_hora"))
+        stats = W.prefix_min_and_total(per, ["id_sucursal", "id_variante"], ["fecha_hora", "id_movimiento"], "d",
+                                       chunk="_sf_chunk", min_out="peor", total_out="neto")
     return stats.select("id_sucursal", "id_variante",
                         X.clip_max_zero("peor").cast("bigint").alias("peor_saldo"),
                         F.col("neto").cast("bigint").alias("neto"))
 
 
-def opening_stock(mov: DataFrame, det: DataFrame, buffer: int | Column = 2) -> DataFrame:
+def opening_stock(mov: DataFrame, det: DataFrame, buffer: int | Column = 2, chunk_lines: int | None = 1 << 16) -> DataFrame:
     """Opening quantity per cell = -worst dip + buffer, so no balance goes negative.
 
     ``buffer`` may be a column expression over (id_sucursal, id_variante), e.g. a
     hash, in place of a random draw.
     """
     b = F.lit(buffer) if isinstance(buffer, int) else buffer
-    return worst_dip(mov, det).select(
+    return worst_dip(mov, det, chunk_lines=chunk_lines).select(
         "id_sucursal", "id_variante",
         (-F.col("peor_saldo") + b).cast("int").alias("cantidad_apertura"), "neto")
 
 
-def final_stock(mov: DataFrame, det: DataFrame, buffer: int | Column = 2) -> DataFrame:
+def final_stock(mov: DataFrame, det: DataFrame, buffer: int | Column = 2, chunk_lines: int | None = 1 << 16) -> DataFrame:
     """Inventario = opening + net for every cell that has movements."""
-    return opening_stock(mov, det, buffer).select(
+    return opening_stock(mov, det, buffer, chunk_lines).select(
         "id_sucursal", "id_variante",
         (F.col("cantidad_apertura") + F.col("neto")).cast("int").alias("cantidad_disponible"))
 

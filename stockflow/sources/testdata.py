@@ -207,7 +207,8 @@ def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     def inventario() -> DataFrame:
         from stockflow.plans.ledger import final_stock
-        return final_stock(tables["movimientos"], tables["detalle_lineas"], buffer=OPENING_BUFFER)
+        # a mapping must not run jobs, so its dips are cut by the day
+        return final_stock(tables["movimientos"], tables["detalle_lineas"], buffer=OPENING_BUFFER, chunk_lines=None)
 
     t["inventario"] = inventario
     return tables

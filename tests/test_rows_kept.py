@@ -36,7 +36,7 @@ def test_running_sums_keep_null_keys(spark):
     df = spark.createDataFrame(rows, "k int, i long, v long")
     plain = sorted((r["k"] or 0, r["i"], r["running"]) for r in running_sum(df, ["k"], ["i"], "v").collect())
     chunked = running_sum(df, ["k"], ["i"], "v", chunk=F.floor(F.col("i") / 3))
-    split = running_sum_split(df, ["k"], ["i"], "v", "i", limit=4)
+    split = running_sum_split(df, ["k"], ["i"], "v", limit=4)
     for x in (chunked, split):
         assert sorted((r["k"] or 0, r["i"], r["running"]) for r in x.collect()) == plain
     assert len(plain) == len(rows)
