@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.session import ensure_checkpoint_dir
+from stockflow.session import kept
 
 _UNB = Window.unboundedPreceding
 
@@ -52,15 +52,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None
     in the shared checkpoint folder.
     """
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sf_n")).where(F.col("_sf_n") > limit).drop("_sf_n")
-    if hot.isEmpty():
-        return None
-    ensure_checkpoint_dir(df.sparkSession)
-    return hot.checkpoint(eager=True)
+    return None if hot.isEmpty() else kept(hot, "hot")
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], limit: int, count_on: DataFrame | None = None,
               ) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of cold keys, rows of hot keys or None). Where a key is hot, ``df`` is checkpointed first: it is
+    """(rows of cold keys, rows of hot keys or None). Where a key is hot, ``df`` is stored first: it is
     evaluated once for both parts. ``count_on``: a cheaper frame with the keys, or a prefix of them, whose hot
     keys include all of ``df``'s."""
     keys = list(keys)
@@ -69,7 +66,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int, count_on: DataFram
     hot = hot_keys(df if count_on is None else count_on, keys, limit)
     if hot is None:
         return df, None
-    df = df.checkpoint(eager=True)
+    df = kept(df, "rows")
     hot = hot.withColumnsRenamed({k: f"_sf_{k}" for k in keys})
     on = F.lit(True)
     for k in keys:
@@ -78,20 +75,20 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int, count_on: DataFram
 
 
 def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], limit: int) -> DataFrame:
-    """``df`` with ``_sf_chunk``: contiguous pieces, of at most ``limit`` rows, of the order by keys and ``order``.
+    """``df`` with ``_sf_row``, numbers that rise with the order by keys and ``order``, and ``_sf_chunk``:
+    contiguous pieces of it of at most ``limit`` rows.
 
     The cuts are measured, not guessed from values: rows are range-partitioned by
     the whole order (Spark samples the ranges), sorted inside each partition, and
-    each ``limit`` rows of a partition make a chunk. Chunk numbers rise with the
-    order. The numbered rows are checkpointed, as ranges drawn again may differ.
+    each ``limit`` rows of a partition make a chunk. The numbered rows are stored, as ranges drawn again may differ.
     ``limit`` is rounded down to a power of two.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     by = [F.col(k) for k in keys] + order
     bits = max(0, limit.bit_length() - 1)
-    return (df.repartitionByRange(*by).sortWithinPartitions(*by)
-            .withColumn("_sf_chunk", F.shiftright(F.monotonically_increasing_id(), bits)).checkpoint(eager=True))
+    return kept(df.repartitionByRange(*by).sortWithinPartitions(*by)
+                .withColumn("_sf_row", F.monotonically_increasing_id())
+                .withColumn("_sf_chunk", F.shiftright("_sf_row", bits)), "chunks")
 
 
 def running_sum_split(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str,

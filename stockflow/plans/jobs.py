@@ -25,14 +25,14 @@ Tables = Mapping[str, DataFrame]
 
 # Messages of the status rows.
 MSG_OK = {
-    "Entrada": "Entrada registrada bajo el Movimiento N° %d",
-    "Traslado": "Traslado registrado: Movimiento N° %d",
-    "Salida": "Venta registrada: Movimiento N° %d",
+    "Entrada": "mercadería recibida, movimiento %d",
+    "Traslado": "mercadería trasladada, movimiento %d",
+    "Salida": "venta asentada, movimiento %d",
 }
 MSG_ERROR = {
-    "Entrada": "ERROR OPERATIVO EN ENTRADA DE MERCADERIA: %s",
-    "Traslado": "ERROR OPERATIVO EN TRASLADO LOGISTICO: %s",
-    "Salida": "ERROR OPERATIVO EN VENTA DE CAJA: %s",
+    "Entrada": "recepción no asentada: %s",
+    "Traslado": "traslado no asentado: %s",
+    "Salida": "venta no asentada: %s",
 }
 
 
@@ -169,10 +169,10 @@ def reprice_brand(prod: DataFrame, brands: DataFrame, id_marca: int, pct) -> tup
         brand.select("marca").scalar().alias("marca"),
         F.when(ok, F.col("filas")).otherwise(F.lit(0)).cast("bigint").alias("filas"),
         ok.alias("ok"),
-        F.when(~exists, X.format_message("La marca con ID %d no se encuentra registrada en el sistema.",
+        F.when(~exists, X.format_message("no hay marca con el número %d",
                                          F.lit(id_marca)))
          .when(~ok, F.lit("precio_venta_actual > 0 violado"))
-         .otherwise(X.format_message("Total de productos actualizados: %d", "filas")).alias("mensaje"))
+         .otherwise(X.format_message("precios cambiados: %d", "filas")).alias("mensaje"))
     return new_prod, status
 
 

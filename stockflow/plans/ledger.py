@@ -26,7 +26,6 @@ from stockflow.functions import exprs as X
 from stockflow.operators import windows as W
 from stockflow.operators.ids import id_before
 from stockflow.schema import CONSUMING_TYPES, MONEY
-from stockflow.session import ensure_checkpoint_dir
 
 HEADER_COLS = ["id_movimiento", "fecha_hora", "tipo_movimiento", "id_sucursal_origen", "id_sucursal_destino"]
 
@@ -339,44 +338,47 @@ def _whole(name: str) -> Column:
     return F.coalesce(F.col(name).cast("bigint"), F.lit(_NONE)).alias(name)
 
 
-def _fold(l: DataFrame, stock: DataFrame | None, cell_key: DataFrame | None, n: int) -> DataFrame:
-    """Sequential replay: one shuffle by (variant, cell key), sort, streamed fold per partition.
+def line_events(l: DataFrame, key: Column, row: Column) -> DataFrame:
+    """Prepared lines as events of the replay: ``_ck`` tells the replays of one variant apart."""
+    return l.select(F.lit(1).alias("_kind"), key.cast("bigint").alias("_ck"), row.alias("_row"), "id_detalle", "id_variante",
+                    "tipo_movimiento", "id_sucursal_origen", "id_sucursal_destino", "cantidad", "_pre", "_late", "_null",
+                    F.lit(0).cast("bigint").alias("_init"))
 
-    ``cell_key``: per variant, 1 when its cells are independent (no transfer),
-    so the key becomes (variant, branch); otherwise the whole variant is one key.
-    """
-    if cell_key is not None:
-        l = l.join(cell_key, "id_variante", "left")
-        ck = F.when(F.col("_per_cell") == 1, F.col("id_sucursal_origen")).otherwise(F.lit(-1)).cast("bigint")
-    else:
-        ck = F.lit(-1).cast("bigint")
-    events = l.select(F.lit(1).alias("_kind"), ck.alias("_ck"), "id_detalle", "id_variante", "tipo_movimiento",
-                      "id_sucursal_origen", "id_sucursal_destino", "cantidad", "_pre", "_late", "_null",
-                      F.lit(0).cast("bigint").alias("_init"))
+
+def start_events(stock: DataFrame, key: Column) -> DataFrame:
+    """Stock rows (id_sucursal, id_variante, cantidad_disponible) as the events that a replay begins with."""
+    text = F.lit(None).cast("string")
+    return stock.select(
+        F.lit(0).alias("_kind"), key.cast("bigint").alias("_ck"), F.lit(_NONE).alias("_row"), F.lit(_NONE).alias("id_detalle"),
+        F.col("id_variante").cast("bigint").alias("id_variante"), text.alias("tipo_movimiento"),
+        F.col("id_sucursal").cast("bigint").alias("id_sucursal_origen"), F.lit(_NONE).alias("id_sucursal_destino"),
+        F.lit(0).alias("cantidad"), text.alias("_pre"), text.alias("_late"), text.alias("_null"),
+        F.coalesce(F.col("cantidad_disponible").cast("bigint"), F.lit(0)).alias("_init"))
+
+
+def in_replay_order(events: DataFrame, n: int | None = None) -> DataFrame:
+    """One shuffle by (variant, replay), sorted: the start first, then the lines in order."""
+    keys = ["id_variante", "_ck"]
+    dealt = events.repartition(n, *keys) if n else events.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, "_kind", "_row")
+
+
+def fold(events: DataFrame, n: int | None = None) -> DataFrame:
+    """Line-by-line replay, streamed: a task holds the branches of one (variant, replay) at a time."""
+    return in_replay_order(events, n).mapInPandas(_fold_partition, FOLD_SCHEMA)
+
+
+def _whole_variants(l: DataFrame, stock: DataFrame | None, n: int | None) -> DataFrame:
+    events = line_events(l, F.lit(-1), F.col("id_detalle"))
     if stock is not None:
         s = stock.join(l.select("id_variante").distinct(), "id_variante", "left_semi")
-        if cell_key is not None:
-            s = s.join(cell_key, "id_variante", "left")
-            sck = F.when(F.col("_per_cell") == 1, F.col("id_sucursal")).otherwise(F.lit(-1)).cast("bigint")
-        else:
-            sck = F.lit(-1).cast("bigint")
-        events = events.unionByName(s.select(
-            F.lit(0).alias("_kind"), sck.alias("_ck"), F.lit(_NONE).alias("id_detalle"),
-            F.col("id_variante").cast("bigint").alias("id_variante"),
-            F.lit(None).cast("string").alias("tipo_movimiento"),
-            F.col("id_sucursal").cast("bigint").alias("id_sucursal_origen"),
-            F.lit(_NONE).alias("id_sucursal_destino"),
-            F.lit(0).alias("cantidad"), F.lit(None).cast("string").alias("_pre"),
-            F.lit(None).cast("string").alias("_late"), F.lit(None).cast("string").alias("_null"),
-            F.coalesce(F.col("cantidad_disponible").cast("bigint"), F.lit(0)).alias("_init")))
-    ordered = (events.repartition(n, "id_variante", "_ck")
-               .sortWithinPartitions("id_variante", "_ck", "_kind", "id_detalle"))
-    return ordered.mapInPandas(_fold_partition, FOLD_SCHEMA)
+        events = events.unionByName(start_events(s, F.lit(-1)))
+    return fold(events, n)
 
 
 def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFrame | None = None,
-                   num_partitions: int | None = None, split: bool = False,
-                   chunk_lines: int = 1 << 16) -> DataFrame:
+                   num_partitions: int | None = None, split: bool = False, chunk_lines: int = 1 << 12,
+                   hot_lines: int = 1 << 18, count_on: DataFrame | None = None) -> DataFrame:
     """Accept or reject every line in ``id_detalle`` order against the stock left by earlier accepted lines.
 
     ``lines``: id_detalle, id_variante, cantidad, precio_unitario, tipo_movimiento,
@@ -386,93 +388,22 @@ def validate_stock(lines: DataFrame, stock: DataFrame | None = None, pv: DataFra
     foreign-key check.
 
     A line touches one variant only, and a transfer couples two cells of that
-    same variant, so a variant is an exact unit of replay. With ``split``
-    the work is divided without changing any result:
-
-    * every line of a variant before its first *problem* (its first invalid
-      line, or the first line that takes a cell below zero when every line
-      is applied: start stock + running sum, computed chunk-parallel) is
-      accepted, and is decided by that window plan, in parallel however hot
-      the variant is; a variant without a problem is decided entirely so;
-    * the lines from the problem on are replayed sequentially from the
-      balances just before it, keyed by variant, or by (variant, branch)
-      when that suffix has no transfer (its cells are then independent).
-
-    Both ways give the same rows, also for NULLs, unknown types and repeated
-    ids (which count as problems). The way is the caller's choice and never
-    depends on the size: the plain fold is one shuffle with no action, and a
-    variant is replayed by one task in a stream, in memory of its branches; the
-    split is for batches where one variant holds much of the lines. It reuses
-    its inputs, so it checkpoints them to the shared checkpoint folder. What
-    stays serial is a variant's suffix from its first problem on.
+    same variant, so a variant is an exact unit of replay: one shuffle by variant,
+    and a fold that streams it in memory of its branches. A variant of more than
+    ``hot_lines`` lines is replayed in chunks, in parallel (``plans.replay``); with
+    ``split`` all are. Both ways give the same rows, also for NULLs, unknown types and
+    repeated ids. ``count_on``: a cheaper frame that has ``id_variante`` as often as
+    ``lines`` at least, to find the hot variants by.
     """
-    spark = lines.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    from stockflow.plans.replay import replay_in_chunks
+
+    n = num_partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     l = _prepare(lines, pv)
-    if not split:
-        return _fold(l, stock, None, n)
-    ensure_checkpoint_dir(spark)            # the cluster's shared folder, set only when unset
-    l = l.checkpoint(eager=True)
-
-    o, d, q, t = (F.col("id_sucursal_origen"), F.col("id_sucursal_destino"), F.col("cantidad"),
-                  F.col("tipo_movimiento"))
-    is_transfer = t == "Traslado"
-    bad = (F.col("_pre").isNotNull() | F.col("_late").isNotNull() | F.col("_null").isNotNull() | (q <= 0)
-           | (o == _NONE) | (F.col("id_detalle") == _NONE) | ~F.coalesce(t.isin("Entrada", "Salida", "Traslado"), F.lit(False))
-           | (is_transfer & ((d == _NONE) | (o == d))))
-    # Legs of every line as if accepted, plus the start stock as the first leg of each cell.
-    leg_o = F.struct(o.alias("id_sucursal"),
-                     F.when(t == "Entrada", q).when(t.isin(*CONSUMING_TYPES), -q).otherwise(0).cast("bigint").alias("delta"),
-                     F.lit(0).alias("leg"))
-    leg_d = F.struct(d.alias("id_sucursal"), q.cast("bigint").alias("delta"), F.lit(1).alias("leg"))
-    legs = l.select("id_detalle", "id_variante",
-                    F.inline(F.when(is_transfer, F.array(leg_o, leg_d)).otherwise(F.array(leg_o))))
-    legs = legs.where(F.col("id_sucursal") != _NONE)
-    if stock is not None:
-        legs = legs.unionByName(stock.join(l.select("id_variante").distinct(), "id_variante", "left_semi").select(
-            F.lit(None).cast("bigint").alias("id_detalle"), "id_variante", F.col("id_sucursal").cast("bigint"),
-            F.col("cantidad_disponible").cast("bigint").alias("delta"), F.lit(-1).alias("leg")))
-    chunk = F.coalesce(F.floor(F.col("id_detalle") / F.lit(chunk_lines)), F.lit(-1).cast("bigint"))
-    run = W.running_sum(legs, ["id_sucursal", "id_variante"], [F.col("id_detalle").asc_nulls_first(), "leg"],
-                        "delta", out="saldo", chunk=chunk).checkpoint(eager=True)
-    # First problem of each variant: its first invalid line, or the first line
-    # whose leg takes a cell below zero when every line is applied (-1 when the
-    # start stock itself is negative). Every line before it is accepted, with
-    # the balances of ``run``; only the lines from it on need the ordered replay.
-    first_bad = l.where(bad).groupBy("id_variante").agg(F.min("id_detalle").alias("_p"))
-    first_neg = (run.where(F.col("saldo") < 0).groupBy("id_variante")
-                 .agg(F.min(F.coalesce(F.col("id_detalle"), F.lit(-1).cast("bigint"))).alias("_p")))
-    twice = (l.groupBy("id_variante", "id_detalle").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-             .groupBy("id_variante").agg(F.min("id_detalle").alias("_p")))
-    problem = first_bad.unionByName(first_neg).unionByName(twice).groupBy("id_variante").agg(F.min("_p").alias("_p"))
-    flagged = l.join(problem, "id_variante", "left")
-    in_prefix = F.col("_p").isNull() | (F.col("id_detalle") < F.col("_p"))
-
-    clean = flagged.where(in_prefix).drop("_p")
-    after = run.where(F.col("leg") >= 0).select("id_detalle", "leg", "saldo")
-    so = after.where(F.col("leg") == 0).select("id_detalle", F.col("saldo").alias("saldo_origen"))
-    sd = after.where(F.col("leg") == 1).select("id_detalle", F.col("saldo").alias("saldo_destino"))
-    clean_out = (clean.join(so, "id_detalle", "inner").join(sd, "id_detalle", "left")
-                 .select("id_detalle", "id_variante", "tipo_movimiento", "id_sucursal_origen",
-                         F.when(d != _NONE, d).alias("id_sucursal_destino"),
-                         "cantidad",
-                         (F.col("saldo_origen") - F.when(t == "Entrada", q).otherwise(-q)).cast("bigint")
-                         .alias("disponible"),
-                         F.lit(True).alias("aceptado"), F.lit(None).cast("string").alias("motivo"),
-                         F.col("saldo_origen").cast("bigint"), F.col("saldo_destino").cast("bigint")))
-
-    # The replayed suffix starts from each cell's balance just before the
-    # problem line (start-stock leg included): a per-cell max_by, partially
-    # aggregated, so a hot cell does not gather in one task.
-    dirty = flagged.where(~in_prefix).drop("_p")
-    before = (run.join(problem, "id_variante", "inner")
-              .where(F.col("id_detalle").isNull() | (F.col("id_detalle") < F.col("_p"))))
-    dirty_stock = before.groupBy("id_sucursal", "id_variante").agg(
-        F.max_by("saldo", F.struct(F.coalesce(F.col("id_detalle"), F.lit(-1).cast("bigint")), F.col("leg")))
-        .alias("cantidad_disponible"))
-    cell_key = (dirty.groupBy("id_variante").agg(F.max(is_transfer.cast("int")).alias("_tr"))
-                .select("id_variante", (1 - F.col("_tr")).alias("_per_cell")))
-    return clean_out.unionByName(_fold(dirty, dirty_stock, cell_key, n))
+    counted = None if count_on is None else count_on.select(_whole("id_variante"))
+    cold, hot = W.split_hot(l, ["id_variante"], 0 if split else hot_lines, counted)
+    if hot is None:
+        return _whole_variants(cold, stock, n)
+    return _whole_variants(cold, stock, n).unionByName(replay_in_chunks(hot, stock, chunk_lines))
 
 
 def apply_accepted(stock: DataFrame, decided: DataFrame) -> DataFrame:

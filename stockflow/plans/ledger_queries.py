@@ -105,14 +105,14 @@ def apply_sql(stock: str | None, decided: str = "fold_out") -> str:
                     "CAST(NULL AS INTEGER) AS cantidad_disponible WHERE false)"
     return f"""
 acc_net AS (
-  SELECT id_sucursal, id_variante, sum(delta) AS dd FROM (
-    SELECT id_sucursal_origen AS id_sucursal, id_variante,
-           CASE WHEN tipo_movimiento = 'Entrada' THEN cantidad ELSE -cantidad END AS delta
-    FROM {decided} WHERE aceptado
-    UNION ALL
-    SELECT id_sucursal_destino, id_variante, cantidad FROM {decided}
-    WHERE aceptado AND tipo_movimiento = 'Traslado') x
-  GROUP BY id_sucursal, id_variante),
+  SELECT pata.sede AS id_sucursal, id_variante, sum(pata.unidades) AS dd
+  FROM (SELECT id_variante, unnest(list_filter([
+                 {{'sede': id_sucursal_origen, 'leg': 0,
+                   'unidades': cantidad * (CASE tipo_movimiento WHEN 'Entrada' THEN 1 ELSE -1 END)}},
+                 {{'sede': id_sucursal_destino, 'leg': 1, 'unidades': cantidad}}],
+               lambda x: x.leg = 0 OR tipo_movimiento = 'Traslado')) AS pata
+        FROM {decided} WHERE aceptado)
+  GROUP BY ALL),
 applied AS (
   SELECT coalesce(s.id_sucursal, n.id_sucursal) AS id_sucursal, coalesce(s.id_variante, n.id_variante) AS id_variante,
          CAST(coalesce(s.cantidad_disponible, 0) + coalesce(n.dd, 0) AS INTEGER) AS cantidad_disponible
@@ -204,6 +204,11 @@ def _lines_for_fold(t):
                                ["id_detalle", "id_movimiento", "id_variante", "cantidad", "precio_unitario"])
 
 
+def _history_decided(t):
+    return L.validate_stock(_lines_for_fold(t), stock=None, pv=t["producto_variante"],
+                            count_on=t["detalle_lineas"])
+
+
 _FOLD_EMPTY = f"""
 WITH {_LINES_HDR_SQL.strip()},
 fl AS (SELECT *, CAST(NULL AS VARCHAR) AS motivo_previo FROM lines_hdr),
@@ -214,13 +219,13 @@ fl AS (SELECT *, CAST(NULL AS VARCHAR) AS motivo_previo FROM lines_hdr),
 @register("ledger_validate_stock", _FOLD_EMPTY + "SELECT * FROM fold_out", recursive=True)
 def ledger_validate_stock(t):
     """Every line accepted or rejected in id order, starting from empty stock."""
-    return L.validate_stock(_lines_for_fold(t), stock=None, pv=t["producto_variante"])
+    return _history_decided(t)
 
 
 @register("ledger_apply", _FOLD_EMPTY + "," + apply_sql(None).strip() + "\nSELECT * FROM applied", recursive=True)
 def ledger_apply(t):
     """Stock after applying the accepted lines of the replay to empty stock."""
-    decided = L.validate_stock(_lines_for_fold(t), stock=None, pv=t["producto_variante"])
+    decided = _history_decided(t)
     empty = t["inventario"].limit(0)
     return L.apply_accepted(empty, decided)
 
@@ -393,7 +398,7 @@ def job_reprice_brand(t):
 @register("job_reprice_brand_status", f"""
 SELECT CAST({REPRICE_BRAND} AS BIGINT) AS id_marca, (SELECT nombre FROM marcas WHERE id_marca = {REPRICE_BRAND}) AS marca,
        CAST(count(*) AS BIGINT) AS filas, true AS ok,
-       printf('Total de productos actualizados: %d', count(*)) AS mensaje
+       printf('precios cambiados: %d', count(*)) AS mensaje
 FROM productos WHERE id_marca = {REPRICE_BRAND}
 """)
 def job_reprice_brand_status(t):

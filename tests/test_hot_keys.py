@@ -92,3 +92,60 @@ def test_the_tree_merges_like_one_fold(spark):
             low = off + lo if low is None else min(low, off + lo)
             off += t
         assert got[key] == (low, off)
+
+
+def _hot_lines(spark, n: int, receipts: int):
+    """A third of the lines on variant 1; ``receipts`` in ten of its lines bring stock, so most sales fall short."""
+    from decimal import Decimal
+    rng = random.Random(n)
+    rows = []
+    for i in range(n):
+        v = 1 if i % 3 == 0 else rng.randint(2, 60)
+        t = "Entrada" if rng.randint(1, 10) <= receipts else rng.choice(["Salida", "Salida", "Traslado"])
+        o, d = rng.randint(1, 4), rng.randint(1, 4)
+        q = rng.randint(1, 9)
+        if rng.random() < 0.01:
+            q, d = rng.choice([(0, d), (None, d), (q, None), (-2, d)])
+        rows.append((i + 1, v, q, Decimal(rng.choice(["1.00"] * 60 + ["-1.00"])), t, o, d if t == "Traslado" else None))
+    return spark.createDataFrame(rows, "id_detalle long, id_variante long, cantidad int, precio_unitario decimal(12,2), "
+                                       "tipo_movimiento string, id_sucursal_origen long, id_sucursal_destino long")
+
+
+@pytest.mark.parametrize("receipts,with_stock", [(2, False), (3, True), (6, True)])
+def test_chunked_replay_of_a_hot_variant_equals_the_streamed_one(spark, receipts, with_stock):
+    df = _hot_lines(spark, 6000, receipts)
+    stock = spark.createDataFrame([(b, v, 40) for b in (1, 2, 3) for v in range(1, 50)],
+                                  "id_sucursal long, id_variante long, cantidad_disponible int") if with_stock else None
+    cols = [f.name for f in L.FOLD_SCHEMA.fields]
+    plain = sorted(tuple(r) for r in L.validate_stock(df, stock).select(*cols).collect())
+    hot = L.validate_stock(df, stock, hot_lines=500, chunk_lines=64)
+    assert sorted(tuple(r) for r in hot.select(*cols).collect()) == plain
+    assert sum(not r[7] for r in plain) > 200
+
+
+def test_rounds_settle_shortages_and_what_is_left_is_streamed(spark):
+    from stockflow.plans import replay as R
+    df = L._prepare(_hot_lines(spark, 3000, 3).where("id_variante = 1"), None)
+    cols = [f.name for f in L.FOLD_SCHEMA.fields]
+    want = sorted(tuple(r) for r in L._whole_variants(df, None, 4).select(*cols).collect())
+    for rounds in (1, 2, 16):
+        got = R.replay_in_chunks(df, None, 32, rounds).select(*cols)
+        assert sorted(tuple(r) for r in got.collect()) == want
+    lines = W.ordered_chunks(df, ["id_variante"], ["id_detalle"], 32)
+    assert lines.groupBy("_sf_chunk").count().agg(F.max("count")).first()[0] <= 32
+
+
+def test_covered_chunks_need_no_python(spark):
+    from stockflow.plans import replay as R
+    df = L._prepare(_hot_lines(spark, 900, 3).where("id_variante = 1 and cantidad > 0 and precio_unitario > 0 and "
+                                                    "(tipo_movimiento <> 'Traslado' or id_sucursal_destino is not null)"), None)
+    stock = spark.createDataFrame([(b, 1, 10 ** 6) for b in (1, 2, 3, 4)],
+                                  "id_sucursal long, id_variante long, cantidad_disponible int")
+    seen = []
+    kept = R.L.fold
+    try:
+        R.L.fold = lambda events, n=None: seen.append(events.where("_kind = 1").count()) or kept(events, n)
+        got = R.replay_in_chunks(df, stock, 16).where("aceptado")
+        assert got.count() == df.count() and seen == [0]
+    finally:
+        R.L.fold = kept
