@@ -20,6 +20,7 @@ from stockflow.functions import exprs as X
 from stockflow.operators.ids import id_continue
 from stockflow.plans import ledger as L
 from stockflow.schema import MONEY
+from stockflow.session import kept
 
 Tables = Mapping[str, DataFrame]
 
@@ -101,6 +102,7 @@ def _run(req: DataFrame, t: Tables, stock: DataFrame, tipo: str) -> JobResult:
     reqs = header_checks(req, t)
     if tipo == "Salida":
         reqs = L.fill_price(reqs, t["producto_variante"], t["productos"])
+    reqs = kept(reqs, "requests")       # ids, checks and prices are made once for the replay and the rows after it
     decided = L.validate_stock(reqs, stock=stock, pv=t["producto_variante"])
     out = reqs.select("request_id", "id_movimiento", "id_detalle", "fecha_hora", "observaciones", "id_empleado", "id_proveedor", "precio_unitario").join(
         decided, "id_detalle", "inner")

@@ -4,20 +4,19 @@ Arriving detail lines (with their header fields) are processed as the
 triggers would process each inserted row:
 
 * ``stream_fill_price``   — stream-static join with the list prices;
-* ``stream_stock_ledger`` — keyed state per ``id_variante`` (branch -> stock
-  of that variant): each micro-batch's lines of a variant are replayed in
-  ``id_detalle`` order against the state, accepted or rejected, and the state
-  is updated. A line touches one variant only (a transfer moves stock between
-  two cells of the same variant), so the key is exact and the work is spread
-  over all variants;
-* ``stream_publish_stock`` — ``foreachBatch`` keeps the latest balance per
-  cell (the balance after the highest line id of the batch) and writes a new
-  stock version named by the batch id, so a replayed batch rewrites the same
-  folder (idempotent) and readers only ever see finished versions.
-
-No watermark is involved: arrival order is the rule, as with the triggers.
-The rows of one variant inside one micro-batch are bounded by the batch size
-(``maxFilesPerTrigger`` / ``maxBytesPerTrigger``), never by the history.
+* ``stream_stock_ledger`` — ``transformWithState`` keyed by ``id_variante`` with a map
+  state branch -> stock: a line reads and writes the cells that it names, no others.
+  The lines of a micro-batch are replayed in ``id_detalle`` order, accepted or
+  rejected. A line touches one variant only (a transfer moves stock between two
+  cells of the same variant), so the key is exact;
+* ``stream_publish_stock`` — ``foreachBatch`` writes the cells that a micro-batch has
+  changed as one delta of the stock (``sources.stock_log``): what it writes follows
+  the batch, not the table.
+
+No watermark is involved: arrival order is the rule, as with the triggers. The
+sources land in id order, one bounded file after the other, and a micro-batch takes
+``maxFilesPerTrigger`` of them: that bounds what a task holds of one variant,
+however much of the history the variant has.
 """
 
 from __future__ import annotations
@@ -25,18 +24,18 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from stockflow.plans import ledger as L
 from stockflow.plans.ledger import _NONE as NONE
 from stockflow.plans.ledger import FOLD_SCHEMA
-from stockflow.sources import files as FS
+from stockflow.sources import stock_log
 
-STATE_SCHEMA = "branches array<bigint>, stocks array<bigint>"
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 
@@ -56,29 +55,68 @@ def stream_fill_price(lines: DataFrame, pv: DataFrame, prod: DataFrame) -> DataF
     return L.fill_price(lines, pv, prod)
 
 
-def _replay_variant(key, pdf_iter: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        branches, stocks = state.get
-        stock = {int(b): int(s) for b, s in zip(branches, stocks, strict=True)}
-    else:
-        stock = {}
-    batch = pd.concat(list(pdf_iter), ignore_index=True)
-    batch = batch.sort_values(["ev_kind", "id_detalle"], kind="stable")
-    rows = []
-    v = None if key[0] == NONE else int(key[0])
-    for r in batch.itertuples(index=False):
-        if r.ev_kind == 0:                      # starting stock of a cell
-            stock[int(r.id_sucursal_origen)] = int(r.ev_init)
-            continue
-        o = None if r.id_sucursal_origen == NONE else int(r.id_sucursal_origen)
-        d = None if r.id_sucursal_destino == NONE else int(r.id_sucursal_destino)
-        q, t = int(r.cantidad), r.tipo_movimiento
-        avail, reason, so, sd = L.replay_line(stock, t, o, d, q, r.ev_pre, r.ev_null, r.ev_late)
-        rows.append((int(r.id_detalle), v, t, o, d, None if r.ev_null == L.REASON_NULL_QUANTITY else q, int(avail),
-                     reason is None, reason, so, sd))
-    state.update((list(stock.keys()), list(stock.values())))
-    if rows:
-        yield L.decided_frame(rows)
+class Cells:
+    """Branch -> stock of one variant over its map state: a cell is read when a line names it, and written
+    once a micro-batch if it has changed."""
+
+    def __init__(self, state):
+        self.state, self.seen, self.changed = state, {}, set()
+
+    def get(self, branch, default=None):
+        if branch not in self.seen:
+            self.seen[branch] = self.state.getValue((branch,))[0] if self.state.containsKey((branch,)) else None
+        value = self.seen[branch]
+        return default if value is None else value
+
+    def __contains__(self, branch):
+        return self.get(branch) is not None
+
+    def __getitem__(self, branch):
+        return self.get(branch)
+
+    def __setitem__(self, branch, value):
+        self.seen[branch] = value
+        self.changed.add(branch)
+
+    def write(self):
+        for branch in self.changed:
+            self.state.updateValue((branch,), (self.seen[branch],))
+
+
+class VariantLedger(StatefulProcessor):
+    """Replays each micro-batch's lines of a variant against its cells."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stock = handle.getMapState("stock", "id_sucursal long", "cantidad long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pieces = [p.drop(columns="id_variante") for p in rows]     # of one micro-batch: bounded by the source's rate
+        kind = np.concatenate([p["ev_kind"].to_numpy() for p in pieces])
+        ids = np.concatenate([p["id_detalle"].to_numpy() for p in pieces])
+        where = np.concatenate([np.full(len(p), n) for n, p in enumerate(pieces)])
+        at = np.concatenate([np.arange(len(p)) for p in pieces])
+        columns = [[p[c].to_numpy() for c in ("tipo_movimiento", "id_sucursal_origen", "id_sucursal_destino", "cantidad",
+                                              "ev_pre", "ev_null", "ev_late", "ev_init")] for p in pieces]
+        cells, out = Cells(self.stock), []
+        v = None if key[0] == NONE else int(key[0])
+        for i in np.lexsort((ids, kind)):
+            t, o, d, q, pre, null, late, init = (c[at[i]] for c in columns[where[i]])
+            if kind[i] == 0:                        # starting stock of a cell
+                cells[int(o)] = int(init)
+                continue
+            o, d, q = None if o == NONE else int(o), None if d == NONE else int(d), int(q)
+            avail, reason, so, sd = L.replay_line(cells, t, o, d, q, pre, null, late)
+            out.append((int(ids[i]), v, t, o, d, None if null == L.REASON_NULL_QUANTITY else q, int(avail),
+                        reason is None, reason, so, sd))
+            if len(out) >= 10_000:
+                yield L.decided_frame(out)
+                out = []
+        cells.write()
+        if out:
+            yield L.decided_frame(out)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_stock_ledger(lines: DataFrame, pv: DataFrame | None = None, stock: DataFrame | None = None) -> DataFrame:
@@ -99,8 +137,8 @@ def stream_stock_ledger(lines: DataFrame, pv: DataFrame | None = None, stock: Da
             F.lit(0).alias("cantidad"), text.alias("ev_pre"), text.alias("ev_late"), text.alias("ev_null"),
             F.coalesce(F.col("cantidad_disponible").cast("bigint"), F.lit(0)).alias("ev_init")))
     use_rocksdb_state(lines.sparkSession)
-    return events.groupBy("id_variante").applyInPandasWithState(
-        _replay_variant, FOLD_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("id_variante").transformWithStateInPandas(
+        statefulProcessor=VariantLedger(), outputStructType=FOLD_SCHEMA, outputMode="Append", timeMode="None")
 
 
 def latest_per_cell(decided: DataFrame) -> DataFrame:
@@ -113,27 +151,9 @@ def latest_per_cell(decided: DataFrame) -> DataFrame:
         F.max_by("saldo", "id_detalle").cast("int").alias("cantidad_disponible"))
 
 
-def publish_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: int) -> str:
-    """Merge one micro-batch's latest balances into a new stock version and publish it."""
-    vdir = f"{root.rstrip('/')}/batch-{batch_id:012d}"
-    fs, p = FS._hadoop_fs(spark, vdir)
-    if fs.exists(FS._hadoop_fs(spark, vdir + "/_SUCCESS")[1]):   # replayed batch: already written
-        FS.publish_pointer(spark, root, vdir)
-        return vdir
-    latest = latest_per_cell(batch)
-    prev = FS.current_version(spark, root)
-    if prev:
-        old = spark.read.parquet(prev)
-        merged = old.join(latest.select("id_sucursal", "id_variante"), ["id_sucursal", "id_variante"],
-                          "left_anti").unionByName(latest)
-    else:
-        _, older = FS._hadoop_fs(spark, f"{root.rstrip('/')}/batch-*/_SUCCESS")
-        if len(fs.globStatus(older)):
-            raise RuntimeError(f"{root} has stock versions but no pointer to one; restore _CURRENT")
-        merged = latest
-    merged.write.mode("overwrite").parquet(vdir)
-    FS.publish_pointer(spark, root, vdir)
-    return vdir
+def publish_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: int) -> None:
+    """Publish the cells that one micro-batch has changed; a replayed batch changes nothing."""
+    stock_log.append(spark, root, latest_per_cell(batch), batch_id)
 
 
 def stream_publish_stock(decided: DataFrame, root: str, checkpoint: str, trigger_once: bool = True):

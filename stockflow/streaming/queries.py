@@ -9,6 +9,8 @@ produce exactly what the batch ledger produces.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from stockflow.plans import ledger as L
 from stockflow.registry import _SQL, register
 from stockflow.session import ensure_checkpoint_dir
 from stockflow.sources import files as FS
+from stockflow.sources import stock_log
 from stockflow.streaming import ledger_stream as LS
 
 
@@ -23,12 +26,41 @@ def _dir(spark, what: str) -> str:
     return FS.new_version_dir(f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{what}")
 
 
-def _land(df: DataFrame, what: str) -> tuple[str, DataFrame]:
-    """Write a batch frame as the stream's landing files; return the folder and a streaming reader."""
+#: Landing files that a micro-batch takes, and lines in a file: together they bound a micro-batch.
+FILES_PER_TRIGGER, LINES_PER_FILE = 4, 250_000
+
+
+def _land(df: DataFrame, what: str, order: str | None = None, files_per_trigger: int = FILES_PER_TRIGGER,
+          lines_per_file: int = LINES_PER_FILE) -> tuple[str, DataFrame]:
+    """Write a batch frame as the stream's landing files; return the folder and a streaming reader.
+
+    With ``order`` the files are ranges of it, named and landed in its order, so that each
+    micro-batch takes the lines that come next.
+    """
     spark = df.sparkSession
     path = _dir(spark, what) + "/landing"
-    df.write.parquet(path)
-    return path, spark.readStream.schema(df.schema).parquet(path)
+    if order is None:
+        df.write.option("maxRecordsPerFile", lines_per_file).parquet(path)
+    else:
+        (df.repartitionByRange(order).sortWithinPartitions(order).write.option("maxRecordsPerFile", lines_per_file)
+         .parquet(path + "/staged"))
+        _in_name_order(spark, path)
+    return path, (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
+
+
+def _in_name_order(spark, path: str) -> None:
+    """Move staged files into the landing folder with times that rise with their names: the file source takes
+    the oldest first."""
+    fs, staged = FS._hadoop_fs(spark, path + "/staged/part-*")
+    files = sorted(str(f.getPath()) for f in fs.globStatus(staged))
+    start = int(time.time() * 1000) - 1000 * (len(files) + 1)
+    for n, name in enumerate(files):
+        _, old = FS._hadoop_fs(spark, name)
+        _, new = FS._hadoop_fs(spark, f"{path}/{n:09d}.parquet")
+        fs.setTimes(old, start + 1000 * n, -1)
+        if not fs.rename(old, new):
+            raise OSError(f"could not land {name}")
+    fs.delete(FS._hadoop_fs(spark, path + "/staged")[1], True)
 
 
 def _run_to_parquet(stream_df: DataFrame, what: str) -> DataFrame:
@@ -64,7 +96,7 @@ def stream_fill_price(t):
 @register("stream_stock_ledger")
 def stream_stock_ledger(t):
     """Every line accepted or rejected by the keyed streaming ledger, from empty stock."""
-    _, stream = _land(_lines(t).select(*LS.LINE_COLUMNS), "ledger")
+    _, stream = _land(_lines(t).select(*LS.LINE_COLUMNS), "ledger", order="id_detalle")
     return _run_to_parquet(LS.stream_stock_ledger(stream, pv=t["producto_variante"]), "ledger-out")
 
 
@@ -72,13 +104,12 @@ def stream_stock_ledger(t):
 def stream_publish_stock(t):
     """Latest stock per cell published by foreachBatch from the streaming ledger."""
     spark = t["marcas"].sparkSession
-    _, stream = _land(_lines(t).select(*LS.LINE_COLUMNS), "publish")
+    _, stream = _land(_lines(t).select(*LS.LINE_COLUMNS), "publish", order="id_detalle")
     decided = LS.stream_stock_ledger(stream, pv=t["producto_variante"])
     base = _dir(spark, "publish-out")
     q = LS.stream_publish_stock(decided, base + "/stock", base + "/chk")
     q.awaitTermination()   # to the end of the landed files; a failed query raises here
-    return spark.read.parquet(FS.current_version(spark, base + "/stock")).select(
-        "id_sucursal", "id_variante", "cantidad_disponible")
+    return stock_log.read_stock(spark, base + "/stock")
 
 
 def _attach_sql():
