@@ -72,30 +72,45 @@ def max_length(t: Tables) -> DataFrame:
                           for tab, col, n in S.MAX_LENGTHS]).withColumnRenamed("_n", "filas_largas")
 
 
+def _tagged(t: Tables, wanted: Mapping[str, list], line_ids: bool = False) -> DataFrame:
+    """(tag, keys...) rows of all tables, each table scanned once: ``wanted`` has, per table, a struct for each
+    tagged key that its rows give."""
+    return _stack((t[tab] if line_ids else _lines_or(t, tab)).select(F.inline(F.array(*structs)))
+                  for tab, structs in wanted.items())
+
+
+def _by_tag(groups: DataFrame, labels: list[dict], **sums) -> DataFrame:
+    """One row a tag, also for tags without groups: its labels and sums. One aggregate with a sum for each tag."""
+    total = [F.coalesce(F.sum(F.when(F.col("tag") == i, value)), F.lit(0)).cast("bigint").alias(f"{name}{i}")
+             for i in range(len(labels)) for name, value in sums.items()]
+    rows = [F.struct(*[F.lit(v).alias(k) for k, v in own.items()], *[F.col(f"{name}{i}").alias(name) for name in sums])
+            for i, own in enumerate(labels)]
+    return groups.agg(*total).select(F.inline(F.array(*rows)))
+
+
 def primary_key(t: Tables) -> DataFrame:
-    """Per table: keys that occur more than once, and rows with a NULL key part."""
-    out = []
-    for tab, keys in S.PRIMARY_KEYS.items():
-        df = t[tab].select(*keys)
-        null_any = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-        dup = (df.where(~null_any).groupBy(*keys).count().where("count > 1")
-               .agg(F.count(F.lit(1)).cast("bigint").alias("claves_duplicadas")))
-        nulls = df.agg(_count_where(null_any).alias("claves_nulas"))
-        out.append(dup.select(F.lit(tab).alias("tabla"), "claves_duplicadas",
-                              F.coalesce(nulls.select("claves_nulas").scalar(), F.lit(0)).cast("bigint")
-                              .alias("claves_nulas")))
-    return _stack(out)
+    """Per table: keys that occur more than once, and rows with a NULL key part. One tagged shuffle for all tables."""
+    wanted, labels = {}, []
+    for i, (tab, keys) in enumerate(S.PRIMARY_KEYS.items()):
+        parts = [F.col(k).cast("string") for k in keys]
+        missing = reduce(lambda a, b: a | b, [p.isNull() for p in parts])
+        # rows without a whole key meet in one group, summed before the shuffle
+        wanted[tab] = [F.struct(F.lit(i).alias("tag"), missing.alias("missing"),
+                                F.when(~missing, F.array(*parts)).alias("k"))]
+        labels.append({"tabla": tab})
+    groups = _tagged(t, wanted, line_ids=True).groupBy("tag", "missing", "k").agg(F.count(F.lit(1)).alias("n"))
+    return _by_tag(groups, labels, claves_duplicadas=F.when(~F.col("missing") & (F.col("n") > 1), 1),
+                   claves_nulas=F.when(F.col("missing"), F.col("n")))
 
 
 def unique(t: Tables) -> DataFrame:
-    """Per UNIQUE column: values held by more than one row (NULLs never clash)."""
-    out = []
-    for tab, col in S.UNIQUE_KEYS:
-        df = t[tab].select(col).where(F.col(col).isNotNull())
-        out.append(df.groupBy(col).count().where("count > 1").agg(
-            F.count(F.lit(1)).cast("bigint").alias("valores_duplicados")).select(
-            F.lit(tab).alias("tabla"), F.lit(col).alias("columna"), "valores_duplicados"))
-    return _stack(out)
+    """Per UNIQUE column: values held by more than one row (NULLs never clash). One tagged shuffle for all columns."""
+    wanted: dict[str, list] = {}
+    for i, (tab, col) in enumerate(S.UNIQUE_KEYS):
+        wanted.setdefault(tab, []).append(F.struct(F.lit(i).alias("tag"), F.col(col).cast("string").alias("k")))
+    groups = _tagged(t, wanted).where(F.col("k").isNotNull()).groupBy("tag", "k").agg(F.count(F.lit(1)).alias("n"))
+    return _by_tag(groups, [{"tabla": tab, "columna": col} for tab, col in S.UNIQUE_KEYS],
+                   valores_duplicados=F.when(F.col("n") > 1, 1))
 
 
 def domain_in(t: Tables) -> DataFrame:
@@ -115,16 +130,23 @@ def _lines_or(t: Tables, tab: str) -> DataFrame:
 
 
 def foreign_key(t: Tables) -> DataFrame:
-    """Child rows whose non-NULL key has no parent (anti join per foreign key)."""
-    out = []
-    for child, ccol, parent, pcol, _ in S.FOREIGN_KEYS:
-        c = _lines_or(t, child).select(F.col(ccol).alias("_k")).where(F.col("_k").isNotNull())
-        p = t[parent].select(F.col(pcol).alias("_k"))
-        orphans = c.join(p, "_k", "left_anti")
-        out.append(orphans.agg(F.count(F.lit(1)).cast("bigint").alias("huerfanas")).select(
-            F.lit(child).alias("tabla"), F.lit(ccol).alias("columna"), F.lit(parent).alias("tabla_padre"),
-            "huerfanas"))
-    return _stack(out)
+    """Child rows whose non-NULL key has no parent, for all references in one tagged shuffle.
+
+    Each table is scanned once and gives, for every reference that it takes part in,
+    its keys as a child (counted) or as a parent. After one sum per (reference, key),
+    made on the map side first, a key without a parent has its child rows as orphans."""
+    wanted: dict[str, list] = {}
+
+    def give(tab, tag, col, as_child):
+        wanted.setdefault(tab, []).append(F.struct(F.lit(tag).alias("tag"), F.col(col).cast("bigint").alias("k"),
+                                                   F.lit(int(as_child)).alias("child")))
+    for i, (child, ccol, parent, pcol, _) in enumerate(S.FOREIGN_KEYS):
+        give(child, i, ccol, True)
+        give(parent, i, pcol, False)
+    groups = _tagged(t, wanted).where(F.col("k").isNotNull()).groupBy("tag", "k").agg(
+        F.sum("child").alias("n"), F.min("child").alias("orphan"))
+    return _by_tag(groups, [{"tabla": c, "columna": cc, "tabla_padre": p} for c, cc, p, _, _ in S.FOREIGN_KEYS],
+                   huerfanas=F.when(F.col("orphan") == 1, F.col("n")))
 
 
 def non_empty(t: Tables, names: Iterable[str] = S.TABLE_NAMES) -> DataFrame:
