@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -215,6 +216,38 @@ def policy_counts(res: JobResult) -> DataFrame:
         "politica", F.col("publicadas").cast("bigint"), F.col("en_cuarentena").cast("bigint"))
 
 
+def quarantine(res: JobResult, policy: str = "reject") -> DataFrame:
+    """The requests that a policy keeps out, header and line columns with their reason; under ``fail`` all of a
+    batch with any rejected request (the others with a NULL reason)."""
+    if policy not in ("reject", "fail"):
+        raise ValueError(f"unknown policy {policy!r}")
+    d = res.decided
+    out = d.where(~F.col("aceptado")) if policy == "reject" else d.where(_any_rejected(d))
+    return out.select("request_id", "fecha_hora", "tipo_movimiento", "observaciones", "id_sucursal_origen",
+                      "id_sucursal_destino", "id_empleado", "id_proveedor", "id_variante", "cantidad", "precio_unitario", "motivo")
+
+
+def _any_rejected(decided: DataFrame) -> F.Column:
+    return F.coalesce(decided.agg(F.max((~F.col("aceptado")).cast("int")).alias("b")).select("b").scalar(), F.lit(0)) == 1
+
+
+def policy_rows(res: JobResult) -> DataFrame:
+    """Every request under both policies: published, or in quarantine with its reason."""
+    r = res.results
+    kept_out = F.when(F.col("politica") == "reject", ~F.col("aceptado")).otherwise(_any_rejected(r))
+    return r.withColumn("politica", F.explode(F.array(F.lit("reject"), F.lit("fail")))).select(
+        "politica", F.when(kept_out, F.lit("cuarentena")).otherwise(F.lit("publicada")).alias("estado"), "request_id",
+        "id_movimiento", "id_detalle", "id_sucursal_origen", "id_sucursal_destino", "id_variante", "cantidad",
+        "precio_unitario", "motivo")
+
+
+def quarantined(spark, vdir: str) -> DataFrame:
+    """The quarantine of a version folder as requests, to be submitted again once what they lacked
+    is there: the columns of all three jobs, ``id_sucursal`` being the origin."""
+    q = spark.read.parquet(f"{vdir}/cuarentena")
+    return q.withColumn("id_sucursal", F.col("id_sucursal_origen")).drop("motivo", "tipo_movimiento")
+
+
 def checkpointed(res: JobResult) -> JobResult:
     """The same job result with its decided requests checkpointed (eagerly) to
     the shared checkpoint folder, so outputs used together replay once."""
@@ -233,8 +266,10 @@ def publish_job(res: JobResult, root: str, policy: str = "reject") -> tuple[str,
     requests, so those are checkpointed once to the shared checkpoint folder
     (``spark.checkpoint.dir``) and the four outputs are written from the
     checkpoint: the ordered replay runs once, and a lost executor recomputes
-    from the checkpoint, not from the requests. Under ``fail`` a batch with
-    any rejected request is written (for inspection) but not published.
+    from the checkpoint, not from the requests. What is accepted and what is
+    kept out (``cuarentena``) become visible in one step, by one pointer. Under
+    ``fail`` a batch with any rejected request is not published: its folder has the
+    whole batch as quarantine, the stock of before, no headers and no lines.
     Returns (version folder, published).
     """
     if policy not in ("reject", "fail"):
@@ -243,24 +278,44 @@ def publish_job(res: JobResult, root: str, policy: str = "reject") -> tuple[str,
 
     spark = res.results.sparkSession
     r = checkpointed(res)
+    ok = policy == "reject" or r.decided.where(~F.col("aceptado")).isEmpty()
     vdir = new_version_dir(root)
-    for name, df in (("resultados", r.results), ("movimientos", r.headers),
-                     ("detalle_movimientos", r.lines), ("inventario", r.stock)):
+    none = F.lit(ok)
+    for name, df in (("resultados", r.results), ("movimientos", r.headers.where(none)),
+                     ("detalle_movimientos", r.lines.where(none)), ("inventario", r.stock if ok else r.stock_before),
+                     ("cuarentena", quarantine(r, policy))):
         df.write.mode("errorifexists").parquet(f"{vdir}/{name}")
-    stored = spark.read.parquet(f"{vdir}/resultados")
-    ok = policy == "reject" or stored.where(~F.col("aceptado")).limit(1).count() == 0
     if ok:
         publish_pointer(spark, root, vdir)
     return vdir, ok
 
 
+def snapshot_states(states: Mapping[str, DataFrame], cells: DataFrame) -> DataFrame:
+    """Stock of the given cells in each of the tagged states, stacked."""
+    keys = ["id_sucursal", "id_variante"]
+    c = cells.select(*keys).distinct()
+    parts = [c.join(s, keys, "left").select(*keys, F.lit(tag).alias("etapa"), F.col("cantidad_disponible").alias("cantidad"))
+             for tag, s in states.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def job_states(res: JobResult, root: str) -> dict[str, DataFrame]:
+    """Stock before, during and after a job, as versions of a stock log under ``root`` read as of their batch.
+
+    The job's requests are applied in two batches, each a delta of the cells that it changes; *during* is the state
+    after the first half of the requests' line ids. ``res`` should be checkpointed."""
+    from stockflow.sources import stock_log
+    from stockflow.streaming.ledger_stream import latest_per_cell
+
+    spark = res.decided.sparkSession
+    half = res.decided.agg(F.floor((F.min("id_detalle") + F.max("id_detalle")) / 2)).first()[0] or 0
+    stock_log.append(spark, root, res.stock_before, 0)
+    stock_log.append(spark, root, latest_per_cell(res.decided.where(F.col("id_detalle") <= half)), 1)
+    stock_log.append(spark, root, latest_per_cell(res.decided.where(F.col("id_detalle") > half)), 2)
+    return {tag: stock_log.read_stock(spark, root, as_of=n) for n, tag in enumerate(("antes", "durante", "despues"))}
+
+
 def snapshot_compare(before: DataFrame, after: DataFrame, cells: DataFrame,
                      tags: tuple[str, str] = ("antes", "despues")) -> DataFrame:
     """Stock of the given cells before and after a job, tagged and stacked."""
-    keys = ["id_sucursal", "id_variante"]
-    c = cells.select(*keys).distinct()
-    b = c.join(before, keys, "left").select(*keys, F.lit(tags[0]).alias("etapa"),
-                                            F.col("cantidad_disponible").alias("cantidad"))
-    a = c.join(after, keys, "left").select(*keys, F.lit(tags[1]).alias("etapa"),
-                                           F.col("cantidad_disponible").alias("cantidad"))
-    return b.unionByName(a)
+    return snapshot_states({tags[0]: before, tags[1]: after}, cells)

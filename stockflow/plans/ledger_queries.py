@@ -15,6 +15,8 @@ from stockflow.functions import exprs as X
 from stockflow.plans import jobs as J
 from stockflow.plans import ledger as L
 from stockflow.registry import register
+from stockflow.session import ensure_checkpoint_dir
+from stockflow.sources import files as FS
 from stockflow.sources.testdata import OPENING_BUFFER, legs_sql
 
 BATCH_TIME = _dt.datetime(2001, 8, 2, 9, 0, 0)   # fixed "now" of the request batches
@@ -99,12 +101,12 @@ fold_out AS (
   FROM fold WHERE rn > 0)"""
 
 
-def apply_sql(stock: str | None, decided: str = "fold_out") -> str:
-    """CTE ``applied``: new stock from ``stock`` and the accepted lines of ``decided``."""
+def apply_sql(stock: str | None, decided: str = "fold_out", name: str = "applied") -> str:
+    """CTE ``name``: new stock from ``stock`` and the accepted lines of ``decided``."""
     base = stock or "(SELECT CAST(NULL AS BIGINT) AS id_sucursal, CAST(NULL AS BIGINT) AS id_variante, " \
                     "CAST(NULL AS INTEGER) AS cantidad_disponible WHERE false)"
     return f"""
-acc_net AS (
+{name}_net AS (
   SELECT pata.sede AS id_sucursal, id_variante, sum(pata.unidades) AS dd
   FROM (SELECT id_variante, unnest(list_filter([
                  {{'sede': id_sucursal_origen, 'leg': 0,
@@ -113,10 +115,10 @@ acc_net AS (
                lambda x: x.leg = 0 OR tipo_movimiento = 'Traslado')) AS pata
         FROM {decided} WHERE aceptado)
   GROUP BY ALL),
-applied AS (
+{name} AS (
   SELECT coalesce(s.id_sucursal, n.id_sucursal) AS id_sucursal, coalesce(s.id_variante, n.id_variante) AS id_variante,
          CAST(coalesce(s.cantidad_disponible, 0) + coalesce(n.dd, 0) AS INTEGER) AS cantidad_disponible
-  FROM {base} s FULL OUTER JOIN acc_net n ON s.id_sucursal = n.id_sucursal AND s.id_variante = n.id_variante)"""
+  FROM {base} s FULL OUTER JOIN {name}_net n ON s.id_sucursal = n.id_sucursal AND s.id_variante = n.id_variante)"""
 
 
 # ---------------------------------------------------------------------------
@@ -356,26 +358,43 @@ def job_reject_policy(t):
     return J.policy_counts(J.job_sell(_requests(t, "Salida"), t, t["inventario"], BATCH_TIME))
 
 
+@register("job_reject_policy_rows", _SELL_CTES + """
+SELECT politica, CASE WHEN (politica = 'reject' AND NOT aceptado)
+                        OR (politica = 'fail' AND (SELECT NOT bool_and(aceptado) FROM job_results))
+                      THEN 'cuarentena' ELSE 'publicada' END AS estado,
+       request_id, id_movimiento, id_detalle, id_sucursal_origen, id_sucursal_destino, id_variante, cantidad,
+       precio_unitario, motivo
+FROM (SELECT *, unnest(['reject', 'fail']) AS politica FROM job_results)
+""", recursive=True)
+def job_reject_policy_rows(t):
+    """Every request of the sale batch under both policies: published, or in quarantine with its reason."""
+    return J.policy_rows(J.checkpointed(J.job_sell(_requests(t, "Salida"), t, t["inventario"], BATCH_TIME)))
+
+
 @register("snapshot_compare", _TRANSFER_CTES + "," + apply_sql("inventario").strip() + """,
+primera_mitad AS (
+  SELECT * FROM fold_out WHERE id_detalle <= (SELECT (min(id_detalle) + max(id_detalle)) // 2 FROM fold_out)),
+""" + apply_sql("inventario", "primera_mitad", "durante").strip() + """,
 cells AS (
   SELECT id_sucursal_origen AS id_sucursal, id_variante FROM fold_out
   UNION SELECT id_sucursal_destino, id_variante FROM fold_out WHERE id_sucursal_destino IS NOT NULL)
-SELECT c.id_sucursal, c.id_variante, 'antes' AS etapa, i.cantidad_disponible AS cantidad
-FROM cells c LEFT JOIN inventario i ON c.id_sucursal = i.id_sucursal AND c.id_variante = i.id_variante
-UNION ALL
-SELECT c.id_sucursal, c.id_variante, 'despues', a.cantidad_disponible
-FROM cells c LEFT JOIN applied a ON c.id_sucursal = a.id_sucursal AND c.id_variante = a.id_variante
+SELECT c.id_sucursal, c.id_variante, c.etapa, e.cantidad_disponible AS cantidad
+FROM (SELECT *, unnest(['antes', 'durante', 'despues']) AS etapa FROM cells) c
+LEFT JOIN (SELECT 'antes' AS etapa, id_sucursal, id_variante, cantidad_disponible FROM inventario
+           UNION ALL SELECT 'durante', * FROM durante
+           UNION ALL SELECT 'despues', * FROM applied) e
+  ON e.etapa = c.etapa AND e.id_sucursal = c.id_sucursal AND e.id_variante = c.id_variante
 """, recursive=True)
 def snapshot_compare(t):
-    """Stock of every cell a transfer batch touches, before and after the batch."""
-    # Results and new stock both come from the replay: checkpoint it once.
+    """Stock of every cell a transfer batch touches, before, during and after the batch (versions read as of their batch)."""
+    # Results and the three states all come from the replay: checkpoint it once.
     res = J.checkpointed(J.job_transfer(_requests(t, "Traslado"), t, t["inventario"], BATCH_TIME))
     r = res.results
     cells = (r.select(F.col("id_sucursal_origen").alias("id_sucursal"), "id_variante")
              .unionByName(r.where(F.col("id_sucursal_destino").isNotNull())
                           .select(F.col("id_sucursal_destino").alias("id_sucursal"), "id_variante")))
-    return J.snapshot_compare(t["inventario"], res.stock, cells).select("id_sucursal", "id_variante", "etapa",
-                                                                          "cantidad")
+    root = FS.new_version_dir(f"{ensure_checkpoint_dir(r.sparkSession).rstrip('/')}/snapshot")
+    return J.snapshot_states(J.job_states(res, root), cells).select("id_sucursal", "id_variante", "etapa", "cantidad")
 
 
 # ---------------------------------------------------------------------------

@@ -159,3 +159,35 @@ def test_reprice(spark, seed):
     _, status = J.reprice_brand(seed["productos"], seed["marcas"], 99, "5.00")
     s = status.collect()[0]
     assert not s["ok"] and "99" in s["mensaje"] and s["filas"] == 0
+
+
+def test_quarantined_requests_are_kept_whole_and_can_be_submitted_again(spark, seed, tmp_path):
+    req = spark.createDataFrame([(1, 2, 2, None, 1, 4), (2, 2, 2, None, 1, 500), (3, 2, 999, None, 1, 1)], SELL)
+    res = J.job_sell(req, seed, seed["inventario"], NOW)
+    vdir, ok = J.publish_job(res, str(tmp_path / "jobs"), "reject")
+    q = {r["request_id"]: r for r in spark.read.parquet(f"{vdir}/cuarentena").collect()}
+    assert ok and set(q) == {2, 3} and q[2]["motivo"] == L.REASON_STOCK and q[3]["motivo"] == L.REASON_EMPLOYEE
+    assert (q[2]["id_sucursal_origen"], q[2]["id_variante"], q[2]["cantidad"], q[2]["id_empleado"]) == (2, 1, 500, 2)
+    assert q[2]["fecha_hora"] == NOW
+
+    # once the stock is there, the request passes; the other still lacks its employee
+    stock = spark.createDataFrame([(2, 1, 600)], "id_sucursal long, id_variante long, cantidad_disponible int")
+    again = results(J.job_sell(J.quarantined(spark, vdir), seed, stock, NOW))
+    assert again[2]["aceptado"] and not again[3]["aceptado"]
+
+    # under "fail" nothing is published and the whole batch is in quarantine
+    vdir2, ok = J.publish_job(res, str(tmp_path / "jobs"), "fail")
+    assert not ok and spark.read.parquet(f"{vdir2}/cuarentena").count() == 3
+    assert spark.read.parquet(f"{vdir2}/movimientos").count() == 0
+    assert stock_of(spark.read.parquet(f"{vdir2}/inventario"), 2, 1) == 75
+    rows = {(r["politica"], r["request_id"]): r["estado"] for r in J.policy_rows(res).collect()}
+    assert rows == {("reject", 1): "publicada", ("reject", 2): "cuarentena", ("reject", 3): "cuarentena",
+                    ("fail", 1): "cuarentena", ("fail", 2): "cuarentena", ("fail", 3): "cuarentena"}
+
+
+def test_states_of_a_job_are_versions(spark, seed, tmp_path):
+    req = spark.createDataFrame([(n, 2, 2, None, 1, 10) for n in (1, 2, 3, 4)], SELL)
+    res = J.checkpointed(J.job_sell(req, seed, seed["inventario"], NOW))
+    states = J.job_states(res, str(tmp_path / "log"))
+    assert [stock_of(states[k], 2, 1) for k in ("antes", "durante", "despues")] == [75, 55, 35]
+    assert stock_of(states["durante"], 1, 1) == 153
