@@ -36,9 +36,9 @@ from stockflow.llm.common import table
 #: Where this machine has the public vocabulary; a parameter of the operator.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-STEP_CHARS = 2 << 20
+STEP_CHARS = 512 << 10
 CHUNK_CHARS = 512 << 10
-KEEP_SEGMENTS = 300_000   # encoded segments that a task keeps between steps
+KEEP_SEGMENTS = 100_000   # encoded segments that a task keeps between steps
 LONG = 400
 _NONE = np.int64(1) << 40
 
