@@ -7,6 +7,8 @@ is whatever the sink and source really produced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from stockflow import schema as S
@@ -174,6 +176,25 @@ def write_layout(t):
                                                        F.min("id_movimiento").alias("primer_id"))
 
 
+@register("write_layout_paths", "\nUNION ALL\n".join(
+    f"SELECT '{tab}' AS tabla, '{c}' AS columna, max({c}) AS valor, "
+    f"CAST(count(*) FILTER (WHERE {c} = (SELECT max({c}) FROM {tab})) AS BIGINT) AS filas FROM {tab}"
+    for tab, cols in FS.ACCESS_PATHS.items() for c in cols))
+def write_layout_paths(t):
+    """Tables clustered on their access paths, read back by each: rows of the column's largest value."""
+    spark = t["marcas"].sparkSession
+    out = []
+    for tab, cols in FS.ACCESS_PATHS.items():
+        path = _scratch(t, f"clustered-{tab}")
+        FS.write_clustered(t[tab], path, cols, files=16)
+        back = spark.read.parquet(path)
+        for c in cols:
+            top = back.agg(F.max(c).alias("v")).select("v").scalar()
+            out.append(back.where(F.col(c) == top).agg(F.count(F.lit(1)).alias("filas")).select(
+                F.lit(tab).alias("tabla"), F.lit(c).alias("columna"), top.alias("valor"), "filas"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 _COMPETING_SQL = f"""
 WITH sales AS (
   SELECT d.id_detalle, d.id_variante, d.cantidad, d.precio_unitario, m.tipo_movimiento,

@@ -173,6 +173,48 @@ def write_layout(df: DataFrame, path: str, partition_by: list[str], sort_by: lis
        .write.mode(mode).partitionBy(*partition_by).parquet(path))
 
 
+#: Access paths: the columns that look-ups filter on, per table.
+ACCESS_PATHS = {
+    "detalle_movimientos": ["id_movimiento", "id_variante"],
+    "movimientos": ["id_empleado", "id_sucursal_origen"],
+    "inventario": ["cantidad_disponible", "id_sucursal"],
+    "producto_variante": ["id_producto", "id_talle", "id_color"],
+    "productos": ["id_marca", "id_categoria"],
+}
+_CLUSTER_BITS = 6
+
+
+def interleaved_key(df: DataFrame, columns: list[str], bits: int = _CLUSTER_BITS) -> F.Column:
+    """A number that puts rows near each other which are near in every one of the whole-number ``columns``.
+
+    Each column becomes its place among 2 ** bits ranges of about equally many rows (approximate
+    percentiles, summed on the map side; the driver gets their 2 ** bits - 1 bounds a column), and the
+    places' bits are interleaved, highest first. NULLs are in the first range."""
+    n = 1 << bits
+    at = F.array(*[F.lit(i / n) for i in range(1, n)])
+    bounds = df.agg(*[F.percentile_approx(c, at, n * 100).alias(c) for c in columns]).first()
+    places = []
+    for c in columns:
+        cuts = sorted(set(bounds[c] or []))
+        below = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]).cast("array<bigint>"), F.col(c).__gt__))
+        # a value that many rows have leaves fewer ranges: these are spread over all places
+        places.append(F.coalesce(F.floor(below * n / (len(cuts) + 1)), F.lit(0)).cast("int"))
+    key = F.lit(0).cast("bigint")
+    for b in reversed(range(bits)):
+        for p in places:
+            key = key * 2 + F.shiftright(p, b).bitwiseAND(F.lit(1))
+    return key
+
+
+def write_clustered(df: DataFrame, path: str, columns: list[str], files: int, tie: list[str] | None = None) -> None:
+    """Rows clustered on several columns at once, in about ``files`` files: a filter on any of the columns reads a
+    part of the files only, by Parquet's smallest and largest values. Ranges of (key, columns, ``tie``) spread a
+    value that many rows have over files."""
+    x = df.withColumn("_sf_z", interleaved_key(df, columns))
+    by = ["_sf_z", *columns, *(tie or [])]
+    x.repartitionByRange(files, *by).sortWithinPartitions(*by).drop("_sf_z").write.parquet(path)
+
+
 def movements_layout(mov: DataFrame) -> DataFrame:
     """Movements with the ``anio`` partition column (type x year directories)."""
     return mov.withColumn("anio", F.year("fecha_hora"))
