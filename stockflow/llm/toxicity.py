@@ -3,7 +3,8 @@
 The lexicon is learned from a bounded sample of labelled rows: words, and
 prefixes that whole families of words share, whose odds of standing in a toxic
 row's text rather than another's are high even at the low end of their interval
-(copies of a text count once). Its words (of five letters and more) form a
+(copies of a text count once); all of them, as the sample bounds their number: each
+stands in ``MIN_DOCS`` of its toxic rows. Its words (of five letters and more) form a
 trie; a Levenshtein automaton (one error, two from eight letters on) intersected
 with the trie is made deterministic as far as texts need it: a state is the set
 of trie nodes reached with their fewest errors, and a word that leaves all of
@@ -37,7 +38,6 @@ from pyspark.sql import functions as F
 from stockflow.llm.common import stored, table
 
 SAMPLE_ROWS = 8000     # labelled rows that the model is fitted on, in expectation
-MAX_TERMS = 400
 MIN_DOCS = 4           # toxic rows of the sample that hold a term
 MIN_SHARE = 0.03       # of the toxic rows; terms below need the higher odds
 MIN_ODDS, HIGH_ODDS = 4.0, 12.0  # of the low ends of a 90 % and of a 99 % interval
@@ -87,7 +87,7 @@ class LexiconAutomaton:
         for path, k in longest:
             for node in path:
                 self.allow[node] = max(self.allow[node], k)
-        self.states, self.step, self.hit = {}, [], []
+        self.states, self.nodes, self.step, self.hit = {}, [], [], []
         self.start = self._state({0: 0}) if longest else None
 
     def _state(self, reached: dict[int, int]):
@@ -104,15 +104,15 @@ class LexiconAutomaton:
         key = frozenset(best.items())
         if key not in self.states:
             self.states[key] = len(self.step)
+            self.nodes.append(key)
             self.step.append({})
             ends = [(k, *self.ends[n]) for n, k in best.items() if self.ends[n] and k <= self.ends[n][1]]
             self.hit.append(min(ends)[:2] if ends else None)
         return self.states[key]
 
     def _next(self, state: int, char: str):
-        key = next(k for k, v in self.states.items() if v == state)
         reached: dict[int, int] = {}
-        for node, k in key:
+        for node, k in self.nodes[state]:
             reached[node] = min(reached.get(node, 99), k + 1)  # a letter too many
             for c, child in self.children[node].items():
                 more = k + (c != char)
@@ -192,16 +192,22 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     rows = (sample.select("text", "toxic").mapInArrow(count, "term string, pos long, neg long").groupBy("term")
             .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
             .filter((F.col("pos") >= MIN_DOCS) & strong)
-            .orderBy(F.desc("pos"), "term").limit(4 * MAX_TERMS).collect())  # the most frequent: a bounded lexicon
+            .orderBy(F.desc("pos"), "term").collect())  # words of the bounded sample only
     terms = {r["term"]: r["pos"] for r in rows}
+    most: dict[str, int] = {}  # of the words that begin with each prefix, the rows of the most frequent one
+    for t, v in terms.items():
+        if not t.endswith("*"):
+            for n in PREFIXES:
+                most[t[:n]] = max(v, most.get(t[:n], 0))
     prefixes: list[str] = []
+    families: set[str] = set()
     for p in sorted((t[:-1] for t in terms if t.endswith("*")), key=lambda p: (len(p), p)):
         # a family, not one word and its endings: no word of the lexicon makes most of its rows
-        whole = max((v for t, v in terms.items() if t[:len(p)] == p and not t.endswith("*")), default=0)
-        if whole < 0.5 * terms[p + "*"] and not any(p.startswith(q) for q in prefixes):
+        if most.get(p, 0) < 0.5 * terms[p + "*"] and not any(p[:n] in families for n in PREFIXES):
+            families.add(p)
             prefixes.append(p)
-    words = [t for t in terms if not t.endswith("*") and not any(t.startswith(q) for q in prefixes)]
-    return words[:MAX_TERMS], prefixes[:MAX_TERMS]
+    words = [t for t in terms if not t.endswith("*") and not any(t[:n] in families for n in PREFIXES)]
+    return words, prefixes
 
 
 class Model:
@@ -216,7 +222,7 @@ class Model:
 
 def _featured(docs: DataFrame, words, prefixes, out_schema: str, finish):
     """Features of column 0 in each batch, passed to ``finish(batch, matrix)``."""
-    held = docs.sparkSession.sparkContext.broadcast((words, prefixes))  # MAX_TERMS at most
+    held = docs.sparkSession.sparkContext.broadcast((words, prefixes))  # bounded by the sample
 
     def run(batches):
         automaton = LexiconAutomaton(*held.value)
