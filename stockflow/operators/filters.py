@@ -48,8 +48,9 @@ def flt_negative_stock(inv: DataFrame) -> DataFrame:
 
 
 def flt_cell(inv: DataFrame, cells: DataFrame) -> DataFrame:
-    """Point look-up of the cells listed in ``cells`` (id_sucursal, id_variante)."""
-    return inv.join(cells.select("id_sucursal", "id_variante").distinct(), ["id_sucursal", "id_variante"], "left_semi")
+    """Point look-up of the cells listed in ``cells`` (id_sucursal, id_variante, or one of them for all its cells)."""
+    keys = [c for c in ("id_sucursal", "id_variante") if c in cells.columns]
+    return inv.join(cells.select(*keys).distinct(), keys, "left_semi")
 
 
 def flt_differs(df: DataFrame, a: str, b: str) -> DataFrame:
