@@ -124,6 +124,23 @@ def test_line_runs_compact(spark):
     assert {bytes(r["key"])[0]: r["max_doc"] for r in runs.frequent(3).collect()} == {2: 22, 3: 33}
 
 
+def test_sighting_runs_are_disjoint_sorted_and_not_shuffled(spark):
+    rng = random.Random(8)
+    runs, docs = LineRuns(spark, fanout=2), defaultdict(set)
+    for b in range(5):
+        rows = [(b"%d" % int(200 * rng.random() ** 2), 100 * b + rng.randrange(100)) for _ in range(300)]
+        for k, d in rows:
+            docs[k].add(d)
+        runs.add(spark.createDataFrame(rows, "key binary, doc_id long"))
+    sighted = [bytes(r["key"]) for r in runs._read(n for level in runs.levels for n in level).collect()]
+    assert len(sighted) == len(set(sighted)) and set(sighted) == set(docs)
+    frequent = runs.frequent(3)
+    assert {bytes(r["key"]): r["max_doc"] for r in frequent.collect()} == {
+        k: max(d) for k, d in docs.items() if len(d) >= 3}
+    plan = frequent._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def _near_brute(rows, n, pct):
     sets = {}
     for i, t, *_ in rows:
