@@ -9,8 +9,11 @@ from collections import Counter, defaultdict
 
 import pandas as pd
 
+from pyspark.sql import functions as F
+
+from stockflow.llm import exact_dedup as exact_dedup_module
 from stockflow.llm.components import components
-from stockflow.llm.exact_dedup import CuckooFilter, CuckooIndex, drop_copies, exact_dedup, filter_of, merge_shard
+from stockflow.llm.exact_dedup import CuckooFilter, CuckooIndex, drop_copies, exact_dedup, filter_of, merge_shard, normal
 from stockflow.llm.line_dedup import LineRuns, line_dedup
 from stockflow.llm.minhash_dedup import drop_near_copies, near_classes
 from tests.llm.data import LOWER, corpus, empty, frame, words
@@ -85,6 +88,49 @@ def test_index_updates_and_dropping(spark):
     assert drop_copies(empty(spark)).count() == 0
 
 
+def test_a_digest_of_several_texts_is_settled_by_content(spark):
+    rows = corpus() + [(None, "one two", "en", "s", 7), (2**60 + 1, "one   two", "en", "s", 9), (906, "one two", "en", "s", 7)]
+    weak = lambda text: F.substring(F.sha2(normal(text), 256), 1, 1)  # noqa: E731  16 digests for all texts
+    group = defaultdict(list)
+    for r in rows:
+        group[_normal(r[1])].append(r[0])
+    want = Counter()
+    for r in rows:
+        keep = min(i for i in group[_normal(r[1])] if i is not None)
+        want[r[0], keep, len(group[_normal(r[1])]), r[0] == keep] += 1
+    got = exact_dedup(frame(spark, rows), 3, weak).drop("text_sha256").collect()
+    assert Counter(map(tuple, got)) == want
+    kept = drop_copies(frame(spark, rows), weak).collect()
+    assert Counter(r["doc_id"] for r in kept) == Counter({min(i for i in g if i is not None): 1 for g in group.values()})
+
+
+def test_only_hits_are_searched_for(spark, monkeypatch):
+    asked = []
+    search = exact_dedup_module._search
+    monkeypatch.setattr(exact_dedup_module, "_search", lambda keys, d: asked.extend(d) or search(keys, d))
+    digests = [hashlib.sha256(b"%d" % i).hexdigest() for i in range(3000)]
+    none = pd.DataFrame({"shard": pd.Series([], dtype="int32"), "digest": [], "keep_id": pd.array([], "Int64"),
+                         "group_size": pd.array([], "Int64"), "filter": []})
+    def changes(ds, op="+"):
+        return pd.DataFrame({"shard": 0, "digest": ds, "doc_id": pd.array(range(len(ds)), "Int64"), "n": 1, "op": op})
+    keys = merge_shard(none, changes(digests + digests[:7]))
+    assert set(digests[:7]) <= set(asked) and len(set(asked)) < 60  # the rest: false hits of 16-bit tags
+    assert keys["digest"].tolist() == sorted(digests) and keys["group_size"].sum() == 3007
+    keys = merge_shard(keys, changes(digests[:2000], "-"))
+    assert keys["digest"].tolist() == sorted(digests[2000:])
+    keys = merge_shard(keys, changes(digests[1990:2010]))
+    assert dict(zip(keys["digest"], keys["group_size"])) == {
+        d: 1 + (2000 <= i < 2010) for i, d in enumerate(digests) if i >= 1990}
+
+
+def test_probe_asks_the_filters(spark):
+    def df(*ids):
+        return spark.createDataFrame([(hashlib.sha256(b"%d" % i).hexdigest(), i) for i in ids], "digest string, doc_id long")
+    index = CuckooIndex(spark, 3).update(inserts=df(*range(20), 4, 5))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in index.probe(df(4, 19, 20, 21)).collect()}
+    assert got == {4: (4, 2), 19: (19, 1), 20: (None, None), 21: (None, None)}
+
+
 def _line_brute(rows, least=20, docs=3):
     def key(x):
         return x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
