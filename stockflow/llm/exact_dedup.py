@@ -272,9 +272,11 @@ class _Decided:
         more = keys.filter(F.col("group_size") > 1).select("digest")
         hits = stored(self.rows.withColumn("salt", F.pmod("h1", F.lit(SALTS)).cast("int"))
                       .join(_salted(more), ["digest", "salt"])
-                      .groupBy("doc_id", "h1", "h2", "digest", "salt").agg(F.count("*").alias("n")), "hits")
+                      # not by digest, so that the join may split a hot one
+                      .groupBy("doc_id", "h1", "h2").agg(F.min("digest").alias("digest"), F.count("*").alias("n"))
+                      .withColumn("salt", F.pmod("h1", F.lit(SALTS)).cast("int")), "hits")
         # only the hits' texts are read again; copies are counted before the shuffle
-        content = (self.texts.join(_as_place(hits, "digest"), _same_place(self.texts.columns), "inner")
+        content = (self.texts.join(_as_place(hits, "digest").hint("merge"), _same_place(), "inner")
                    .select("doc_id", "h1", "h2", "p_digest", normal(F.col("text")).alias("content"))
                    .withColumnRenamed("p_digest", "digest"))
         groups = stored(content.groupBy("digest", "content").agg(
@@ -305,9 +307,9 @@ def _as_place(places: DataFrame, *more: str) -> DataFrame:
     return places.select(*[F.col(c).alias("p_" + c) for c in ("doc_id", "h1", "h2", *more)])
 
 
-def _same_place(names=("doc_id", "h1", "h2")):
-    return (F.col(names[0]).eqNullSafe(F.col("p_doc_id")) & (F.col(names[1]) == F.col("p_h1"))
-            & (F.col(names[2]) == F.col("p_h2")))
+def _same_place():
+    return (F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("h1") == F.col("p_h1"))
+            & (F.col("h2") == F.col("p_h2")))
 
 
 def exact_dedup(docs: DataFrame, n_shards: int | None = None, digest=digest_col) -> DataFrame:
@@ -329,11 +331,13 @@ def drop_copies(docs: DataFrame, digest=digest_col) -> DataFrame:
                                    F.col("n").alias(p_n), F.col("stays").alias(p_stays))
     same = (F.col("doc_id").cast("long").eqNullSafe(F.col(p_id)) & (F.col(h1) == F.col(p_h1)) & (F.col(h2) == F.col(p_h2)))
     mine = [F.col(f"`{c}`") for c in docs.columns]
-    # most rows: one anti join; of rows that repeat both id and text, one
-    once = marked.join(places.filter(~F.col(p_stays) | (F.col(p_n) > 1)), same, "left_anti")
-    again = (marked.join(places.filter(F.col(p_stays) & (F.col(p_n) > 1)), same, "left_semi")
-             .dropDuplicates(["doc_id", h1, h2]))
-    return once.select(*mine).unionByName(again.select(*mine))
+    repeated = places.filter(F.col(p_stays) & (F.col(p_n) > 1))
+    once = marked.join(places.filter(~F.col(p_stays) | (F.col(p_n) > 1)).hint("merge"), same, "left_anti").select(*mine)
+    if repeated.isEmpty():
+        return once
+    # of rows that repeat both id and text, one
+    again = marked.join(repeated, same, "left_semi").dropDuplicates(["doc_id", h1, h2])
+    return once.unionByName(again.select(*mine))
 
 
 def op4_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
