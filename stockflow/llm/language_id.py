@@ -3,10 +3,12 @@
 Texts are lower-cased; letters stay and each run of other characters is one
 space. For each language the counts of character 4-grams of a training sample
 give interpolated Kneser-Ney models of orders 4 to 1 (absolute discounts,
-continuation counts below the top). For each order all languages share one
-sorted array of n-gram hashes beside a matrix of log probabilities, and one of
-context hashes beside back-off weights; a look-up goes to the place that the top
-bits of the hash tell and steps on from there. A text gets the language of the
+continuation counts below the top). A language's model is made in one task from
+its sample's counts and holds its own n-grams alone: for each order a sorted
+array of n-gram hashes beside log probabilities, and one of context hashes
+beside back-off weights, so all models together are as large as their sum. A
+look-up goes to the place that the top bits of the hash tell and steps on from
+there; the distinct 4-grams of a step of text are looked up once. A text gets the language of the
 lowest cross-entropy in bits per character.
 
 Rejection is calibrated on a part of the sample that isn't counted: the excess
@@ -30,13 +32,15 @@ extra columns are kept by ``classify``; empty tables give no rows.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockflow.llm.common import HashArray, free_names, table
+from stockflow.llm.common import HashArray, free_names, stored, table
 
 ORDER = 4
 SAMPLE_CHARS = 3_000_000
@@ -83,61 +87,64 @@ def grams(sym: np.ndarray, off: np.ndarray):
     return key[real], off - (ORDER - 1) * np.arange(len(off))
 
 
-class KneserNey:
-    """Models of all languages, from ``counts``: language -> (4-gram keys, counts)."""
+def _low(keys: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` symbols of each key."""
+    return keys & np.uint64((1 << (16 * n)) - 1)
 
-    def __init__(self, counts: dict):
-        self.langs = sorted(counts)
-        self.mean = self.most = None
-        if not self.langs:
-            return
-        wide = [np.unique(np.concatenate([counts[x][0] for x in self.langs]))]
-        for n in range(ORDER - 1, 0, -1):
-            wide.append(np.unique(wide[-1] & np.uint64((1 << (16 * n)) - 1)))
-        wide = wide[::-1]  # of order 1 to ORDER
-        seen = {}
-        for x in self.langs:
-            c = np.zeros(len(wide[-1]))
-            c[np.searchsorted(wide[-1], counts[x][0])] = counts[x][1]
-            by = {ORDER: c}
-            for n in range(ORDER - 1, 0, -1):  # how many kinds of symbols come before
-                low = np.searchsorted(wide[n - 1], wide[n] & np.uint64((1 << (16 * n)) - 1))
-                by[n] = np.bincount(low, by[n + 1] > 0, len(wide[n - 1]))
-            seen[x] = by
-        n_lang = len(self.langs)
+
+class LanguageModel:
+    """One language's n-grams in sorted hash arrays, from its 4-grams and their
+    counts. It holds its own n-grams only; ``n_symbols`` is how many symbols all
+    languages have, whose share the least order spreads evenly."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, n_symbols: int):
+        by = {ORDER: (keys, counts.astype(np.float64))}
+        for n in range(ORDER - 1, 0, -1):  # how many kinds of symbols come before
+            low, at = np.unique(_low(by[n + 1][0], n), return_inverse=True)
+            by[n] = low, np.bincount(at, minlength=len(low)).astype(np.float64)
         self.arrays, self.logp, self.contexts, self.backoff = [], [], [None], [None]
-        below = None
         for n in range(1, ORDER + 1):
-            keys = wide[n - 1]
-            prob = np.zeros((len(keys), n_lang))
+            keys, c = by[n]
             ctx_keys, ctx = np.unique(keys >> np.uint64(16), return_inverse=True)
-            weight = np.ones((len(ctx_keys), n_lang))
-            for i, x in enumerate(self.langs):
-                c = seen[x][n]
-                one, two = (c == 1).sum(), (c == 2).sum()
-                d = one / (one + 2 * two) if one and two else 0.5
-                total = np.bincount(ctx, c, len(ctx_keys))
-                kinds = np.bincount(ctx, c > 0, len(ctx_keys))
-                some = np.maximum(total, 1)
-                weight[:, i] = np.where(total > 0, d * kinds / some, 1.0)
-                if n == 1:
-                    lower = np.full(len(keys), 1 / (len(keys) + 1))
-                else:
-                    lower = below[np.searchsorted(wide[n - 2], keys & np.uint64((1 << (16 * (n - 1))) - 1)), i]
-                prob[:, i] = np.maximum(c - d, 0) / some[ctx] + weight[ctx, i] * lower
-            table_ = HashArray(keys)
-            self.arrays.append(table_)
-            self.logp.append(np.log2(prob[table_.order]).astype(np.float32))
+            one, two = (c == 1).sum(), (c == 2).sum()
+            d = one / (one + 2 * two) if one and two else 0.5
+            total = np.bincount(ctx, c, len(ctx_keys))
+            weight = d * np.bincount(ctx, minlength=len(ctx_keys)) / total
             if n == 1:  # an unknown symbol has the rest of the least order
-                self.unknown = np.log2(weight[0] / (len(keys) + 1)).astype(np.float32)
+                lower = 1 / (n_symbols + 1)
+                self.unknown = np.float32(np.log2(weight[0] * lower))
             else:
-                ctx_table = HashArray(ctx_keys)
-                self.contexts.append(ctx_table)
-                self.backoff.append(np.log2(np.maximum(weight[ctx_table.order], 1e-9)).astype(np.float32))
-            below = prob
+                lower = below[np.searchsorted(by[n - 1][0], _low(keys, n - 1))]
+            below = np.maximum(c - d, 0) / total[ctx] + weight[ctx] * lower
+            self.arrays.append(self._sorted(keys, below, self.logp))
+            if n > 1:
+                self.contexts.append(self._sorted(ctx_keys, np.maximum(weight, 1e-9), self.backoff))
+
+    def plain(self) -> dict:
+        """The model as arrays and numbers alone; ``of_plain`` turns it back."""
+        tables = {k: [a and vars(a) for a in getattr(self, k)] for k in ("arrays", "contexts")}
+        return vars(self) | tables
+
+    @classmethod
+    def of_plain(cls, held: dict) -> "LanguageModel":
+        out = cls.__new__(cls)
+        vars(out).update(held)
+        for k in ("arrays", "contexts"):
+            tables = [a and HashArray.__new__(HashArray) for a in held[k]]
+            for table_, a in zip(tables, held[k]):
+                if a:
+                    vars(table_).update(a)
+            setattr(out, k, tables)
+        return out
+
+    @staticmethod
+    def _sorted(keys: np.ndarray, values: np.ndarray, logs: list) -> HashArray:
+        out = HashArray(keys)
+        logs.append(np.log2(values[out.order]).astype(np.float32))
+        out.order = None
+        return out
 
     def log2_probs(self, keys: np.ndarray, n: int = ORDER) -> np.ndarray:
-        """Rows of log2 probabilities, a column for each language."""
         at = self.arrays[n - 1].find(keys)
         out = self.logp[n - 1][at]
         miss = np.flatnonzero(at < 0)
@@ -146,11 +153,31 @@ class KneserNey:
                 out[miss] = self.unknown
             else:
                 gone = keys[miss]
-                low = self.log2_probs(gone & np.uint64((1 << (16 * (n - 1))) - 1), n - 1)
                 c = self.contexts[n - 1].find(gone >> np.uint64(16))
-                out[miss] = low + np.where((c >= 0)[:, None], self.backoff[n - 1][c], 0)
+                out[miss] = self.log2_probs(_low(gone, n - 1), n - 1) + np.where(c >= 0, self.backoff[n - 1][c], 0)
         return out
 
+
+class KneserNey:
+    """The models of all languages: from ``counts``, language -> (sorted 4-gram
+    keys, counts), or as they are. Their size is the sum of the languages' own."""
+
+    def __init__(self, counts: dict, models: dict | None = None):
+        if models is None:
+            n_symbols = len(np.unique(np.concatenate([_low(k, 1) for k, _ in counts.values()]))) if counts else 0
+            models = {x: LanguageModel(*counts[x], n_symbols) for x in counts}
+        self.langs = sorted(models)
+        self.models = [models[x] for x in self.langs]
+        self.mean = self.most = None
+
+    @property
+    def logp(self) -> list:
+        return [p for model in self.models for p in model.logp]
+
+    def log2_probs(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of log2 probabilities, a column for each language."""
+        return np.stack([model.log2_probs(keys) for model in self.models], axis=1)
+
     def entropies(self, texts: list, is_letter: np.ndarray):
         """Cross-entropy in bits per symbol (a row for each text, a column for each
         language), numbers of symbols and of letters."""
@@ -158,12 +185,12 @@ class KneserNey:
         keys, off = grams(sym, off)
         total = np.zeros((len(texts), len(self.langs)))
         doc = np.repeat(np.arange(len(texts)), np.diff(off))
-        step = max(1, STEP_CHARS // max(1, len(self.langs) // 8))
-        for i in range(0, len(keys), step):
-            p = self.log2_probs(keys[i:i + step])
-            own = doc[i:i + step]
+        for i in range(0, len(keys), STEP_CHARS):
+            kinds, place = np.unique(keys[i:i + STEP_CHARS], return_inverse=True)
+            own = doc[i:i + STEP_CHARS]
             heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            total[own[heads]] += np.add.reduceat(p, heads, axis=0, dtype=np.float64)
+            for k, model in enumerate(self.models):
+                total[own[heads], k] += np.add.reduceat(model.log2_probs(kinds)[place], heads, dtype=np.float64)
         n = np.diff(off)
         return -total / np.maximum(n, 1)[:, None], n, letters
 
@@ -254,19 +281,21 @@ def train(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> KneserNey:
                         [pa.array([x] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)],
                         names=["lang", "key", "n"])
 
-    got = (sample.filter(~F.col("cal")).select("text", "lang").mapInArrow(count, "lang string, key long, n long")
-           .groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow())
-    lang = np.array(got.column("lang").to_pylist(), object)
-    key, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    counts = {}
-    for x in sizes:
-        mine = np.flatnonzero(lang == x)
-        if len(mine):
-            order = np.argsort(key[mine])
-            counts[x] = (key[mine][order], n[mine][order])
-    model = KneserNey(counts)
+    got = stored(sample.filter(~F.col("cal")).select("text", "lang").mapInArrow(count, "lang string, key long, n long")
+                 .groupBy("lang", "key").agg(F.sum("n").alias("n")), "grams")
+    n_symbols = got.select(F.expr("key & 65535").alias("symbol")).distinct().count()
+
+    def fit(rows: pa.Table) -> pa.Table:  # one language, bounded by its sample
+        key, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+        order = np.argsort(key)
+        made = pickle.dumps(LanguageModel(key[order], n[order], n_symbols).plain(), 5)
+        return pa.table({"lang": rows["lang"].slice(0, 1).cast(pa.string()), "model": pa.array([made], pa.binary())})
+
+    models = {r["lang"]: LanguageModel.of_plain(pickle.loads(r["model"]))
+              for r in got.groupBy("lang").applyInArrow(fit, "lang string, model binary").toLocalIterator()}
+    model = KneserNey({}, models)
     if model.langs:
-        cal = [r for r in calibrating(sample, sample_chars // CALIBRATION).toArrow().to_pylist() if r["lang"] in counts]
+        cal = [r for r in calibrating(sample, sample_chars // CALIBRATION).toArrow().to_pylist() if r["lang"] in models]
         model.calibrate([r["text"] for r in cal] or [""], [r["lang"] for r in cal] or [model.langs[0]], letters_table())
     return model
 

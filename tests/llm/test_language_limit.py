@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 
 import numpy as np
@@ -41,3 +42,14 @@ def test_copies_count_once_and_the_collected_part_is_bounded(spark):
                                    + [("y" * 99, "b", 0.5, True)], "text string, lang string, place double, cal boolean")
     got = [(r["lang"], len(r["text"])) for r in LI.calibrating(sample, 100).collect()]
     assert sorted(got) == [("a", 30), ("a", 40), ("a", 100), ("b", 99)]
+
+
+def test_models_grow_with_the_sum_of_their_languages():
+    rng = np.random.default_rng(7)
+
+    def held(n):
+        counts = {f"l{k:02}": np.unique(rng.integers(97, 97 + 26, (4000, 4)).astype(np.uint64)
+                                        @ (np.uint64(1) << np.uint64(16) * np.arange(4, dtype=np.uint64)),
+                                        return_counts=True) for k in range(n)}
+        return len(pickle.dumps(LI.KneserNey(counts)))
+    assert held(40) < 8.5 * held(5)
