@@ -28,8 +28,8 @@ from stockflow.llm.common import WS_CHARS, lower_az, shared_path, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-BATCHES = 3
 FANOUT = 4
+BATCHES = 2 * FANOUT    # so that levels fill up and are merged
 RUN_SCHEMA = "key binary, n_docs long, max_doc long"
 
 
