@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from stockflow import registry
 from stockflow.plans import ledger as L
 from stockflow.sources import testdata as TD
 from tests.conftest import SF_SMALL
@@ -28,6 +30,36 @@ def test_the_inventory_is_dealt_by_the_stored_size_of_the_lines(spark, monkeypat
     assert _rows(L.final_stock(t["movimientos"], t["detalle_lineas"], TD.OPENING_BUFFER)) == usual
 
 
+def test_the_line_ids_are_dealt_by_the_stored_size_of_the_lines(spark, monkeypatch):
+    size = os.path.getsize(f"{SF_SMALL}/lineitem.parquet")
+    usual = _rows(TD.load_tables(spark, SF_SMALL)["detalle_movimientos"])
+    monkeypatch.setattr(TD, "BYTES_A_TASK", -(-size // 40))
+    numbered = TD.load_tables(spark, SF_SMALL)["detalle_movimientos"]
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\((\w+)#\w+, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert set(dealt) == {("l_orderkey", "40"), ("_sf_b", "40")}        # the join with the headers, the numbering
+    assert _rows(numbered) == usual
+
+
+#: Queries that take their stock from the derived inventory.
+OF_THE_INVENTORY = [
+    "chk_generated_invariants"]
+
+
+@pytest.mark.parametrize("name", OF_THE_INVENTORY)
+def test_a_query_deals_its_inventory_by_the_stored_size_of_the_lines(spark, monkeypatch, name):
+    class Dealt(Exception):
+        pass
+
+    def final_stock(mov, det, **how):
+        raise Dealt(how.get("tasks"))
+
+    monkeypatch.setattr(TD, "BYTES_A_TASK", -(-os.path.getsize(f"{SF_SMALL}/lineitem.parquet") // 40))
+    monkeypatch.setattr(L, "final_stock", final_stock)
+    with pytest.raises(Dealt, match="^40$"):
+        registry.queries()[name](spark, SF_SMALL)
+
+
 def test_headers_are_the_movements_without_the_suppliers(spark):
     t = TD.load_tables(spark, SF_SMALL)
     columns = t["cabeceras"].columns
