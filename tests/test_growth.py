@@ -45,7 +45,7 @@ def test_the_line_ids_are_dealt_by_the_stored_size_of_the_lines(spark, monkeypat
 OF_THE_INVENTORY = [
     "chk_generated_invariants", "chk_no_negative_stock", "chk_no_negative_stock_dirty", "chk_not_null",
     "chk_not_null_dirty", "chk_numeric", "chk_numeric_dirty", "chk_tables_present", "flt_cell", "flt_low_stock",
-    "job_receive", "job_reject_policy", "job_reject_policy_rows", "job_result_messages", "job_sell"]
+    "job_receive", "job_reject_policy", "job_reject_policy_rows", "job_result_messages", "job_sell", "job_transfer"]
 
 
 @pytest.mark.parametrize("name", OF_THE_INVENTORY)
