@@ -9,7 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockflow import registry
+from stockflow.operators.ids import id_assign
+from stockflow.plans import jobs as J
 from stockflow.plans import ledger as L
+from stockflow.plans import ledger_queries as LQ
 from stockflow.sources import testdata as TD
 from tests.conftest import SF_SMALL
 
@@ -41,6 +44,79 @@ def test_the_line_ids_are_dealt_by_the_stored_size_of_the_lines(spark, monkeypat
     assert _rows(numbered) == usual
 
 
+@pytest.fixture()
+def many_partitions(spark):
+    """More of Spark's own partitions than a size deals, and no side small enough to broadcast."""
+    own = {"spark.sql.shuffle.partitions": "100", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _dealt(df, key):
+    """Why rows are dealt by ``key`` (the sums of counts left out), and to how many partitions at least."""
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    found = [re.search(rf"Exchange hashpartitioning\({key}#\w+, (\d+)\), (\w+)", line) for line in plan]
+    found = [m.groups() for m, below in zip(found, plan[1:]) if m and "partial_" not in below]
+    return {why for _, why in found}, min(int(n) for n, _ in found)
+
+
+#: Dealt to 40 partitions or more, that Spark doesn't join to larger ones.
+BY_SIZE = ({"REPARTITION_BY_NUM"}, 40)
+
+
+def test_numbered_rows_are_dealt_once(spark, many_partitions):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"))
+    df = df.withColumn("a", F.floor(F.col("k") / 100)).withColumn("b", F.floor(F.col("k") / 10))
+    numbered = id_assign(df, ["k"], bucket=["a", "b"], tasks=40)
+    why, least = _dealt(numbered, "_sf_b")
+    assert why == {"REPARTITION_BY_NUM"} and least >= 40
+    assert _rows(numbered.select("k", "id")) == sorted(((k, k + 1) for k in range(1000)), key=str)
+
+
+@pytest.mark.parametrize("tipo", ["Entrada", "Traslado", "Salida"])
+def test_requests_are_dealt_by_the_stored_size_of_the_lines(spark, monkeypatch, many_partitions, tipo):
+    usual = _rows(LQ._requests(TD.load_tables(spark, SF_SMALL), tipo))
+    monkeypatch.setattr(TD, "BYTES_A_TASK", -(-os.path.getsize(f"{SF_SMALL}/lineitem.parquet") // 40))
+    requests = LQ._requests(TD.load_tables(spark, SF_SMALL), tipo)
+    assert _dealt(requests, "id_movimiento") == BY_SIZE
+    assert _rows(requests) == usual
+
+
+@pytest.mark.parametrize("name", ["job_receive", "job_reject_policy", "job_reject_policy_rows", "job_result_messages",
+                                  "job_sell", "job_transfer"])
+def test_a_job_numbers_its_requests_in_tasks_by_size(spark, monkeypatch, name):
+    """In buckets that spread over the tasks."""
+    class Numbered(Exception):
+        pass
+
+    def id_continue(df, *args, **how):
+        raise Numbered(how.get("tasks"), len(how["bucket"]))
+
+    monkeypatch.setattr(TD, "BYTES_A_TASK", -(-os.path.getsize(f"{SF_SMALL}/lineitem.parquet") // 40))
+    monkeypatch.setattr(J, "id_continue", id_continue)
+    with pytest.raises(Numbered) as e:
+        registry.queries()[name](spark, SF_SMALL)
+    assert e.value.args == (40, 2)
+
+
+def test_a_job_dealt_by_size_has_the_same_rows(spark, monkeypatch):
+    usual = _rows(registry.queries()["job_transfer"](spark, SF_SMALL))
+    monkeypatch.setattr(TD, "BYTES_A_TASK", -(-os.path.getsize(f"{SF_SMALL}/lineitem.parquet") // 40))
+    assert _rows(registry.queries()["job_transfer"](spark, SF_SMALL)) == usual
+
+
+def test_the_movements_are_dealt_by_the_stored_size_of_the_lines(spark, monkeypatch, many_partitions):
+    usual = _rows(TD.load_tables(spark, SF_SMALL)["movimientos"])
+    monkeypatch.setattr(TD, "BYTES_A_TASK", -(-os.path.getsize(f"{SF_SMALL}/lineitem.parquet") // 40))
+    movements = TD.load_tables(spark, SF_SMALL)["movimientos"]
+    assert _dealt(movements, "l_orderkey") == _dealt(movements, "o_orderkey") == BY_SIZE
+    assert _rows(movements) == usual
+
+
 #: Queries that take their stock from the derived inventory.
 OF_THE_INVENTORY = [
     "chk_generated_invariants", "chk_no_negative_stock", "chk_no_negative_stock_dirty", "chk_not_null",
