@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from stockflow.plans import ledger as L
+from stockflow.sources import stock_log
 from stockflow.streaming import ledger_stream as LS
 from stockflow.streaming import queries as SQ
 
@@ -119,6 +120,25 @@ def test_the_ledger_stream_keeps_to_few_partitions_and_the_batch_rule(spark):
     assert in_order(got) == in_order(L.validate_stock(lines, pv=pv))
 
 
+def test_the_publishing_stream_keeps_to_few_partitions(spark, tmp_path):
+    lines = spark.createDataFrame(_rows(), LINES)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(500))
+    try:
+        _, query, pv = _run(spark, lines, lambda d: LS.stream_publish_stock(d, str(tmp_path / "stock"), str(tmp_path / "chk")),
+                            lines_per_file=300, files_per_trigger=2)
+        query.awaitTermination(600)
+        assert query.exception() is None and _few(query, spark)
+        got = {(r[0], r[1]): r[2] for r in stock_log.read_stock(spark, str(tmp_path / "stock")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    empty = spark.createDataFrame([], "id_sucursal long, id_variante long, cantidad_disponible int")
+    decided = L.validate_stock(lines, pv=pv)
+    assert got == {(r[0], r[1]): r[2] for r in LS.latest_per_cell(decided).collect()}
+    new = {(r[0], r[1]): r[2] for r in L.apply_accepted(empty, decided).collect()}
+    assert {k: q for k, q in got.items() if k in new} == {k: q for k, q in new.items() if k in got} and len(got) > 100
+
+
 def test_ids_beyond_the_last_one_land_too(spark):
     """``last`` deals the ranges; it leaves no line out and keeps their order, also where it is wrong."""
     rows = [(i, 1, 1, None, "Entrada", 1, None) for i in [None, -5, *range(1, 60), 10**12]]
